@@ -19,12 +19,18 @@ CATCH_UP_LIMIT = 4096
 #: Up to this many rows a top-k is small enough to be sent to every executor.
 SMALL_LIMIT = 10_000
 
-NEWEST_INSERTED = (F.desc("inserted_at"), F.desc("id"))
-NEWEST_EFFECTIVE = (F.desc("effective_at"), F.desc("id"))
+
+
+def newest_inserted() -> list[Column]:
+    return [F.desc("inserted_at"), F.desc("id")]
+
+
+def newest_effective() -> list[Column]:
+    return [F.desc("effective_at"), F.desc("id")]
 
 
 def all_items(items: DataFrame) -> DataFrame:
-    return items.select(*ITEM_COLUMNS).orderBy(*NEWEST_INSERTED)
+    return items.select(*ITEM_COLUMNS).orderBy(*newest_inserted())
 
 
 def item_by_id(items: DataFrame, item_id: int | Column) -> DataFrame:
@@ -40,7 +46,7 @@ def detail_by_item(details: DataFrame, item_id: int | Column) -> DataFrame:
 
 def items_by_feed(items: DataFrame, feed_id: int | Column) -> DataFrame:
     """Items of one feed, newest first; an unknown feed is just empty."""
-    return items.filter(F.col("feed_id") == feed_id).select(*ITEM_COLUMNS).orderBy(*NEWEST_INSERTED)
+    return items.filter(F.col("feed_id") == feed_id).select(*ITEM_COLUMNS).orderBy(*newest_inserted())
 
 
 def recent_items(items: DataFrame, now: Column | dt.datetime | None = None) -> DataFrame:
@@ -48,12 +54,12 @@ def recent_items(items: DataFrame, now: Column | dt.datetime | None = None) -> D
     return (
         items.filter(F.col("inserted_at") >= moment(now) - F.expr("INTERVAL 24 HOURS"))
         .select(*ITEM_COLUMNS)
-        .orderBy(*NEWEST_INSERTED)
+        .orderBy(*newest_inserted())
     )
 
 
 def latest_items(items: DataFrame, limit: int) -> DataFrame:
-    return items.select(*ITEM_COLUMNS).orderBy(*NEWEST_INSERTED).limit(limit)
+    return items.select(*ITEM_COLUMNS).orderBy(*newest_inserted()).limit(limit)
 
 
 def with_detail(items: DataFrame, details: DataFrame) -> DataFrame:
@@ -64,7 +70,7 @@ def with_detail(items: DataFrame, details: DataFrame) -> DataFrame:
 
 def all_items_with_detail(items: DataFrame, details: DataFrame) -> DataFrame:
     dated = with_detail(items, details).withColumn("effective_at", _effective())
-    return dated.orderBy(*NEWEST_EFFECTIVE).drop("effective_at")
+    return dated.orderBy(*newest_effective()).drop("effective_at")
 
 
 def item_with_detail(items: DataFrame, details: DataFrame, item_id: int | Column) -> DataFrame:
@@ -90,17 +96,17 @@ def timeline(
     ranked = _ranked(items, details, feeds, matching.clean_query(query))
     if limit is None or limit > SMALL_LIMIT:
         wide = with_detail(items, details).join(ranked.select("id", "effective_at"), "id")
-        ordered = wide.orderBy(*NEWEST_EFFECTIVE)
+        ordered = wide.orderBy(*newest_effective())
         return (ordered if limit is None else ordered.limit(limit)).drop("effective_at")
     # At most ``limit`` rows; ids are unique, so both fetches stay as small.
-    winners = F.broadcast(ranked.orderBy(*NEWEST_EFFECTIVE).limit(limit).select("id", "effective_at"))
+    winners = F.broadcast(ranked.orderBy(*newest_effective()).limit(limit).select("id", "effective_at"))
     won_items = items.select(*ITEM_COLUMNS).join(winners, "id")
     won_details = details.select(F.col("feed_item_id").alias("id"), *DETAIL_COLUMNS).join(
         winners.select("id"), "id", "left_semi"
     )
     return (
         won_items.join(F.broadcast(won_details), "id", "left")
-        .orderBy(*NEWEST_EFFECTIVE)
+        .orderBy(*newest_effective())
         .select(*ITEM_COLUMNS, *DETAIL_COLUMNS)
     )
 
@@ -149,7 +155,7 @@ def items_after(items: DataFrame, cursor: int | Column, limit: int = REPLAY_LIMI
         items.filter(F.col("id") > cursor)
         .select(*ITEM_COLUMNS)
         .orderBy(F.desc("id"))
-        .limit(max(limit, 0) + 1 if limit > 0 else 0)
+        .limit(limit + 1 if limit > 0 else 0)
     )
     return (
         probe.withColumn("position", F.row_number().over(Window.orderBy(F.desc("id"))))
@@ -180,7 +186,7 @@ def upsert_newest(current: DataFrame, incoming: DataFrame, limit: int = TIMELINE
     both = shaped(current, 0).unionByName(shaped(incoming, 1))
     body = F.struct(*columns[1:])
     merged = both.groupBy("id").agg(F.max_by(body, "version").alias("row")).select("id", "row.*")
-    top = merged.withColumn("effective_at", _effective()).orderBy(*NEWEST_EFFECTIVE).limit(limit)
+    top = merged.withColumn("effective_at", _effective()).orderBy(*newest_effective()).limit(limit)
     return top.drop("effective_at")
 
 

@@ -7,21 +7,16 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from feedlake.functions.scores import tf_idf
 from feedlake.functions.text import DEFAULT_STOP_WORDS, title_words
 from feedlake.functions.times import moment
 
-BEST_FIRST = (F.desc("tf_idf"), F.desc("total_occurrences"), F.asc("word"))
-
 #: The nested index as it is written to JSON, with the legacy spelling.
-LEGACY_ENTRY = T.StructType.fromDDL(
-    """
+LEGACY_ENTRY = """
     word STRING, total_occurences BIGINT, document_frequency BIGINT, tf_idf DOUBLE,
     items ARRAY<STRUCT<feed_src_id: BIGINT, occurences: BIGINT>>
-    """
-)
+"""
 
 
 def title_tokens(items: DataFrame, stop_words: Iterable[str] = DEFAULT_STOP_WORDS) -> DataFrame:
@@ -92,7 +87,7 @@ def title_index(
             return F.struct(entry["feed_id"].alias("feed_src_id"), (-entry["rank"]).alias("occurrences"))
 
         columns.append(F.transform("entries", source).alias("items"))
-    return index.select(*columns).orderBy(*BEST_FIRST)
+    return index.select(*columns).orderBy(F.desc("tf_idf"), F.desc("total_occurrences"), "word")
 
 
 def title_index_recent(

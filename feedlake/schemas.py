@@ -4,56 +4,59 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-FEEDS = T.StructType.fromDDL(
-    """
-    id BIGINT NOT NULL, url STRING NOT NULL, title STRING, site_url STRING,
-    etag STRING, last_modified STRING, poll_interval_seconds BIGINT NOT NULL,
-    is_enabled BOOLEAN NOT NULL, last_checked_at TIMESTAMP, last_success_at TIMESTAMP,
-    last_inserted_at TIMESTAMP, failure_count BIGINT NOT NULL
-    """
+LONG, TEXT, FLAG, TIME = T.LongType(), T.StringType(), T.BooleanType(), T.TimestampType()
+
+
+def _table(required: dict[str, T.DataType], optional: dict[str, T.DataType], order: str) -> T.StructType:
+    kinds = required | optional
+    return T.StructType([T.StructField(c, kinds[c], c in optional) for c in order.split()])
+
+
+FEEDS = _table(
+    {"id": LONG, "url": TEXT, "poll_interval_seconds": LONG, "is_enabled": FLAG, "failure_count": LONG},
+    {"title": TEXT, "site_url": TEXT, "etag": TEXT, "last_modified": TEXT}
+    | {"last_checked_at": TIME, "last_success_at": TIME, "last_inserted_at": TIME},
+    "id url title site_url etag last_modified poll_interval_seconds is_enabled "
+    "last_checked_at last_success_at last_inserted_at failure_count",
 )
 
-ITEMS = T.StructType.fromDDL(
-    """
-    id BIGINT NOT NULL, feed_id BIGINT NOT NULL, external_id STRING NOT NULL,
-    title STRING NOT NULL, url STRING NOT NULL, inserted_at TIMESTAMP NOT NULL
-    """
+ITEMS = _table(
+    {"id": LONG, "feed_id": LONG, "external_id": TEXT, "title": TEXT, "url": TEXT, "inserted_at": TIME},
+    {},
+    "id feed_id external_id title url inserted_at",
 )
 
-DETAILS = T.StructType.fromDDL(
-    """
-    id BIGINT NOT NULL, feed_item_id BIGINT NOT NULL, summary STRING NOT NULL,
-    content STRING NOT NULL, author STRING NOT NULL, published_at TIMESTAMP NOT NULL
-    """
+DETAILS = _table(
+    {"id": LONG, "feed_item_id": LONG, "summary": TEXT, "content": TEXT, "author": TEXT, "published_at": TIME},
+    {},
+    "id feed_item_id summary content author published_at",
 )
 
-QUEUE = T.StructType.fromDDL(
-    """
-    feed_id BIGINT NOT NULL, due_at TIMESTAMP NOT NULL, leased_at TIMESTAMP,
-    lease_expires_at TIMESTAMP, lease_token STRING, attempts BIGINT NOT NULL,
-    updated_at TIMESTAMP NOT NULL
-    """
+QUEUE = _table(
+    {"feed_id": LONG, "due_at": TIME, "attempts": LONG, "updated_at": TIME},
+    {"leased_at": TIME, "lease_expires_at": TIME, "lease_token": TEXT},
+    "feed_id due_at leased_at lease_expires_at lease_token attempts updated_at",
 )
 
 #: One parsed entry of one fetch.  ``seq`` is the arrival order, unique per entry.
-ENTRIES = T.StructType.fromDDL(
-    """
-    feed_id BIGINT, seq BIGINT, external_id STRING, title STRING, url STRING,
-    summary STRING, content STRING, author STRING, published_at TIMESTAMP
-    """
+ENTRIES = _table(
+    {"feed_id": LONG, "seq": LONG, "external_id": TEXT, "title": TEXT, "url": TEXT},
+    {"summary": TEXT, "content": TEXT, "author": TEXT, "published_at": TIME},
+    "feed_id seq external_id title url summary content author published_at",
 )
 
 #: One finished poll.  ``outcome`` is fetched, not_modified or failed.
-OUTCOMES = T.StructType.fromDDL(
-    """
-    feed_id BIGINT, seq BIGINT, lease_token STRING, checked_at TIMESTAMP,
-    outcome STRING, title STRING, site_url STRING, etag STRING, last_modified STRING
-    """
+OUTCOMES = _table(
+    {"feed_id": LONG, "seq": LONG, "lease_token": TEXT, "checked_at": TIME, "outcome": TEXT},
+    {"title": TEXT, "site_url": TEXT, "etag": TEXT, "last_modified": TEXT},
+    "feed_id seq lease_token checked_at outcome title site_url etag last_modified",
 )
 
 #: One line of a service log.
-LOGS = T.StructType.fromDDL(
-    "timestamp STRING, level STRING, method STRING, route STRING, outcome STRING, duration_ms BIGINT"
+LOGS = _table(
+    {},
+    {"timestamp": TEXT, "level": TEXT, "method": TEXT, "route": TEXT, "outcome": TEXT, "duration_ms": LONG},
+    "timestamp level method route outcome duration_ms",
 )
 
 ITEM_COLUMNS = ITEMS.fieldNames()
