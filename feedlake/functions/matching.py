@@ -18,23 +18,39 @@ from feedlake.functions.links import full_host
 _PIECE = re.compile(r'(-?)"([^"]*)"?|(\S+)')
 _WORDS = re.compile(r"[^\W_]+")
 
+#: A tag, or a token as group 1.
+TOKEN = r"<[^>]*>|([\p{L}\p{N}]+)"
+
 
 def _text(part: Column) -> Column:
     return F.coalesce(part, F.lit(""))
 
 
-def document(parts: list[Column], url: Column | None = None) -> Column:
-    """Padded token string of the parts, joined by blanks."""
+def words(parts: list[Column], url: Column | None = None) -> Column:
+    """Tokens of the parts in order, as an array; markup tags are stepped over."""
     pieces = parts + ([url] if url is not None else [])
-    joined = F.concat_ws(" ", *[_text(p) for p in pieces])
-    bare = F.regexp_replace(F.lower(joined), "<[^>]*>", " ")
-    padded = F.concat(F.lit(" "), F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    joined = F.lower(F.concat_ws(" ", *[_text(p) for p in pieces]))
+    return F.array_remove(F.regexp_extract_all(joined, F.lit(TOKEN), F.lit(1)), "")
+
+
+def document(parts: list[Column], url: Column | None = None) -> Column:
+    """Padded token string of the parts."""
+    padded = F.concat(F.lit(" "), F.array_join(words(parts, url), " "), F.lit(" "))
     if url is None:
         return padded
     # The line break keeps a phrase from running into the host token.
     return F.concat(padded, F.lit("\n "), full_host(_text(url)), F.lit(" "))
 
 
+def token_set(parts: list[Column], url: Column | None = None) -> Column:
+    """Distinct tokens of the parts, the url's host included."""
+    found = words(parts, url)
+    if url is None:
+        return F.array_distinct(found)
+    host = F.array(full_host(_text(url)))
+    return F.array_remove(F.array_distinct(F.concat(found, host)), "")
+
+
 def item_document(title: Column, url: Column) -> Column:
     return document([title], url)
 
@@ -47,11 +63,6 @@ def feed_document(title: Column, url: Column) -> Column:
     return document([title], url)
 
 
-def tokens(doc: Column) -> Column:
-    """Tokens of a padded document as an array."""
-    return F.filter(F.split(doc, "[ \n]+"), lambda t: t != "")
-
-
 def clean_query(text: str | None) -> str | None:
     """A blank search box means no filter."""
     return (text or "").strip() or None

@@ -24,8 +24,8 @@ of off on once one only or other our out over own s said same say says she shoul
 than that the their them then there these they this those through to too under until up us very was
 we were what when where which while who whom why will with you your
 """.split()
-# Letters of a title word; everything else separates words.
-WORD_SEPARATORS = "[^a-zA-ZæøåÆØÅ]+"
+# Letters a title word is made of; everything else separates words.
+WORD_LETTERS = "a-zA-ZæøåÆØÅ"
 MIN_WORD_LENGTH = 2
 
 DEFAULT_STOP_WORDS = tuple(NORWEGIAN_STOP_WORDS + ENGLISH_STOP_WORDS)
@@ -36,20 +36,19 @@ SPACES = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\
 PREVIEW_LENGTH = 240
 
 
-def title_words(title: Column, stop_words: Iterable[str] = DEFAULT_STOP_WORDS) -> Column:
-    """Kept words of a title, in order, as an array.
+def long_words(title: Column) -> Column:
+    """Words of a title that are long enough, in order, lower-cased, as an array.
 
-    Separators are blanked first and the result lower-cased once as a whole
-    string, so an accented letter that lower-cases to a plain one still splits.
+    The letters are looked for before lower-casing, so an accented letter that
+    lower-cases to a plain one still separates words.
     """
-    words = F.split(F.lower(F.regexp_replace(title, WORD_SEPARATORS, " ")), " ")
-    stop = sorted(set(stop_words))
+    run = F.lit(f"[{WORD_LETTERS}]{{{MIN_WORD_LENGTH},}}")
+    return F.transform(F.regexp_extract_all(title, run, F.lit(0)), F.lower)
 
-    def keep(word: Column) -> Column:
-        long_enough = F.length(word) >= MIN_WORD_LENGTH
-        return long_enough & ~word.isin(stop) if stop else long_enough
 
-    return F.filter(words, keep)
+def is_topical(word: Column, stop_words: Iterable[str] = DEFAULT_STOP_WORDS) -> Column:
+    stop = sorted(set(stop_words))
+    return ~word.isin(stop) if stop else F.lit(True)
 
 
 def http_only(text: Column) -> Column:

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from feedlake.functions.links import host
 from feedlake.functions.text import feed_label, preview_text, truncate
 from feedlake.functions.times import age_label, effective_date
+from feedlake.operators.skew import spread_small
 
 
 def item_cards(rows: DataFrame, now: Column) -> DataFrame:
     """Host, age and preview of items with details."""
     date = effective_date(F.col("published_at"), F.col("inserted_at"))
-    return rows.select(
+    return spread_small(rows, "id").select(
         "id",
         "title",
         host(F.col("url")).alias("host"),

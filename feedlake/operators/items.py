@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions import matching
 from feedlake.functions.times import effective_date, moment
+from feedlake.operators.skew import spread_small
 from feedlake.schemas import DETAIL_COLUMNS, ITEM_COLUMNS
 
 # List and replay lengths.
@@ -136,10 +137,12 @@ def _ranked(items: DataFrame, details: DataFrame, feeds: DataFrame, query: str |
     feed_side.append(matching.matches(item_doc, query).alias("feed_match"))
     # A missing detail counts as an empty document: exclusions hold for it.
     empty_match = matching.matches(matching.document([F.lit("")]), query)
+    texts = spread_small(items.select("id", "feed_id", "inserted_at", "title", "url"), "id")
+    bodies = spread_small(details.select("feed_item_id", *DETAIL_COLUMNS), "feed_item_id")
     joined = (
-        items.select(*item_side)
+        texts.select(*item_side)
         .join(feeds.select(*feed_side), "feed_id")
-        .join(details.select(*detail_side), "id", "left")
+        .join(bodies.select(*detail_side), "id", "left")
     )
     hit = F.col("item_match") | F.coalesce(F.col("detail_match"), empty_match) | F.col("feed_match")
     return joined.filter(hit).select("id", _effective().alias("effective_at"))

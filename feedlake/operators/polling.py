@@ -14,6 +14,7 @@ from feedlake.operators.cadence import cadence
 from feedlake.operators.items import SMALL_LIMIT
 from feedlake.operators.skew import spread_join
 from feedlake.schemas import FEED_COLUMNS, QUEUE_COLUMNS
+from feedlake.session import settled
 
 # Batch size and length of a lease.
 DEFAULT_LEASE_BATCH = 25
@@ -272,11 +273,13 @@ def complete_batch(
 
     ``entries`` carry ``outcome_seq``, the outcome they came with; those of
     rejected outcomes are dropped.  The cadence sees the rows just added.
+    What everything else builds on, the accepted outcomes and the numbers of
+    the new entries, is settled first.
     """
-    accepted = accepted_outcomes(outcomes, queue, now)
+    accepted = settled(accepted_outcomes(outcomes, queue, now), "accepted")
     bodies = accepted.filter(F.col("outcome") == FETCHED).select("feed_id", F.col("seq").alias("outcome_seq"))
     body_entries = entries.join(bodies, ["feed_id", "outcome_seq"], "left_semi")
-    numbers = ingest.number_new(body_entries, items)
+    numbers = settled(ingest.number_new(body_entries, items), "numbers")
     fresh_items = ingest.new_items(body_entries, numbers, now)
     fresh_details = ingest.new_details(body_entries, numbers, now)
     polled = accepted.filter(F.col("outcome") == FETCHED).select(F.col("feed_id").alias("id"))
@@ -288,7 +291,7 @@ def complete_batch(
         feeds=feeds_after,
         queue=queue_after_polls(queue, next_due(accepted, feeds_after, queue), now),
         accepted=accepted,
-        rejected=rejected_outcomes(outcomes, queue, now),
+        rejected=outcomes.join(accepted.select("feed_id", "seq"), ["feed_id", "seq"], "left_anti"),
     )
 
 

@@ -1,4 +1,4 @@
-"""Joins in which one key may hold a large share of all rows."""
+"""Even work: joins with hot keys, and inputs too small to be split by the scan."""
 
 from __future__ import annotations
 
@@ -21,3 +21,23 @@ def spread_join(
     salted = rows.withColumn("_salt", F.pmod(F.hash(by), F.lit(spread)))
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+#: Inputs up to this estimated size are dealt out before costly row work.
+SMALL_INPUT_BYTES = 256 << 20
+
+
+def spread_small(rows: DataFrame, key: str) -> DataFrame:
+    """Deal a small input out to all cores by a unique key.
+
+    A file of one row group is read by one task however many cores there are.
+    Where the row work is costly (tokenising texts) moving a small input first
+    pays off.  Anything larger is left as scanned: its many splits keep all
+    cores busy, and its texts are not shuffled.
+    """
+    if rows.isStreaming:
+        return rows
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SMALL_INPUT_BYTES:
+        return rows
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)

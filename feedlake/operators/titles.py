@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions.scores import tf_idf
-from feedlake.functions.text import DEFAULT_STOP_WORDS, title_words
+from feedlake.functions.text import DEFAULT_STOP_WORDS, is_topical, long_words
 from feedlake.functions.times import moment
+from feedlake.operators.skew import spread_small
 
 #: The nested index as it is written to JSON, with the legacy spelling.
 LEGACY_ENTRY = """
@@ -21,9 +22,10 @@ LEGACY_ENTRY = """
 
 def title_tokens(items: DataFrame, stop_words: Iterable[str] = DEFAULT_STOP_WORDS) -> DataFrame:
     """One row per kept word of every title, repeats included."""
-    return items.select(
-        F.col("id").alias("item_id"), "feed_id", F.explode(title_words(F.col("title"), stop_words)).alias("word")
-    )
+    titles = spread_small(items.select("id", "feed_id", "title"), "id")
+    return titles.select(
+        F.col("id").alias("item_id"), "feed_id", F.explode(long_words(F.col("title"))).alias("word")
+    ).filter(is_topical(F.col("word"), stop_words))
 
 
 def in_last_day(items: DataFrame, now: Column | dt.datetime | None) -> DataFrame:
@@ -33,29 +35,21 @@ def in_last_day(items: DataFrame, now: Column | dt.datetime | None) -> DataFrame
 def word_counts(items: DataFrame, stop_words: Iterable[str] = DEFAULT_STOP_WORDS) -> DataFrame:
     """Occurrences and titles per (word, feed).
 
-    A title is one row, so which of its words are first occurrences is known
-    before anything is shuffled: the words are sorted inside the row and a
-    word that differs from its left neighbour counts the title once.  Both
-    counts then combine on the map side, however frequent a word or a feed is.
+    A title is one row, so its distinct words are known before anything is
+    shuffled.  All words are counted as occurrences, the distinct ones as
+    titles, in one aggregation that combines on the map side, however frequent
+    a word or a feed is; no distinct count ever shuffles item ids.
     """
-    words = F.array(F.array_sort(title_words(F.col("title"), stop_words)))
-
-    def marked(row: Column) -> Column:
-        def mark(word: Column, i: Column) -> Column:
-            repeat = (i > 0) & (word == F.get(row, i - 1))
-            return F.struct(word.alias("word"), F.when(repeat, 0).otherwise(1).alias("is_first"))
-
-        return F.transform(row, mark)
-
-    # The one-element outer array binds the sorted words once per row.
-    once = F.get(F.transform(words, marked), F.lit(0))
+    titles = spread_small(items.select("id", "feed_id", "title"), "id")
+    words = titles.select("feed_id", long_words(F.col("title")).alias("words"))
+    lists = words.select(
+        "feed_id", F.posexplode(F.array("words", F.array_distinct("words"))).alias("distinct", "words")
+    )
+    single = lists.select("feed_id", "distinct", F.explode("words").alias("word"))
     return (
-        items.select("feed_id", F.explode(once).alias("w"))
-        .groupBy(F.col("w.word").alias("word"), "feed_id")
-        .agg(
-            F.count(F.lit(1)).alias("occurrences"),
-            F.sum("w.is_first").alias("documents"),
-        )
+        single.filter(is_topical(F.col("word"), stop_words))
+        .groupBy("word", "feed_id")
+        .agg(F.sum(1 - F.col("distinct")).alias("occurrences"), F.sum("distinct").alias("documents"))
     )
 
 
@@ -140,7 +134,10 @@ def words_sliding(
     Words are counted per ``slide`` step first; only those small counts are
     copied into the windows that contain the step.
     """
-    words = items.select("inserted_at", F.explode(title_words(F.col("title"), stop_words)).alias("word"))
+    titles = spread_small(items.select("id", "inserted_at", "title"), "id")
+    words = titles.select("inserted_at", F.explode(long_words(F.col("title"))).alias("word")).filter(
+        is_topical(F.col("word"), stop_words)
+    )
     steps = words.groupBy(F.window("inserted_at", slide).alias("step"), "word").agg(
         F.count(F.lit(1)).alias("n")
     )

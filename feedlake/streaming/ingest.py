@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedlake.operators import ingest
 from feedlake.schemas import ENTRIES
-from feedlake.session import new_folder
+from feedlake.session import settled
 from feedlake.sources.feed_xml import read_entries
 from feedlake.sources.tables import TableStore
 
@@ -37,9 +37,7 @@ def store_batch(entries: DataFrame, batch_id: int, store: TableStore) -> None:
     """
     spark = store.spark
     known = store.read("feed_items", before_batch=batch_id)
-    folder = new_folder(spark, f"numbers-{batch_id}")
-    ingest.number_new(entries, known).write.parquet(folder)
-    numbers = spark.read.schema("seq long, id long").parquet(folder)
+    numbers = settled(ingest.number_new(entries, known), f"numbers-{batch_id}")
     started = spark.range(1).select(F.current_timestamp()).first()[0]
     store.append("feed_item_details", ingest.new_details(entries, numbers, started), batch_id)
     store.append("feed_items", ingest.new_items(entries, numbers, started), batch_id)
