@@ -100,14 +100,17 @@ def timeline(
         ordered = wide.orderBy(*newest_effective())
         return (ordered if limit is None else ordered.limit(limit)).drop("effective_at")
     # At most ``limit`` rows; ids are unique, so both fetches stay as small.
-    winners = F.broadcast(ranked.orderBy(*newest_effective()).limit(limit).select("id", "effective_at"))
+    # Each keeps the winners' date: with equal columns one broadcast serves both.
+    winners = F.broadcast(ranked.orderBy(*newest_effective()).limit(limit))
     won_items = items.select(*ITEM_COLUMNS).join(winners, "id")
-    won_details = details.select(F.col("feed_item_id").alias("id"), *DETAIL_COLUMNS).join(
-        winners.select("id"), "id", "left_semi"
+    won_details = (
+        details.select(F.col("feed_item_id").alias("id"), *DETAIL_COLUMNS)
+        .join(winners, "id")
+        .withColumnRenamed("effective_at", "same_date")
     )
     return (
         won_items.join(F.broadcast(won_details), "id", "left")
-        .orderBy(*newest_effective())
+        .orderBy(F.coalesce("same_date", "effective_at").desc(), F.desc("id"))
         .select(*ITEM_COLUMNS, *DETAIL_COLUMNS)
     )
 

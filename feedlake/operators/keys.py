@@ -21,7 +21,10 @@ def assign_ids(
     a task that is run again gives the same ids.
     """
     value = F.col(order)
-    blocked = rows.withColumn("_block", value - F.pmod(value, F.lit(block_rows).cast("long")))
+    # The filter keeps both uses of the ranks below alike, so they are computed once.
+    blocked = rows.withColumn("_block", value - F.pmod(value, F.lit(block_rows).cast("long"))).filter(
+        "_block is not null"
+    )
     ranked = blocked.withColumn(
         "_rank", F.row_number().over(Window.partitionBy("_block").orderBy(order))
     )

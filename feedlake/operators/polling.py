@@ -13,7 +13,7 @@ from feedlake.operators import ingest
 from feedlake.operators.cadence import cadence
 from feedlake.operators.items import SMALL_LIMIT
 from feedlake.operators.skew import spread_join
-from feedlake.schemas import FEED_COLUMNS, QUEUE_COLUMNS
+from feedlake.schemas import DEFAULT_POLL_INTERVAL_SECONDS, FEED_COLUMNS, QUEUE_COLUMNS
 from feedlake.session import settled
 
 # Batch size and length of a lease.
@@ -305,43 +305,49 @@ def poll_state(outcomes: DataFrame, initial: DataFrame) -> DataFrame:
     ``initial(feed_id, poll_interval_seconds, failure_count, last_success_at,
     last_checked_at)`` is the state before.  Only the last fetch, the last
     success and what follows them matter, so two small aggregations replace an
-    ordered walk: both combine on the map side, and no feed's history is ever
-    gathered in one place.
+    ordered walk: the first finds where they are, the second reads the rows
+    from there on.  Both combine on the map side, and no feed's history is
+    ever gathered in one place.
     """
     seq, outcome = F.col("seq"), F.col("outcome")
-
-    def last(condition: Column, value: Column) -> Column:
-        return F.max(F.when(condition, F.struct(seq, value.alias("value"))))
-
     marks = outcomes.groupBy("feed_id").agg(
-        last(outcome == FETCHED, F.col("resolved_interval")).alias("fetch"),
-        last(outcome != FAILED, F.col("checked_at")).alias("success"),
-        last(F.lit(True), F.col("checked_at")).alias("check"),
+        F.max(F.when(outcome == FETCHED, seq)).alias("fetch_seq"),
+        F.max(F.when(outcome != FAILED, seq)).alias("success_seq"),
+        F.max(seq).alias("last_seq"),
     )
-    after_fetch = F.col("fetch.seq").isNull() | (seq > F.col("fetch.seq"))
-    after_success = F.col("success.seq").isNull() | (seq > F.col("success.seq"))
+    after_fetch = F.col("fetch_seq").isNull() | (seq > F.col("fetch_seq"))
+    after_success = F.col("success_seq").isNull() | (seq > F.col("success_seq"))
+
+    def value_at(mark: str, value: str) -> Column:
+        return F.max(F.when(seq == F.col(mark), F.col(value)))
+
+    slim = outcomes.select("feed_id", "seq", "checked_at", "resolved_interval")
     tails = (
-        spread_join(
-            outcomes.select("feed_id", "seq"), marks.select("feed_id", "fetch", "success"), "feed_id", by="seq"
-        )
-        .filter(after_fetch)
+        spread_join(slim, marks, "feed_id", by="seq")
+        .filter(after_fetch | (seq == F.col("fetch_seq")))
         .groupBy("feed_id")
         .agg(
-            F.count(F.lit(1)).alias("backoffs"),
+            value_at("fetch_seq", "resolved_interval").alias("fetched_interval"),
+            value_at("success_seq", "checked_at").alias("success_at"),
+            value_at("last_seq", "checked_at").alias("checked_at"),
+            F.count_if(after_fetch).alias("backoffs"),
             F.count_if(after_success).alias("failures"),
         )
     )
-    state = initial.join(marks, "feed_id", "full").join(tails, "feed_id", "left")
+    state = initial.join(tails, "feed_id", "full")
+    no_rows = F.lit(0).cast("long")
+    fetched = F.col("fetched_interval")
     start = F.coalesce(
-        scores.clamp_interval(F.col("fetch.value")), F.col("poll_interval_seconds"), F.lit(300).cast("long")
+        F.when(fetched.isNotNull(), scores.clamp_interval(fetched)),
+        F.col("poll_interval_seconds"),
+        F.lit(DEFAULT_POLL_INTERVAL_SECONDS).cast("long"),
     )
-    no_rows = F.lit(0).cast("long")
-    failures = F.coalesce("failures", no_rows)
-    earlier = F.when(F.col("success").isNull(), F.coalesce("failure_count", no_rows)).otherwise(no_rows)
+    # Failures before this batch count on only if nothing has succeeded since.
+    earlier = F.when(F.col("success_at").isNull(), F.coalesce("failure_count", no_rows)).otherwise(no_rows)
     return state.select(
         "feed_id",
         scores.repeated_backoff(start, F.coalesce("backoffs", no_rows)).alias("poll_interval_seconds"),
-        (earlier + failures).alias("failure_count"),
-        F.coalesce("success.value", "last_success_at").alias("last_success_at"),
-        F.coalesce("check.value", "last_checked_at").alias("last_checked_at"),
+        (earlier + F.coalesce("failures", no_rows)).alias("failure_count"),
+        F.coalesce("success_at", "last_success_at").alias("last_success_at"),
+        F.coalesce("checked_at", "last_checked_at").alias("last_checked_at"),
     )
