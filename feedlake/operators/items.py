@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions import matching
 from feedlake.functions.times import effective_date, moment
-from feedlake.operators.skew import spread_small
+from feedlake.operators.skew import is_small, spread_small
 from feedlake.schemas import DETAIL_COLUMNS, ITEM_COLUMNS
 
 # List and replay lengths.
@@ -20,6 +20,9 @@ CATCH_UP_LIMIT = 4096
 #: Up to this many rows a top-k is small enough to be sent to every executor.
 SMALL_LIMIT = 10_000
 
+#: How many times the wanted rows are looked at to find where to stop.
+LOOK_BACK = 4
+
 
 
 def newest_inserted() -> list[Column]:
@@ -90,18 +93,31 @@ def timeline(
 
     Ranking needs only ids, dates and match flags.  With a small limit the
     wide text columns are fetched afterwards for the few winners, so article
-    bodies are never shuffled.  Items without a feed are left out.
+    bodies are never shuffled, and of large tables only the newest part is
+    read unless there is a search.  Items without a feed are left out.
     """
     if feed_id is not None:
         items = items.filter(F.col("feed_id") == feed_id)
-    ranked = _ranked(items, details, feeds, matching.clean_query(query))
+    search = matching.clean_query(query)
     if limit is None or limit > SMALL_LIMIT:
-        wide = with_detail(items, details).join(ranked.select("id", "effective_at"), "id")
-        ordered = wide.orderBy(*newest_effective())
+        ranked = _matching(items, details, feeds, search) if search else _dated(items, details, feeds)
+        ordered = with_detail(items, details).join(ranked, "id").orderBy(*newest_effective())
         return (ordered if limit is None else ordered.limit(limit)).drop("effective_at")
+    small = is_small(items) and is_small(details)
+    if search:
+        ranked = _matching(items, details, feeds, search)
+    elif small:
+        ranked = _dated(items, details, feeds)
+    else:
+        ranked = _newest_dated(items, details, feeds, limit)
     # At most ``limit`` rows; ids are unique, so both fetches stay as small.
     # Each keeps the winners' date: with equal columns one broadcast serves both.
     winners = F.broadcast(ranked.orderBy(*newest_effective()).limit(limit))
+    if not small:
+        # Winners are mostly the latest ids: the bound skips the files before them.
+        oldest = winners.agg(F.min("id")).scalar()
+        items = items.filter(F.col("id") >= oldest)
+        details = details.filter(F.col("feed_item_id") >= oldest)
     won_items = items.select(*ITEM_COLUMNS).join(winners, "id")
     won_details = (
         details.select(F.col("feed_item_id").alias("id"), *DETAIL_COLUMNS)
@@ -119,36 +135,75 @@ def _effective() -> Column:
     return effective_date(F.col("published_at"), F.col("inserted_at"))
 
 
-def _ranked(items: DataFrame, details: DataFrame, feeds: DataFrame, query: str | None) -> DataFrame:
-    """Ids and ordering dates of the items that qualify, no text columns.
+def _known(items: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Ids and insertion times of items that have a feed."""
+    return (
+        items.select("id", "feed_id", "inserted_at")
+        .join(feeds.select(F.col("id").alias("feed_id")), "feed_id", "left_semi")
+        .select("id", "inserted_at")
+    )
+
+
+def _published(details: DataFrame) -> DataFrame:
+    return details.select(F.col("feed_item_id").alias("id"), "published_at")
+
+
+def _dated(items: DataFrame, details: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Ids and ordering dates, no text columns."""
+    return (
+        _known(items, feeds)
+        .join(_published(details), "id", "left")
+        .select("id", _effective().alias("effective_at"))
+    )
 
-    A search is evaluated separately on item, detail and feed documents, each
-    beside its own scan, and only the three flags travel through the joins.
-    """
-    item_side = [F.col("id"), F.col("feed_id"), F.col("inserted_at")]
-    detail_side = [F.col("feed_item_id").alias("id"), F.col("published_at")]
-    feed_side = [F.col("id").alias("feed_id")]
-    if query is None:
-        known = items.select(*item_side).join(feeds.select(*feed_side), "feed_id", "left_semi")
-        dated = known.join(details.select(*detail_side), "id", "left")
-        return dated.select("id", _effective().alias("effective_at"))
 
+def _newest_dated(items: DataFrame, details: DataFrame, feeds: DataFrame, limit: int) -> DataFrame:
+    """Like :func:`_dated`, reduced to what can be among the newest ``limit``.
+
+    An ordering date is never later than the insertion.  So once ``limit``
+    items with dates from some moment on are known, items inserted before that
+    moment are out, and neither they nor their details need to be read.  The
+    moment comes from the latest insertions; too few of them exclude nothing.
+    """
+    known, published = _known(items, feeds), _published(details)
+    # A few times ``limit`` small rows, as old articles may have come in last.
+    latest = known.orderBy(*newest_inserted()).limit(LOOK_BACK * limit)
+    near = published.filter(F.col("id") >= latest.agg(F.min("id")).scalar())
+    found = near.join(F.broadcast(latest.select("id")), "id", "left_semi")
+    dates = latest.join(F.broadcast(found), "id", "left").select("id", _effective().alias("effective_at"))
+    best = dates.orderBy(*newest_effective()).limit(limit)
+    kind = items.schema["inserted_at"].dataType
+    enough = F.when(F.count(F.lit(1)) >= limit, F.min("effective_at"))
+    since = best.agg(F.coalesce(enough, F.lit("0001-01-01").cast(kind))).scalar()
+    late = known.filter(F.col("inserted_at") >= since)
+    their = published.filter(F.col("id") >= late.agg(F.min("id")).scalar())
+    return late.join(their, "id", "left").select("id", _effective().alias("effective_at"))
+
+
+def _matching(items: DataFrame, details: DataFrame, feeds: DataFrame, query: str) -> DataFrame:
+    """Ids and ordering dates of the items that match a search.
+
+    The search is evaluated separately on item, detail and feed documents,
+    each beside its own scan, and only three flags travel through the joins.
+    """
     item_doc = matching.item_document(F.col("title"), F.col("url"))
     detail_doc = matching.detail_document(F.col("summary"), F.col("content"), F.col("author"))
-    item_side.append(matching.matches(item_doc, query).alias("item_match"))
-    detail_side.append(matching.matches(detail_doc, query).alias("detail_match"))
-    feed_side.append(matching.matches(item_doc, query).alias("feed_match"))
-    # A missing detail counts as an empty document: exclusions hold for it.
-    empty_match = matching.matches(matching.document([F.lit("")]), query)
     texts = spread_small(items.select("id", "feed_id", "inserted_at", "title", "url"), "id")
     bodies = spread_small(details.select("feed_item_id", *DETAIL_COLUMNS), "feed_item_id")
-    joined = (
-        texts.select(*item_side)
-        .join(feeds.select(*feed_side), "feed_id")
-        .join(bodies.select(*detail_side), "id", "left")
+    item_side = texts.select("id", "feed_id", "inserted_at", matching.matches(item_doc, query).alias("item_match"))
+    detail_side = bodies.select(
+        F.col("feed_item_id").alias("id"), "published_at", matching.matches(detail_doc, query).alias("detail_match")
     )
+    feed_side = feeds.select(F.col("id").alias("feed_id"), matching.matches(item_doc, query).alias("feed_match"))
+    # A missing detail counts as an empty document: exclusions hold for it.
+    empty_match = matching.matches(matching.document([F.lit("")]), query)
     hit = F.col("item_match") | F.coalesce(F.col("detail_match"), empty_match) | F.col("feed_match")
-    return joined.filter(hit).select("id", _effective().alias("effective_at"))
+    return (
+        item_side.join(feed_side, "feed_id")
+        .join(detail_side, "id", "left")
+        .filter(hit)
+        .select("id", _effective().alias("effective_at"))
+    )
 
 
 def items_after(items: DataFrame, cursor: int | Column, limit: int = REPLAY_LIMIT) -> DataFrame:

@@ -23,8 +23,14 @@ def spread_join(
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
-#: Inputs up to this estimated size are dealt out before costly row work.
-SMALL_INPUT_BYTES = 256 << 20
+#: Estimated size up to which a table is read or dealt out whole without a thought.
+SMALL_BYTES = 256 << 20
+
+
+def is_small(table: DataFrame) -> bool:
+    """Is the optimizer's size estimate of a table small?"""
+    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= SMALL_BYTES
 
 
 def spread_small(rows: DataFrame, key: str) -> DataFrame:
@@ -35,9 +41,6 @@ def spread_small(rows: DataFrame, key: str) -> DataFrame:
     pays off.  Anything larger is left as scanned: its many splits keep all
     cores busy, and its texts are not shuffled.
     """
-    if rows.isStreaming:
-        return rows
-    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > SMALL_INPUT_BYTES:
+    if rows.isStreaming or not is_small(rows):
         return rows
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import random
 import re
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 import small
 from conftest import at
 from feedlake.operators import items as ops
+from feedlake.operators import skew
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +35,14 @@ def ids(df):
     return [r.id for r in df.collect()]
 
 
-def test_timeline_order_and_future_dates(tables):
+@pytest.fixture(params=["small tables", "large tables"])
+def size(request, monkeypatch):
+    """Both ways of reading the timeline."""
+    if request.param == "large tables":
+        monkeypatch.setattr(skew, "SMALL_BYTES", -1)
+
+
+def test_timeline_order_and_future_dates(tables, size):
     items, details, feeds = tables
     for limit in (None, 3, 20_000):
         rows = ops.timeline(items, details, feeds, limit=limit).collect()
@@ -44,7 +53,23 @@ def test_timeline_order_and_future_dates(tables):
     assert ids(ops.timeline(items, details, feeds, limit=2)) == [2, 3]
 
 
-def test_timeline_filters(tables):
+def test_timeline_against_plain_python(spark, size):
+    """Late and early published dates, items without details, limits on both sides of the cutoff."""
+    rng = random.Random(21)
+    day = at("2024-01-01T00:00:00")
+    rows = [(i, rng.choice([1, 1, 2, 9]), "t", (day + dt.timedelta(minutes=rng.randint(0, 900))).isoformat()) for i in range(150)]
+    published = {
+        r[0]: at(r[3]) + dt.timedelta(minutes=rng.choice([-5000, -300, -20, 0, 400])) for r in rows if rng.random() < 0.7
+    }
+    items = small.items(spark, *rows)
+    details = small.details(spark, *[(i, "", "", p.isoformat()) for i, p in published.items()])
+    feeds = small.feeds(spark, (1, {}), (2, {}))
+    order = sorted(((min(published.get(i, at(t)), at(t)), i) for i, f, _, t in rows if f != 9), reverse=True)
+    for limit in (1, 7, 60, 500):
+        assert ids(ops.timeline(items, details, feeds, limit=limit)) == [i for _, i in order][:limit]
+
+
+def test_timeline_filters(tables, size):
     items, details, feeds = tables
 
     def found(**kw):
