@@ -16,28 +16,53 @@ def assign_ids(
 
     The order values are cut into blocks of fixed width.  A block holds at
     most ``block_rows`` rows because its values are unique, so no task sorts
-    more than that, and the per-block counts are the only thing that is summed
-    in one place.  The result depends on the data alone, not on partitions, so
+    more than that, and only counts are summed across blocks.  The result depends on the data alone, not on partitions, so
     a task that is run again gives the same ids.
     """
-    value = F.col(order)
     # The filter keeps both uses of the ranks below alike, so they are computed once.
-    blocked = rows.withColumn("_block", value - F.pmod(value, F.lit(block_rows).cast("long"))).filter(
-        "_block is not null"
-    )
+    blocked = rows.withColumn("_block", block_of(F.col(order), block_rows)).filter("_block is not null")
     ranked = blocked.withColumn(
         "_rank", F.row_number().over(Window.partitionBy("_block").orderBy(order))
     )
     sizes = ranked.groupBy("_block").agg(F.max("_rank").cast("long").alias("_size"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_block", F.coalesce(F.sum("_size").over(before), F.lit(0).cast("long")).alias("_offset")
-    )
+    offsets = totals_before(sizes, "_block", "_size", block_rows)
     first = start if isinstance(start, Column) else F.lit(start).cast("long")
     return (
         ranked.join(offsets, "_block")
-        .withColumn(name, first + F.col("_offset") + F.col("_rank"))
-        .drop("_block", "_rank", "_offset")
+        .withColumn(name, first + F.col("before") + F.col("_rank"))
+        .drop("_block", "_rank", "before")
+    )
+
+
+def block_of(value: Column, width: int) -> Column:
+    """Start of the aligned block of ``width`` values a long falls into."""
+    return value - F.pmod(value, F.lit(width).cast("long"))
+
+
+def totals_before(sizes: DataFrame, block: str, size: str, width: int, descending: bool = False) -> DataFrame:
+    """``(block, before)``: summed sizes of all blocks in front of each.
+
+    Blocks are summed in groups of ``width`` blocks and the groups once more,
+    so even sparse values, of which every block is nearly empty, put only a
+    ``width``-th of the blocks into the one task that sees all groups.
+    """
+    group = block_of(F.col(block), width * width)
+    grouped = sizes.select(block, size, group.alias("_group"))
+    sums = grouped.groupBy("_group").agg(F.sum(size).alias("_sum"))
+    front = (Window.unboundedPreceding, -1)
+
+    def order(column: str) -> Column:
+        return F.desc(column) if descending else F.asc(column)
+
+    def total(column: str, window) -> Column:
+        return F.coalesce(F.sum(column).over(window.rowsBetween(*front)), F.lit(0).cast("long"))
+
+    groups = sums.select("_group", total("_sum", Window.orderBy(order("_group"))).alias("_groups_before"))
+    inside = Window.partitionBy("_group").orderBy(order(block))
+    return (
+        grouped.select(block, "_group", total(size, inside).alias("_inside"))
+        .join(groups, "_group")
+        .select(block, (F.col("_inside") + F.col("_groups_before")).alias("before"))
     )
 
 

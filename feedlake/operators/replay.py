@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.times import rfc3339
 from feedlake.operators.items import CATCH_UP_LIMIT, REPLAY_LIMIT, items_after
+from feedlake.operators.keys import block_of, totals_before
 from feedlake.schemas import ITEM_COLUMNS
 
 MARKER = "replayed DOUBLE, limited BOOLEAN, last_event_id DOUBLE"
@@ -143,16 +144,13 @@ def consumer_lag(
     and only the cursor's own block is ranked, at most ``block`` ids per task.
     """
 
-    def block_of(value: Column) -> Column:
-        return value - F.pmod(value, F.lit(block).cast("long"))
-
     cursors = consumers.filter("cursor is not null").select("cursor").distinct()
     lowest = cursors.agg(F.min("cursor")).scalar()
     ids = items.select("id").filter(F.col("id") > lowest)
     marked = (
         ids.select(F.col("id").alias("at"), F.lit(1).alias("is_item"))
         .unionByName(cursors.select(F.col("cursor").alias("at"), F.lit(0).alias("is_item")))
-        .withColumn("block", block_of(F.col("at")))
+        .withColumn("block", block_of(F.col("at"), block))
     )
     # Ranges are inclusive of ties: an item with the cursor's own id counts on
     # both sides of it and is taken off again.
@@ -165,12 +163,11 @@ def consumer_lag(
         (F.sum("is_item").over(above) - F.sum("is_item").over(same)).alias("newer"),
     )
     sizes = marked.groupBy("block").agg(F.sum("is_item").alias("n"))
-    later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = sizes.select("block", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("beyond"))
+    totals = totals_before(sizes, "block", "n", block, descending=True)
     behind = (
         inside.filter("is_item = 0")
         .join(totals, "block")
-        .select(F.col("at").alias("cursor"), (F.col("newer") + F.col("beyond")).alias("behind"))
+        .select(F.col("at").alias("cursor"), (F.col("newer") + F.col("before")).alias("behind"))
     )
     dropped = F.greatest(F.col("behind") - buffer, F.lit(0).cast("long"))
     return consumers.join(behind, "cursor").select("consumer_id", "cursor", "behind", dropped.alias("dropped"))

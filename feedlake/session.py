@@ -7,23 +7,35 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Runtime settings every job relies on.  Partition counts are left to the
-#: cluster: AQE coalesces small shuffles and splits skewed join partitions.
+#: Runtime settings every job relies on.  AQE coalesces small shuffles and
+#: splits skewed join partitions.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
+#: Shuffles start with this many partitions per core and are coalesced by size.
+PARTITIONS_PER_CORE = 4
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    """Apply the settings above; explicit partition counts are respected."""
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    if not is_local(spark) and spark.conf.get(INITIAL_PARTITIONS, None) is None:
+        given = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        cores = spark.sparkContext.defaultParallelism
+        spark.conf.set(INITIAL_PARTITIONS, str(max(given, PARTITIONS_PER_CORE * cores)))
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
@@ -34,7 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not is_local(spark):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="feedlake-")
     spark.conf.set("spark.checkpoint.dir", folder)

@@ -24,6 +24,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def complete_batches(spark: SparkSession, folder: str, label: str) -> list[int]:
+    """Numbers of the ``label=N`` folders whose write has finished."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{label}=*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    return [int(f.getPath().getParent().getName().split("=")[1]) for f in found or []]
+
+
 class TableStore:
     """Reads and writes the tables below one folder."""
 
@@ -62,7 +69,7 @@ class TableStore:
 
     def snapshot(self, table: str, before_batch: int | None = None) -> DataFrame:
         """The newest complete snapshot of a table, older than a batch if given."""
-        found = [b for b in self._complete(table) if before_batch is None or b < before_batch]
+        found = [b for b in complete_batches(self.spark, self.path(table), BATCH) if before_batch is None or b < before_batch]
         columns = self._schema(table)
         if not found:
             return self.spark.createDataFrame([], columns)
@@ -73,12 +80,6 @@ class TableStore:
             self._batch_path(table, batch_id)
         )
 
-    def _complete(self, table: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/{BATCH}=*/_SUCCESS")
-        statuses = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
-        return [int(s.getPath().getParent().getName().split("=")[1]) for s in statuses or []]
-
     def stream(self, table: str) -> DataFrame:
         """New rows of an appended table as they arrive."""
         batched = StructType([*self._schema(table).fields]).add(BATCH, LongType())
@@ -91,4 +92,4 @@ def save_bucketed(items: DataFrame, details: DataFrame, buckets: int, database:
         rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(f"{database}.{name}")
 
 
-__all__ = ["TableStore", "exists", "save_bucketed"]
+__all__ = ["TableStore", "complete_batches", "exists", "save_bucketed"]

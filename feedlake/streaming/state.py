@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedlake.operators.items import TIMELINE_LIMIT, upsert_newest
 from feedlake.operators.polling import poll_state
-from feedlake.sources.tables import exists
+from feedlake.sources.tables import complete_batches, exists
 
 
 class Snapshots:
@@ -35,10 +35,8 @@ class Snapshots:
         return self.spark.read.schema(self.empty.schema).parquet(self.path(batch_id - 1))
 
     def latest(self) -> DataFrame:
-        batch = 0
-        while exists(self.spark, f"{self.path(batch)}/_SUCCESS"):
-            batch += 1
-        return self.before(batch)
+        batches = complete_batches(self.spark, self.root, "batch")
+        return self.before(max(batches) + 1) if batches else self.empty
 
 
 def _merge_stream(
