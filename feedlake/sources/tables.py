@@ -80,10 +80,17 @@ class TableStore:
             self._batch_path(table, batch_id)
         )
 
-    def stream(self, table: str) -> DataFrame:
-        """New rows of an appended table as they arrive."""
+    def stream(self, table: str, max_files: int | None = None) -> DataFrame:
+        """New rows of an appended table as they arrive.
+
+        ``max_files`` bounds a micro-batch; unlike a bounded catch-up it only
+        spreads the backlog over several batches and skips nothing.
+        """
         batched = StructType([*self._schema(table).fields]).add(BATCH, LongType())
-        return self.spark.readStream.schema(batched).parquet(self.path(table)).drop(BATCH)
+        reader = self.spark.readStream.schema(batched)
+        if max_files is not None:
+            reader = reader.option("maxFilesPerTrigger", max_files)
+        return reader.parquet(self.path(table)).drop(BATCH)
 
 
 def save_bucketed(items: DataFrame, details: DataFrame, buckets: int, database: str = "default") -> None:

@@ -37,10 +37,15 @@ def store_batch(entries: DataFrame, batch_id: int, store: TableStore) -> None:
     """
     spark = store.spark
     known = store.read("feed_items", before_batch=batch_id)
-    numbers = settled(ingest.number_new(entries, known), f"numbers-{batch_id}")
-    started = spark.range(1).select(F.current_timestamp()).first()[0]
-    store.append("feed_item_details", ingest.new_details(entries, numbers, started), batch_id)
-    store.append("feed_items", ingest.new_items(entries, numbers, started), batch_id)
+    # Read three times below; parsing bodies once is enough.
+    entries = entries.persist()
+    try:
+        numbers = settled(ingest.number_new(entries, known), f"numbers-{batch_id}")
+        started = spark.range(1).select(F.current_timestamp()).first()[0]
+        store.append("feed_item_details", ingest.new_details(entries, numbers, started), batch_id)
+        store.append("feed_items", ingest.new_items(entries, numbers, started), batch_id)
+    finally:
+        entries.unpersist()
 
 
 def ingest_entries(entries: DataFrame, store: TableStore, checkpoint: str, available_now: bool = False) -> StreamingQuery:
