@@ -29,7 +29,7 @@ def seconds_between(later: Column, earlier: Column) -> Column:
 
 
 def add_seconds(ts: Column, seconds: Column) -> Column:
-    return F.timestamp_add("SECOND", seconds.cast("int"), ts)
+    return F.timestamp_add("SECOND", seconds.cast("long"), ts)
 
 
 def fraction(ts: Column) -> Column:

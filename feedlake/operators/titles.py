@@ -12,6 +12,7 @@ from feedlake.functions.scores import tf_idf
 from feedlake.functions.text import DEFAULT_STOP_WORDS, is_topical, long_words
 from feedlake.functions.times import moment
 from feedlake.operators.skew import spread_small
+from feedlake.operators.words import one_row_per_word
 
 #: The nested index as it is written to JSON, with the legacy spelling.
 LEGACY_ENTRY = """
@@ -23,9 +24,9 @@ LEGACY_ENTRY = """
 def title_tokens(items: DataFrame, stop_words: Iterable[str] = DEFAULT_STOP_WORDS) -> DataFrame:
     """One row per kept word of every title, repeats included."""
     titles = spread_small(items.select("id", "feed_id", "title"), "id")
-    return titles.select(
-        F.col("id").alias("item_id"), "feed_id", F.explode(long_words(F.col("title"))).alias("word")
-    ).filter(is_topical(F.col("word"), stop_words))
+    item = F.col("id").alias("item_id")
+    words = one_row_per_word(titles, long_words(F.col("title")), "word", item, "feed_id")
+    return words.filter(is_topical(F.col("word"), stop_words))
 
 
 def in_last_day(items: DataFrame, now: Column | dt.datetime | None) -> DataFrame:
@@ -45,7 +46,7 @@ def word_counts(items: DataFrame, stop_words: Iterable[str] = DEFAULT_STOP_WORDS
     lists = words.select(
         "feed_id", F.posexplode(F.array("words", F.array_distinct("words"))).alias("distinct", "words")
     )
-    single = lists.select("feed_id", "distinct", F.explode("words").alias("word"))
+    single = one_row_per_word(lists, F.col("words"), "word", "feed_id", "distinct")
     return (
         single.filter(is_topical(F.col("word"), stop_words))
         .groupBy("word", "feed_id")
@@ -135,7 +136,7 @@ def words_sliding(
     copied into the windows that contain the step.
     """
     titles = spread_small(items.select("id", "inserted_at", "title"), "id")
-    words = titles.select("inserted_at", F.explode(long_words(F.col("title"))).alias("word")).filter(
+    words = one_row_per_word(titles, long_words(F.col("title")), "word", "inserted_at").filter(
         is_topical(F.col("word"), stop_words)
     )
     steps = words.groupBy(F.window("inserted_at", slide).alias("step"), "word").agg(

@@ -106,7 +106,9 @@ def read_entries(bodies: DataFrame, now: Column) -> DataFrame:
     raw = (
         bodies.select(*carried, parsed(F.col("body")).alias("feed"))
         .filter(is_readable(F.col("feed")))
-        .select(*carried, F.posexplode(_entries(F.col("feed"))).alias("pos", "e"))
+        # The outer form, as a plain explode would have every body parsed twice.
+        .select(*carried, F.posexplode_outer(_entries(F.col("feed"))).alias("pos", "e"))
+        .filter(F.col("pos").isNotNull())
     )
     dated = raw.select(
         *carried,
