@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlake.session import new_folder, settled
 
-__all__ = ["arrow_rows", "ascii_lower", "components", "discard", "new_folder", "partitions_for", "settled", "table"]
+__all__ = ["arrow_rows", "ascii_lower", "checked", "components", "discard", "new_folder", "partitions_for", "settled", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows of one Arrow batch of whole texts; a batch of the longest known texts
@@ -36,6 +36,11 @@ def partitions_for(spark: SparkSession, total: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
 
 
+def checked(df: DataFrame, most: int) -> DataFrame:
+    """``df`` (settled), with a broadcast hint if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder this job wrote below the shared folder."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

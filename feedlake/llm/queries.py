@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import packing, token_counts, url_filters
+from feedlake.llm import decontaminate, packing, token_counts, url_filters
 from feedlake.llm.common import new_folder, settled, table
 from feedlake.session import configure
 
@@ -58,8 +58,37 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Every document with the figures of the contamination rule."""
+    text = F.coalesce("text", F.lit(""))
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64(text).alias("digest"))
+    counts, pairs = decontaminate.contamination(docs, benchmark)
+    listed = pairs.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("item").cast("string"))), ","), 256).alias("items_sha256"),
+    )
+    rows = docs.select("doc_id", key.alias("key"), F.size(decontaminate.words_of(F.col("text"))).cast("long").alias("n_words"))
+    found = counts.join(listed, "key")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return rows.join(found, rows["key"].eqNullSafe(found["key"]), "left").select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of the benchmark."""
+    configure(spark)
+    return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
