@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import decontaminate, packing, quality, token_counts, toxicity, url_filters
+from feedlake.llm import chat, decontaminate, near_dup, neighbours, packing, quality, token_counts, toxicity, url_filters
 from feedlake.llm.common import new_folder, settled, table
 from feedlake.session import configure
 
@@ -98,11 +98,33 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents, as components."""
+    configure(spark)
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal logged conversations, rendered."""
+    configure(spark)
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    configure(spark)
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_toxicity": op9_toxicity,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
