@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import chat, decontaminate, near_dup, neighbours, packing, quality, token_counts, toxicity, url_filters
+from feedlake.llm import chat, decontaminate, near_dup, neighbours, packing, pitman_yor, quality, token_counts, toxicity, url_filters
 from feedlake.llm.common import new_folder, settled, table
 from feedlake.session import configure
 
@@ -86,6 +86,12 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a hierarchical Pitman-Yor model."""
+    configure(spark)
+    return pitman_yor.text_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from preference pairs."""
     configure(spark)
@@ -123,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_toxicity": op9_toxicity,
