@@ -30,6 +30,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lowered, NOT_WORDS), "")
 
 
+def document_key(doc_id: Column, text: Column) -> Column:
+    """(id, digest of the text): tells rows of one id with different texts apart."""
+    return F.struct(doc_id.alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("digest"))
+
+
 def _with_grams(df: DataFrame, words: str, n: int) -> DataFrame:
     """Adds ``_g``: the hash of the n words from each position on.  Where fewer
     than n words follow, the hash is of those that do.
@@ -91,8 +96,8 @@ def contamination(
     lengths that occur (at most span - 1).  The lists collected per document are
     bounded by its own words.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest")).alias("key"), text.alias("_t"))
+    key = document_key(F.col(id_col), F.col(text_col))
+    docs = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("item_words"))
     items = settled(items.filter(F.size("item_words") > 0).distinct(), "decontaminate-items")
 

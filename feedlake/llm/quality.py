@@ -13,10 +13,10 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import arrow_rows, settled
+from feedlake.llm.common import arrow_rows
 from feedlake.llm.labelled import FOLDS, is_held_out, labelled_sample, training_labels
 
 #: Documents of each label that pairs are drawn from; the rest of the labels
@@ -125,42 +125,49 @@ def threshold_of(histogram: list[tuple[float, int, int]]) -> float:
     return cuts[0]
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): (doc_id, held_out, score, predicted).
+def fit_quality(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
+    """Weights and threshold, or None without training rows of both labels.
 
     Weights come from pairs among at most ``PAIR_DOCUMENTS`` training documents of
-    each label; the threshold from the scores of all training rows, binned.  The
-    score is the logistic of the distance to the threshold, shifted so that the
-    threshold has score ``cut``; ``predicted`` is 1 from there on.  Null texts are
-    empty, and empty texts get the score of their (zero) features; null ids and
-    repeated rows stay.  Without training rows of both labels nothing can be
-    ranked: every score is 1.  Only the text is an input of a score.
+    each label; the threshold from the scores of all training rows, binned.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_rows(docs.sparkSession)
     known = training_labels(labels, "quality")
     sample = labelled_sample(docs, known, {1: PAIR_DOCUMENTS, 0: PAIR_DOCUMENTS})
     rows = sample.select("label", _features_udf()("text").alias("f")).collect()
     sides = [np.array([r["f"] for r in rows if r["label"] == v]) for v in (1, 0)]
-    text = F.coalesce("text", F.lit(""))
     if not len(sides[0]) or not len(sides[1]):
-        scored = docs.select("doc_id", F.lit(1.0).alias("score"))
-    else:
-        weights = fit_pairs(*sides)
-        raw = docs.select("doc_id", _worth(weights)(text).alias("raw"))
-        raw = settled(raw, "quality-raw")
-        own = raw.join(known, "doc_id").groupBy(F.round(F.col("raw") * 64).alias("bin"))
-        counts = own.agg(F.sum(1 - F.col("label")).alias("zeros"), F.sum("label").alias("ones"))
-        limits = own_limits(counts)
-        cut_at = threshold_of(limits)
-        shift = math.log(cut / (1 - cut))
-        scored = raw.select("doc_id", (1 / (1 + F.exp(-(F.col("raw") - cut_at + shift)))).alias("score"))
-    return scored.select(
-        "doc_id",
-        is_held_out(F.col("doc_id"), FOLDS).alias("held_out"),
-        "score",
-        (F.col("score") >= cut).cast("int").alias("predicted"),
+        return None
+    weights = fit_pairs(*sides)
+    raw = docs.select("doc_id", _worth(weights)(F.coalesce("text", F.lit(""))).alias("raw"))
+    own = raw.join(known, "doc_id").groupBy(F.round(F.col("raw") * 64).alias("bin"))
+    counts = own.agg(F.sum(1 - F.col("label")).alias("zeros"), F.sum("label").alias("ones"))
+    return weights, threshold_of(own_limits(counts))
+
+
+def quality_of(model: tuple[np.ndarray, float] | None, text: Column, cut: float = CUT) -> Column:
+    """Score 0 to 1: the logistic of the distance to the threshold, shifted so
+    that the threshold has score ``cut``.  Without a model every score is 1."""
+    if model is None:
+        return F.lit(1.0)
+    weights, threshold = model
+    shift = math.log(cut / (1 - cut))
+    return 1 / (1 + F.exp(-(_worth(weights)(F.coalesce(text, F.lit(""))) - threshold + shift)))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): (doc_id, held_out, score, predicted).
+
+    ``predicted`` is 1 from score ``cut`` on.  Null texts are empty, and empty
+    texts get the score of their (zero) features; null ids and repeated rows
+    stay.  Without training rows of both labels nothing can be ranked: every
+    score is 1.  Only the text is an input of a score.
+    """
+    model = fit_quality(docs, labels)
+    scored = docs.select(
+        "doc_id", is_held_out(F.col("doc_id"), FOLDS).alias("held_out"), quality_of(model, F.col("text"), cut).alias("score")
     )
+    return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
 def own_limits(counts: DataFrame) -> list[tuple[float, int, int]]:

@@ -59,9 +59,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Every document with the figures of the contamination rule."""
-    text = F.coalesce("text", F.lit(""))
-    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64(text).alias("digest"))
+    """Every document with the figures of the contamination rule, and its key."""
+    key = decontaminate.document_key(F.col("doc_id"), F.col("text"))
     counts, pairs = decontaminate.contamination(docs, benchmark)
     listed = pairs.groupBy("key").agg(
         F.count(F.lit(1)).alias("n_items"),
@@ -71,6 +70,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = counts.join(listed, "key")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.join(found, rows["key"].eqNullSafe(found["key"]), "left").select(
+        rows["key"],
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
@@ -83,7 +83,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside windows of the benchmark."""
     configure(spark)
-    return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.llm.common import arrow_rows
@@ -28,6 +28,8 @@ ORDINARY_DOCUMENTS = 4000
 DISCOUNT = 0.75
 STEM_BYTES = 4
 RIDGE = 1e-4
+#: Documents are toxic from this score on.
+CUT = 0.5
 
 #: Bytes that are no part of a word: ASCII other than letters and digits.
 GAPS = bytes(range(0, 48)) + bytes(range(58, 97)) + bytes(range(123, 128))
@@ -119,32 +121,25 @@ def _word_counts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("label", "part", "word").agg(F.sum("n").alias("n"))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): (doc_id, held_out, score, predicted).
+def fit_toxicity(docs: DataFrame, labels: DataFrame) -> tuple[ClassModels, np.ndarray] | None:
+    """The class models and the weights of their evidence, or None without
+    training rows of both classes in both halves of the sample.
 
     The models' counts come from a bounded sample of training documents
-    (``TOXIC_DOCUMENTS``, ``ORDINARY_DOCUMENTS``); so do the weights that turn the
-    two pieces of evidence into a score, from the other half of that sample.
-    Every whole text is scored, map-side.  Null and empty texts have no evidence
-    for either class; null ids and repeated rows stay.  Without training rows of
-    both classes every score is 0.  Only the text is an input of a score.
+    (``TOXIC_DOCUMENTS``, ``ORDINARY_DOCUMENTS``).  The weights are fitted on one
+    half of it with models of the other; the final models count both.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_rows(docs.sparkSession)
     known = training_labels(labels, "toxic")
     sample = labelled_sample(docs, known, {1: TOXIC_DOCUMENTS, 0: ORDINARY_DOCUMENTS})
     # copies of a text fall in the same half
     sample = sample.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
-    models: dict[int, tuple[dict[bytes, int], dict[bytes, int]]] = {0: ({}, {}), 1: ({}, {})}
+    counts: dict[tuple[int, int], dict[bytes, int]] = {(part, label): {} for part in (0, 1) for label in (0, 1)}
     for r in _word_counts(sample).toLocalIterator():
-        models[r["part"]][0 if r["label"] == 1 else 1][bytes(r["word"])] = r["n"]
-    toxic, ordinary = models[0]
-    text = F.coalesce("text", F.lit(""))
-    held = is_held_out(F.col("doc_id"), FOLDS).alias("held_out")
-    if not toxic or not ordinary or not models[1][0] or not models[1][1]:
-        return docs.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-
-    half = ClassModels(toxic, ordinary)
+        counts[r["part"], r["label"]][bytes(r["word"])] = r["n"]
+    if not all(counts.values()):
+        return None
+    half = ClassModels(counts[0, 1], counts[0, 0])
 
     @F.pandas_udf("array<double>")
     def evidence(texts: pd.Series) -> pd.Series:
@@ -153,16 +148,34 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = sample.filter("part = 1").select("label", evidence("text").alias("e")).collect()
     share = known.agg(F.avg("label")).head()[0]
     weights = fit_evidence(np.array([r["e"] for r in rows]), np.array([r["label"] for r in rows]), share)
-    for side in (0, 1):
-        for word, n in models[1][side].items():
-            models[0][side][word] = models[0][side].get(word, 0) + n
-    full = ClassModels(toxic, ordinary)
+    for label in (0, 1):
+        for word, n in counts[1, label].items():
+            counts[0, label][word] = counts[0, label].get(word, 0) + n
+    return ClassModels(counts[0, 1], counts[0, 0]), weights
+
+
+def toxicity_of(model: tuple[ClassModels, np.ndarray] | None, text: Column) -> Column:
+    """Score 0 to 1 of a text; 0 without a model."""
+    if model is None:
+        return F.lit(0.0)
+    models, weights = model
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            found = np.array([full.evidence(x) for x in texts.tolist()]).reshape(-1, 2)
+            found = np.array([models.evidence(x) for x in texts.tolist()]).reshape(-1, 2)
             yield pd.Series(1 / (1 + np.exp(-np.clip(weights[0] + (found * weights[1:]).sum(axis=1), -30, 30))))
 
-    scored = docs.select("doc_id", held, score(text).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return score(F.coalesce(text, F.lit("")))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): (doc_id, held_out, score, predicted).
+
+    Every whole text is scored, map-side.  Null and empty texts have no evidence
+    for either class; null ids and repeated rows stay.  Without training rows of
+    both classes every score is 0.  Only the text is an input of a score.
+    """
+    score = toxicity_of(fit_toxicity(docs, labels), F.col("text"))
+    scored = docs.select("doc_id", is_held_out(F.col("doc_id"), FOLDS).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
