@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import arrow_rows, components, settled
+from feedlake.llm.common import arrow_rows, checked, components, settled
 
 SHINGLE_WORDS = 2
 #: Sets are linked from this similarity on, in percent.
@@ -32,6 +32,9 @@ MARGIN = 0.2
 #: Members of a band that one task compares at a time.
 BLOCK = 1024
 
+#: A list of up to so many documents is broadcast to where texts are read.
+WANTED_ROWS = 500_000
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,11 +92,9 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((equal - chance) / (1 - chance), 0.0)
 
 
-SET_SCHEMA = "id long, n_shingles long, digest binary, shingles binary"
-
-
-def shingled(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, digest, shingles): the set as sorted 64-bit hashes."""
+def shingled(docs: DataFrame, size: int, id_col: str, text_col: str, full: bool = False) -> DataFrame:
+    """(id, n_shingles, digest, sig): size, digest and registers of each set; with
+    ``full`` (id, digest, shingles), the set itself as sorted 64-bit hashes."""
     import hashlib
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,22 +106,17 @@ def shingled(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
                     known.clear()
                 # bytes know only ASCII letters and white space, as asked
                 words = text.encode("utf-8", "replace").lower().split()
-                found = shingle_set(word_hashes(words, known), size).astype("<u8").tobytes()
-                rows.append((len(found) // 8, hashlib.blake2b(found, digest_size=16).digest(), found))
-            out = pd.DataFrame(rows, columns=["n_shingles", "digest", "shingles"])
+                found = shingle_set(word_hashes(words, known), size).astype("<u8")
+                raw = found.tobytes()
+                digest = hashlib.blake2b(raw, digest_size=16).digest()
+                rows.append((digest, raw) if full else (len(found), digest, registers(found).tobytes()))
+            out = pd.DataFrame(rows, columns=["digest", "shingles"] if full else ["n_shingles", "digest", "sig"])
             out.insert(0, "id", batch["_id"].astype("Int64"))
             yield out
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text")).mapInPandas(sets, SET_SCHEMA)
-
-
-def _signature():
-    @F.pandas_udf("binary")
-    def signature(sets: pd.Series) -> pd.Series:
-        return pd.Series([registers(np.frombuffer(x, dtype="<u8")).tobytes() for x in sets])
-
-    return signature
+    schema = "id long, digest binary, shingles binary" if full else "id long, n_shingles long, digest binary, sig binary"
+    return docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text")).mapInPandas(sets, schema)
 
 
 def _hopeful(least: float):
@@ -146,12 +142,20 @@ def _confirmed(percent: int):
     return similar
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough.  Sizes alone
-    settle many: a union has at least as many shingles as the larger set."""
-    left = sets.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("shingles").alias("sb"))
-    return pairs.join(right, "b").join(left, "a").filter(_confirmed(percent)("sa", "sb")).select("a", "b")
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, columns: tuple[str, str]) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough.  Only the
+    texts of classes that occur in a pair are shingled again; the sets of all
+    documents are never stored."""
+    id_col, text_col = columns
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = settled(ends.join(classes.select("rep", "digest"), "rep"), "near-wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    texts = texts.join(checked(wanted.select("rep").distinct(), WANTED_ROWS), "rep", "left_semi")
+    sets = shingled(texts, size, "rep", "text", full=True).withColumnRenamed("id", "rep")
+    sets = settled(sets.join(wanted, ["rep", "digest"], "left_semi"), "near-sets").dropDuplicates(["rep", "digest"])
+    left = sets.select(F.col("rep").alias("a"), F.col("digest").alias("da"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("rep").alias("b"), F.col("digest").alias("db"), F.col("shingles").alias("sb"))
+    return pairs.join(right, "b").join(left, "a").filter(_confirmed(percent)("sa", "sb")).select("a", "b").distinct()
 
 
 def near_duplicates(
@@ -178,20 +182,18 @@ def near_duplicates(
     arrow_rows(spark)
     rows = settled(shingled(docs, size, id_col, text_col), "shingles")
     usable = rows.filter("id is not null and n_shingles > 0")
-    classes = usable.groupBy("digest").agg(F.min("id").alias("rep"))
-    # one row per class: the set comes along from any row of its smallest id
-    sets = usable.join(classes, ["digest"]).filter("id = rep").select("digest", "rep", "n_shingles", "shingles")
-    sets = sets.dropDuplicates(["digest"]).withColumn("sig", _signature()("shingles"))
-    sets = settled(sets, "shingle-sets")
+    # an id with several texts represents several classes: it links them anyway
+    first = usable.groupBy("digest").agg(F.min(F.struct("id", "sig")).alias("r"))
+    classes = settled(first.select("digest", F.col("r.id").alias("rep"), F.col("r.sig").alias("sig")), "shingle-sets")
 
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.substring("sig", 2 * BAND * i + 1, 2 * BAND).alias("key")) for i in range(BUCKETS // BAND)])
-    members = sets.select("rep", "n_shingles", F.explode(bands).alias("b")).select("rep", "n_shingles", F.xxhash64("b.band", "b.key").alias("key"))
+    members = classes.select("rep", F.explode(bands).alias("b")).select("rep", F.xxhash64("b.band", "b.key").alias("key"))
     firsts = members.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n"))
     shared = settled(members.join(firsts.filter("n > 1"), "key").select("key", "first", "rep"), "shingle-bands")
 
     least = percent / 100 - MARGIN
     pairs = shared.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = settled(_verified(_estimated(pairs, sets, least), sets, percent), "near-links")
+    links = settled(_verified(_estimated(pairs, classes, least), classes, docs, size, percent, (id_col, text_col)), "near-links")
     groups = settled(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), "near-groups"), "near-groups")
 
     # bands that the first comparison did not leave in one component
@@ -200,11 +202,13 @@ def near_duplicates(
     )
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"))
     mixed = mixed.filter("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    again = settled(_across(placed.join(mixed, "key"), sets, least), "near-candidates")
-    more = _verified(again.join(pairs, ["a", "b"], "left_anti"), sets, percent)
+    again = settled(_across(placed.join(mixed, "key"), classes, least), "near-candidates")
+    # those tried before cannot link two components: they would be in one
+    again = again.join(pairs, ["a", "b"], "left_anti")
+    more = _verified(again, classes, docs, size, percent, (id_col, text_col))
     edges = links.unionAll(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
-    copies = usable.join(classes, "digest").filter("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
+    copies = usable.select("id", "digest").join(classes.select("digest", "rep"), "digest").filter("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
     whole = components(edges.unionAll(copies), "near-duplicates")
     plain = rows.select("id", "n_shingles")
     out = plain.join(whole, plain["id"] == whole["node"], "left")
@@ -217,13 +221,17 @@ def near_duplicates(
     )
 
 
-def _estimated(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    left = sets.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("ga"))
-    right = sets.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("gb"))
-    return pairs.join(right, "b").join(left, "a").filter(_hopeful(least)("ga", "gb")).select("a", "b")
+def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The pairs whose registers leave hope; a pair with any hopeful sets stays,
+    where one id stands for several."""
+    left = classes.select(F.col("rep").alias("a"), F.col("sig").alias("ga"))
+    right = classes.select(F.col("rep").alias("b"), F.col("sig").alias("gb"))
+    return settled(
+        pairs.join(right, "b").join(left, "a").filter(_hopeful(least)("ga", "gb")).select("a", "b").distinct(), "near-hopeful"
+    )
 
 
-def _across(placed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _across(placed: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Candidate pairs (a, b) of different components within a band, a < b.
 
     A band of many members is split into blocks of about ``BLOCK``; each pair of
@@ -234,7 +242,7 @@ def _across(placed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     spread = spread.select(
         "key", "rep", "c", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
     )
-    signed = spread.join(sets.select("rep", "sig"), "rep")
+    signed = spread.join(classes.select("rep", "sig"), "rep")
 
     def compare(band: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(band["sig"]), dtype="<u2").reshape(len(band), -1)
