@@ -21,14 +21,14 @@ from feedlake.llm.common import arrow_rows, checked, components, settled
 SHINGLE_WORDS = 2
 #: Sets are linked from this similarity on, in percent.
 PERCENT = 80
-BUCKETS = 128
-#: Registers of a band: a pair at the threshold misses all 32 bands with
-#: probability (1 - 0.8^4)^32 < 1e-7.
-BAND = 4
+BUCKETS = 252
+#: Registers of a band: a pair at the threshold misses all 42 bands with
+#: probability (1 - 0.8^6)^42 < 3e-6.
+BAND = 6
 MANTISSA_BITS = 10
-#: Estimates this far below the threshold are discarded: over five standard
-#: errors of 128 registers (0.035 at 0.8).
-MARGIN = 0.2
+#: Estimates this far below the threshold are discarded: over four standard
+#: errors of 252 registers (0.025 at 0.8).
+MARGIN = 0.11
 #: Members of a band that one task compares at a time.
 BLOCK = 1024
 
@@ -187,9 +187,9 @@ def near_duplicates(
     classes = settled(first.select("digest", F.col("r.id").alias("rep"), F.col("r.sig").alias("sig")), "shingle-sets")
 
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.substring("sig", 2 * BAND * i + 1, 2 * BAND).alias("key")) for i in range(BUCKETS // BAND)])
-    members = classes.select("rep", F.explode(bands).alias("b")).select("rep", F.xxhash64("b.band", "b.key").alias("key"))
+    members = classes.select("rep", F.explode(bands).alias("b")).select("rep", "b.band", F.xxhash64("b.band", "b.key").alias("key"))
     firsts = members.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = settled(members.join(firsts.filter("n > 1"), "key").select("key", "first", "rep"), "shingle-bands")
+    shared = settled(members.join(firsts.filter("n > 1"), "key").select("key", "band", "first", "rep"), "shingle-bands")
 
     least = percent / 100 - MARGIN
     pairs = shared.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
@@ -198,7 +198,7 @@ def near_duplicates(
 
     # bands that the first comparison did not leave in one component
     placed = shared.join(groups, shared["rep"] == groups["node"], "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("c")
+        "key", "band", "rep", F.coalesce("component", "rep").alias("c")
     )
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"))
     mixed = mixed.filter("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -235,12 +235,13 @@ def _across(placed: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Candidate pairs (a, b) of different components within a band, a < b.
 
     A band of many members is split into blocks of about ``BLOCK``; each pair of
-    blocks is one group, so that no task holds more than two of them.
+    blocks is one group, so that no task holds more than two of them.  A pair is
+    examined in the first band that it shares, and nowhere else.
     """
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     spread = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select(
-        "key", "rep", "c", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
+        "key", "band", "rep", "c", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
     )
     signed = spread.join(classes.select("rep", "sig"), "rep")
 
@@ -249,11 +250,16 @@ def _across(placed: DataFrame, classes: DataFrame, least: float) -> DataFrame:
         rep, c, own = band["rep"].to_numpy(), band["c"].to_numpy(), band["own"].to_numpy()
         mixed = band["x"].iloc[0] != band["y"].iloc[0]
         a, b = [], []
+        number = int(band["band"].iloc[0])
+        before = sig[:, : BAND * number].reshape(len(sig), number, BAND)
         for i in range(len(rep)):
             rest = np.flatnonzero((c != c[i]) & (rep > rep[i]) & ((own != own[i]) if mixed else True))
-            near = rest[estimate(sig[rest], sig[i]) >= least] if len(rest) else rest
-            a.append(np.full(len(near), rep[i]))
-            b.append(rep[near])
+            if len(rest):
+                rest = rest[estimate(sig[rest], sig[i]) >= least]
+            if len(rest) and number:
+                rest = rest[~(before[rest] == before[i]).all(axis=2).any(axis=1)]
+            a.append(np.full(len(rest), rep[i]))
+            b.append(rep[rest])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}, dtype="int64")
 
     return signed.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long").distinct()
