@@ -34,7 +34,7 @@ CONTEXTS = 4096
 BITS = np.uint64(12)
 LOW = np.uint64(CONTEXTS - 1)
 #: Tokens that one worker gathers before it sends them off.
-SLICE_TOKENS = 3_000_000
+SLICE_TOKENS = 2_000_000
 SLICE_DOCS = 60_000
 #: Bytes of text per bucket of words.
 BUCKET_BYTES = 24 << 20
@@ -85,7 +85,7 @@ class Tokens:
 
         words = text.encode("utf-8", "replace").lower().split()
         known = self.known
-        if len(known) > 1_500_000:
+        if len(known) > 800_000:
             known.clear()
         for w in words:
             if w not in known:
