@@ -1,5 +1,53 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
+
+The others (tokenizers, similarity components, packing, models, neighbour
+search, spans) are tested against brute force or on held-out rows.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+URL_FILTERS = """
+with parts as (
+  select page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+  from pages
+),
+rules(verdict, rule, host_part, path_part) as (
+  values ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'),
+         ('allow', 'www.example.com/en/', 'www.example.com', '/en/'),
+         ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')
+),
+fits as (
+  select p.page_id, p.host, p.path, arg_max(r.rule, length(r.rule)) as rule, arg_max(r.verdict, length(r.rule)) as verdict
+  from parts p left join rules r
+    on (p.host = r.host_part or suffix(p.host, '.' || r.host_part)) and starts_with(p.path, r.path_part)
+  group by all
+)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict, false as inherited from fits
+"""
+
+CHAT_FORMATTING = """
+with turns as (
+  select *, row_number() over (partition by conv_id order by turn, role, text) - 1 as pos
+  from (select distinct conv_id, turn, role, text from conversations where conv_id is not null)
+),
+prefixes as (
+  select conv_id, pos, role, text,
+         md5(string_agg(md5(role) || md5(text), '') over (partition by conv_id order by pos)) as prefix,
+         max(pos) over (partition by conv_id) as last_pos
+  from turns
+),
+kept as (
+  select min(conv_id) as conv_id, last_pos + 1 as n_turns
+  from prefixes where pos = last_pos and (pos, prefix) not in (select (pos, prefix) from prefixes where pos < last_pos)
+  group by last_pos, prefix
+)
+select p.conv_id, cast(floor(p.pos / 256) as integer) as part, cast(k.n_turns as bigint) as n_turns,
+       string_agg('<|' || p.role || '|>' || chr(10) || p.text || chr(10), '' order by p.pos) as text
+from prefixes p join kept k using (conv_id)
+group by all
+"""
+
+ORACLES: dict[str, str] = {"op1_url_filters": URL_FILTERS, "op4_chat_formatting": CHAT_FORMATTING}

@@ -392,7 +392,7 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     heavy = _heavy(state, rules, samples)
     heavy_words = np.array(sorted(heavy), dtype=np.uint64)
     heavy_counts = np.array([heavy[w][0] for w in heavy_words.tolist()], dtype=np.int64)
-    heavy_logs = np.array([heavy[w][1] for w in heavy_words.tolist()]).reshape(len(heavy), -1)
+    heavy_logs = np.array([heavy[w][1] for w in heavy_words.tolist()]).reshape(len(heavy), CONTEXTS)
 
     def events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = TaskContext.get()
