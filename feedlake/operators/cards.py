@@ -24,8 +24,9 @@ def item_cards(rows: DataFrame, now: Column) -> DataFrame:
 
 
 def with_feed_labels(rows: DataFrame, feeds: DataFrame) -> DataFrame:
-    """Timeline rows with the short label of their feed."""
+    """Timeline rows, newest first, with the short label of their feed."""
     labels = feeds.select(
         F.col("id").alias("feed_id"), feed_label(F.col("title"), F.col("url")).alias("feed_label")
     )
-    return rows.join(labels, "feed_id", "left")
+    date = effective_date(F.col("published_at"), F.col("inserted_at"))
+    return rows.join(labels, "feed_id", "left").orderBy(date.desc(), F.desc("id"))

@@ -19,8 +19,10 @@ def assign_ids(
     more than that, and only counts are summed across blocks.  The result depends on the data alone, not on partitions, so
     a task that is run again gives the same ids.
     """
+    # A row without an order value has no place; an error, so that none is lost.
+    value = F.coalesce(F.col(order), F.raise_error(F.lit(f"{order} is null")).cast("long"))
     # The filter keeps both uses of the ranks below alike, so they are computed once.
-    blocked = rows.withColumn("_block", block_of(F.col(order), block_rows)).filter("_block is not null")
+    blocked = rows.withColumn("_block", block_of(value, block_rows)).filter("_block is not null")
     ranked = blocked.withColumn(
         "_rank", F.row_number().over(Window.partitionBy("_block").orderBy(order))
     )

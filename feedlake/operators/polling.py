@@ -98,7 +98,15 @@ def due_feeds(
     limit: int | None = DEFAULT_LEASE_BATCH,
     lease_seconds: int = DEFAULT_LEASE_SECONDS,
 ) -> DataFrame:
-    """Lease due feeds: what a fetcher needs to know of each, by feed id."""
+    """Lease due feeds: what a fetcher needs to know of each, by feed id.
+
+    ``limit`` None takes every due feed; other values and the lease's length must
+    lie within their bounds.
+    """
+    if limit is not None and not 1 <= limit <= MAX_LEASE_BATCH:
+        raise ValueError(f"a lease batch has 1 to {MAX_LEASE_BATCH} feeds, not {limit}")
+    if not 1 <= lease_seconds <= MAX_LEASE_SECONDS:
+        raise ValueError(f"a lease lasts 1 to {MAX_LEASE_SECONDS} seconds, not {lease_seconds}")
     picked = due_keys(queue, feeds, now, limit)
     if limit is not None and limit <= SMALL_LIMIT:
         picked = F.broadcast(picked)

@@ -30,7 +30,7 @@ from feedlake.streaming.tail import live_tail
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Arguments of single-item reads and searches; the SQL side uses the same.
-SOME_FEED, SOME_ITEM = 7, 42
+SOME_FEED, SOME_ITEM, DETAILED_ITEM = 7, 42, 41
 SEARCH = '"of the" tion or leaux pour -src3'
 BATCH_NAME = "batch-1"
 MISSING_DATE = "2024-06-01 00:00:00"
@@ -108,12 +108,12 @@ def item_by_id(g: Given) -> DataFrame:
 
 @query
 def detail_by_item(g: Given) -> DataFrame:
-    return items.detail_by_item(g.details, SOME_ITEM)
+    return items.detail_by_item(g.details, DETAILED_ITEM)
 
 
 @query
 def item_with_detail(g: Given) -> DataFrame:
-    return items.item_with_detail(g.items, g.details, SOME_ITEM)
+    return items.item_with_detail(g.items, g.details, DETAILED_ITEM)
 
 
 @query

@@ -29,9 +29,12 @@ class Snapshots:
         return f"{self.root}/batch={batch_id}"
 
     def before(self, batch_id: int) -> DataFrame:
-        """State a batch starts from.  Batch ids of a stream have no gaps."""
-        if batch_id == 0 or not exists(self.spark, f"{self.path(batch_id - 1)}/_SUCCESS"):
+        """State a batch starts from.  Batch ids of a stream have no gaps, so a
+        missing snapshot is an error: starting anew would lose the state."""
+        if batch_id == 0:
             return self.empty
+        if not exists(self.spark, f"{self.path(batch_id - 1)}/_SUCCESS"):
+            raise FileNotFoundError(f"no complete snapshot {self.path(batch_id - 1)}; batch {batch_id} builds on it")
         return self.spark.read.schema(self.empty.schema).parquet(self.path(batch_id - 1))
 
     def latest(self) -> DataFrame:

@@ -233,3 +233,11 @@ def test_token_set(spark):
     df = spark.createDataFrame([("A a-b <i>c</i>", "https://x.example/a")], "t string, u string")
     got = df.select(matching.token_set([F.col("t")], F.col("u"))).first()[0]
     assert sorted(got) == sorted(["a", "b", "c", "https", "x", "example", "x.example"])
+
+
+def test_null_order_is_an_error(spark):
+    from feedlake.operators.keys import assign_ids
+
+    rows = spark.createDataFrame([(1,), (None,)], "seq long")
+    with pytest.raises(Exception, match="seq is null"):
+        assign_ids(rows, "seq").collect()

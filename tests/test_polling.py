@@ -292,3 +292,12 @@ def test_insert_twice(spark):
     again = ingest.insert_items(e, stored.unionByName(ingest.insert_items(e, stored, NOW)), NOW)
     assert again.count() == 0
     assert small.dicts(ingest.ingest_summary(ingest.insert_items(e, stored, NOW)), "feed_id")[1]["inserted_items"] == 1
+
+
+def test_lease_bounds(spark):
+    from feedlake.operators import polling
+
+    frame = spark.createDataFrame([], "feed_id long")
+    for given in ({"limit": 0}, {"limit": 101}, {"lease_seconds": 0}, {"lease_seconds": 3601}):
+        with pytest.raises(ValueError):
+            polling.due_feeds(frame, frame, F.current_timestamp(), "b", **given)

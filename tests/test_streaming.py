@@ -148,3 +148,12 @@ def test_words_stream(spark, folders):
     want = titles.words_sliding(items, "24 hours", "1 hour").select(*got.columns)
     assert want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0
     assert got.agg(F.max("window_end")).first()[0] > at("2024-01-05T00:00:00")
+
+
+def test_missing_snapshot_is_an_error(spark, tmp_path):
+    from feedlake.streaming.state import Snapshots
+
+    snapshots = Snapshots(spark, str(tmp_path), spark.createDataFrame([], "id long"))
+    assert snapshots.before(0).count() == 0
+    with pytest.raises(FileNotFoundError):
+        snapshots.before(3)
