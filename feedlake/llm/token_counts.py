@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedlake.llm.common import arrow_rows
+from feedlake.llm.common import arrow_rows, settled
 
 CACHE_SCHEMA = T.StructType(
     [
@@ -102,7 +102,8 @@ def token_counts(docs: DataFrame, model: str, cache: str, id_col: str = "doc_id"
         F.lit(version).alias("tokenizer"), "digest", _counts_udf(model)("_text").alias("n_tokens")
     ).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).filter(F.col("tokenizer") == version)
-    counts = counts.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    # stored first: without an aggregation beside the join, AQE can split a hot digest
+    counts = settled(counts.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "token-counts")
     rows = docs.select(
         F.col(id_col).alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest")
     )
