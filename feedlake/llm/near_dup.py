@@ -10,13 +10,14 @@ agree by chance, discards the hopeless, and the full sets confirm the rest.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import arrow_rows, checked, components, settled
+from feedlake.llm.common import arrow_rows, checked, components, partitions_for, settled
 
 SHINGLE_WORDS = 2
 #: Sets are linked from this similarity on, in percent.
@@ -32,6 +33,11 @@ MARGIN = 0.11
 #: Members of a band that one task compares at a time.
 BLOCK = 1024
 
+#: Rows that bands of one block share a group of, so that few are called for.
+BUNDLE = 8192
+#: Sketches of latest sets that a worker remembers for their copies (10 MB).
+REMEMBERED = 20_000
+
 #: A list of up to so many documents is broadcast to where texts are read.
 WANTED_ROWS = 500_000
 
@@ -69,18 +75,29 @@ def shingle_set(words: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
 
 
 def registers(shingles: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """One 16-bit register per bucket: leading zeros (6 bits) and mantissa (10)."""
-    seeds = _scatter(np.arange(1, buckets + 1, dtype=np.uint64) * _MIX) | np.uint64(1)
-    low = np.full(buckets, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 512):
-        part = shingles[at : at + 512, None] * seeds
-        np.minimum(low, (part ^ (part >> np.uint64(29))).min(axis=0), out=low)
+    """One 16-bit register per bucket: leading zeros (6 bits) and mantissa (10).
+
+    A bucket's permutation multiplies the upper halves of the shingles' hashes,
+    which are random already, by its own odd factor."""
+    factors = _factors(buckets)
+    values = (shingles >> np.uint64(32)).astype(np.uint32)[:, None]
+    low = np.full(buckets, np.iinfo(np.uint32).max, dtype=np.uint32)
+    part = np.empty((256, buckets), dtype=np.uint32)
+    for at in range(0, len(values), 256):
+        own = values[at : at + 256]
+        np.multiply(own, factors, out=part[: len(own)])
+        np.minimum(low, part[: len(own)].min(axis=0), out=low)
     # leading zeros by the exponent of the float; the mantissa follows the first one
-    low = np.maximum(low, np.uint64(1 << MANTISSA_BITS))
-    top = np.floor(np.log2(low.astype(np.float64))).astype(np.int64)
-    top = np.where((low >> np.minimum(top, 63).astype(np.uint64)) == 0, top - 1, np.minimum(top, 63))
-    mantissa = (low >> (top - MANTISSA_BITS).astype(np.uint64)) & np.uint64((1 << MANTISSA_BITS) - 1)
-    return ((63 - top).astype(np.uint64) << np.uint64(MANTISSA_BITS) | mantissa).astype("<u2")
+    low = np.maximum(low, np.uint32(1 << MANTISSA_BITS))
+    top = np.frexp(low.astype(np.float64))[1] - 1
+    mantissa = (low >> (top - MANTISSA_BITS).astype(np.uint32)) & np.uint32((1 << MANTISSA_BITS) - 1)
+    return ((31 - top).astype(np.uint32) << np.uint32(MANTISSA_BITS) | mantissa).astype("<u2")
+
+
+@lru_cache(maxsize=8)
+def _factors(buckets: int) -> np.ndarray:
+    seeds = _scatter(np.arange(1, buckets + 1, dtype=np.uint64) * _MIX)
+    return (seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -99,17 +116,22 @@ def shingled(docs: DataFrame, size: int, id_col: str, text_col: str, full: bool
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
+        sketched: dict[bytes, bytes] = {}
         for batch in batches:
             rows = []
             for text in batch["_text"]:
                 if len(known) > 1_000_000:
                     known.clear()
+                if len(sketched) > REMEMBERED:
+                    sketched.clear()
                 # bytes know only ASCII letters and white space, as asked
                 words = text.encode("utf-8", "replace").lower().split()
                 found = shingle_set(word_hashes(words, known), size).astype("<u8")
                 raw = found.tobytes()
                 digest = hashlib.blake2b(raw, digest_size=16).digest()
-                rows.append((digest, raw) if full else (len(found), digest, registers(found).tobytes()))
+                if not full and digest not in sketched:
+                    sketched[digest] = registers(found).tobytes()
+                rows.append((digest, raw) if full else (len(found), digest, sketched[digest]))
             out = pd.DataFrame(rows, columns=["digest", "shingles"] if full else ["n_shingles", "digest", "sig"])
             out.insert(0, "id", batch["_id"].astype("Int64"))
             yield out
@@ -202,7 +224,9 @@ def near_duplicates(
     )
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"))
     mixed = mixed.filter("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    again = settled(_across(placed.join(mixed, "key"), classes, least), "near-candidates")
+    unsettled = settled(placed.join(mixed, "key"), "near-mixed")
+    bundles = partitions_for(spark, unsettled.count(), BUNDLE)
+    again = settled(_across(unsettled, classes, least, bundles), "near-candidates")
     # those tried before cannot link two components: they would be in one
     again = again.join(pairs, ["a", "b"], "left_anti")
     more = _verified(again, classes, docs, size, percent, (id_col, text_col))
@@ -231,35 +255,49 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     )
 
 
-def _across(placed: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+def _across(placed: DataFrame, classes: DataFrame, least: float, bundles: int) -> DataFrame:
     """Candidate pairs (a, b) of different components within a band, a < b.
 
     A band of many members is split into blocks of about ``BLOCK``; each pair of
-    blocks is one group, so that no task holds more than two of them.  A pair is
-    examined in the first band that it shares, and nowhere else.
+    blocks is one group, so that no task holds more than two of them.  Bands of
+    one block are dealt to ``bundles`` groups.  A pair is examined in the first
+    band that it shares, and nowhere else.
     """
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     spread = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select(
-        "key", "band", "rep", "c", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
+        "key",
+        F.when(F.col("blocks") == 1, F.pmod("key", F.lit(bundles))).otherwise(F.col("key")).alias("bundle"),
+        "band",
+        "rep",
+        "c",
+        "own",
+        F.least("own", "other").alias("x"),
+        F.greatest("own", "other").alias("y"),
     )
     signed = spread.join(classes.select("rep", "sig"), "rep")
 
-    def compare(band: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(band["sig"]), dtype="<u2").reshape(len(band), -1)
-        rep, c, own = band["rep"].to_numpy(), band["c"].to_numpy(), band["own"].to_numpy()
-        mixed = band["x"].iloc[0] != band["y"].iloc[0]
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("key", kind="stable")
+        sigs = np.frombuffer(b"".join(rows["sig"]), dtype="<u2").reshape(len(rows), -1)
+        keys, reps, cs, owns, bands = (rows[x].to_numpy() for x in ("key", "rep", "c", "own", "band"))
+        mixed = len(rows) and rows["x"].iloc[0] != rows["y"].iloc[0]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist()
         a, b = [], []
-        number = int(band["band"].iloc[0])
-        before = sig[:, : BAND * number].reshape(len(sig), number, BAND)
-        for i in range(len(rep)):
-            rest = np.flatnonzero((c != c[i]) & (rep > rep[i]) & ((own != own[i]) if mixed else True))
-            if len(rest):
-                rest = rest[estimate(sig[rest], sig[i]) >= least]
-            if len(rest) and number:
-                rest = rest[~(before[rest] == before[i]).all(axis=2).any(axis=1)]
-            a.append(np.full(len(rest), rep[i]))
-            b.append(rep[rest])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}, dtype="int64")
-
-    return signed.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+        for low, high in zip(starts, [*starts[1:], len(rows)], strict=True):
+            rep, c, own, sig = reps[low:high], cs[low:high], owns[low:high], sigs[low:high]
+            number = int(bands[low])
+            before = sig[:, : BAND * number].reshape(len(sig), number, BAND)
+            for i in range(len(rep)):
+                rest = np.flatnonzero((c != c[i]) & (rep > rep[i]) & ((own != own[i]) if mixed else True))
+                if len(rest):
+                    rest = rest[estimate(sig[rest], sig[i]) >= least]
+                if len(rest) and number:
+                    rest = rest[~(before[rest] == before[i]).all(axis=2).any(axis=1)]
+                if len(rest):
+                    a.append(np.full(len(rest), rep[i]))
+                    b.append(rep[rest])
+        none = np.zeros(0, dtype="int64")
+        return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])}, dtype="int64")
+
+    return signed.groupBy("bundle", "x", "y").applyInPandas(compare, "a long, b long").distinct()
