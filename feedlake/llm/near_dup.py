@@ -35,6 +35,9 @@ BLOCK = 1024
 
 #: Rows that bands of one block share a group of, so that few are called for.
 BUNDLE = 8192
+#: Sets of up to so many shingles (16 KB) travel with their sketches and are
+#: compared in full beside them; a pair with a larger one is joined to its sets.
+HELD = 2048
 #: Sketches of latest sets that a worker remembers for their copies (10 MB).
 REMEMBERED = 20_000
 
@@ -164,22 +167,32 @@ def _confirmed(percent: int):
     return similar
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, columns: tuple[str, str]) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough.  Only the
-    texts of classes that occur in a pair are shingled again; the sets of all
-    documents are never stored."""
+def _sets_of(reps: DataFrame, classes: DataFrame, docs: DataFrame, size: int, columns: tuple[str, str]) -> DataFrame:
+    """(rep, digest, shingles) of the given classes: their texts are shingled
+    again; the sets of all documents are never stored."""
     id_col, text_col = columns
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    wanted = settled(ends.join(classes.select("rep", "digest"), "rep"), "near-wanted")
+    wanted = settled(reps.distinct().join(classes.select("rep", "digest"), "rep"), "near-wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     texts = texts.join(checked(wanted.select("rep").distinct(), WANTED_ROWS), "rep", "left_semi")
     sets = shingled(texts, size, "rep", "text", full=True).withColumnRenamed("id", "rep")
-    sets = settled(sets.join(wanted, ["rep", "digest"], "left_semi"), "near-sets").dropDuplicates(["rep", "digest"])
+    return settled(sets.join(wanted, ["rep", "digest"], "left_semi"), "near-sets").dropDuplicates(["rep", "digest"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
     left = sets.select(F.col("rep").alias("a"), F.col("digest").alias("da"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("digest").alias("db"), F.col("shingles").alias("sb"))
     return pairs.join(right, "b").join(left, "a").filter(_confirmed(percent)("sa", "sb")).select("a", "b").distinct()
 
 
+def _shared_shingles(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of one sorted set with several non-empty ones."""
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+    starts = np.cumsum([0, *[len(x) for x in others[:-1]]])
+    return np.add.reduceat((own[at] == every).astype(np.int64), starts)
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = SHINGLE_WORDS,
@@ -215,7 +228,9 @@ def near_duplicates(
 
     least = percent / 100 - MARGIN
     pairs = shared.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = settled(_verified(_estimated(pairs, classes, least), classes, docs, size, percent, (id_col, text_col)), "near-links")
+    hopeful = _estimated(pairs, classes, least)
+    ends = hopeful.select(F.explode(F.array("a", "b")).alias("rep"))
+    links = settled(_verified(hopeful, _sets_of(ends, classes, docs, size, (id_col, text_col)), percent), "near-links")
     groups = settled(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), "near-groups"), "near-groups")
 
     # bands that the first comparison did not leave in one component
@@ -226,11 +241,12 @@ def near_duplicates(
     mixed = mixed.filter("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     unsettled = settled(placed.join(mixed, "key"), "near-mixed")
     bundles = partitions_for(spark, unsettled.count(), BUNDLE)
-    again = settled(_across(unsettled, classes, least, bundles), "near-candidates")
+    sets = _sets_of(unsettled.select("rep"), classes, docs, size, (id_col, text_col))
+    again = settled(_across(unsettled, classes, sets, least, percent, bundles), "near-candidates")
+    sure = again.filter("sure").select("a", "b")
     # those tried before cannot link two components: they would be in one
-    again = again.join(pairs, ["a", "b"], "left_anti")
-    more = _verified(again, classes, docs, size, percent, (id_col, text_col))
-    edges = links.unionAll(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    large = again.filter("not sure").select("a", "b").join(pairs, ["a", "b"], "left_anti")
+    edges = links.unionAll(sure).unionAll(_verified(large, sets, percent)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
     copies = usable.select("id", "digest").join(classes.select("digest", "rep"), "digest").filter("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
     whole = components(edges.unionAll(copies), "near-duplicates")
@@ -255,8 +271,9 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     )
 
 
-def _across(placed: DataFrame, classes: DataFrame, least: float, bundles: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components within a band, a < b.
+def _across(placed: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int, bundles: int) -> DataFrame:
+    """Pairs (a, b, sure) of different components within a band, a < b: links by
+    their full sets (sure), and candidates with a set of over ``HELD`` shingles.
 
     A band of many members is split into blocks of about ``BLOCK``; each pair of
     blocks is one group, so that no task holds more than two of them.  Bands of
@@ -275,7 +292,9 @@ def _across(placed: DataFrame, classes: DataFrame, least: float, bundles: int) -
         F.least("own", "other").alias("x"),
         F.greatest("own", "other").alias("y"),
     )
-    signed = spread.join(classes.select("rep", "sig"), "rep")
+    held = F.when(F.octet_length("shingles") <= 8 * HELD, F.col("shingles")).alias("held")
+    known = classes.select("rep", "digest", "sig").join(sets.select("rep", "digest", held), ["rep", "digest"])
+    signed = spread.join(known.drop("digest"), "rep")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key", kind="stable")
@@ -283,7 +302,9 @@ def _across(placed: DataFrame, classes: DataFrame, least: float, bundles: int) -
         keys, reps, cs, owns, bands = (rows[x].to_numpy() for x in ("key", "rep", "c", "own", "band"))
         mixed = len(rows) and rows["x"].iloc[0] != rows["y"].iloc[0]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist()
-        a, b = [], []
+        full = [None if x is None else np.frombuffer(x, dtype="<u8") for x in rows["held"]]
+        large = np.array([x is None for x in full], dtype=bool)
+        a, b, sure = [], [], []
         for low, high in zip(starts, [*starts[1:], len(rows)], strict=True):
             rep, c, own, sig = reps[low:high], cs[low:high], owns[low:high], sigs[low:high]
             number = int(bands[low])
@@ -295,9 +316,18 @@ def _across(placed: DataFrame, classes: DataFrame, least: float, bundles: int) -
                 if len(rest) and number:
                     rest = rest[~(before[rest] == before[i]).all(axis=2).any(axis=1)]
                 if len(rest):
-                    a.append(np.full(len(rest), rep[i]))
-                    b.append(rep[rest])
+                    known = np.zeros(len(rest), bool) if large[low + i] else ~large[low + rest]
+                    linked = ~known
+                    if known.any():
+                        own_set, others = full[low + i], [full[low + j] for j in rest[known]]
+                        both = _shared_shingles(own_set, others)
+                        union = len(own_set) + np.array([len(x) for x in others]) - both
+                        linked[known] = 100 * both >= percent * union
+                    a.append(np.full(int(linked.sum()), rep[i]))
+                    b.append(rep[rest[linked]])
+                    sure.append(known[linked])
         none = np.zeros(0, dtype="int64")
-        return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])}, dtype="int64")
+        certain = np.concatenate([none.astype(bool), *sure])
+        return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b]), "sure": certain})
 
-    return signed.groupBy("bundle", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    return signed.groupBy("bundle", "x", "y").applyInPandas(compare, "a long, b long, sure boolean").distinct()

@@ -133,7 +133,9 @@ def linked(rows, percent=80):
     return {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
 
 
-def test_near_duplicates_against_all_pairs(spark):
+@pytest.mark.parametrize("held", [near_dup.HELD, 40])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, held):
+    monkeypatch.setattr(near_dup, "HELD", held)
     rng = np.random.default_rng(3)
     rows = []
     for base in range(12):
