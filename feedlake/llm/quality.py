@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import arrow_rows
+from feedlake.llm.common import arrow_rows, settled
 from feedlake.llm.labelled import FOLDS, is_held_out, labelled_sample, training_labels
 
 #: Documents of each label that pairs are drawn from; the rest of the labels
@@ -25,8 +25,6 @@ PAIR_DOCUMENTS = 2000
 #: Opponents of every rejected document.
 OPPONENTS = 8
 RIDGE = 1e-3
-#: Bins of the score histogram that the quantile is read from.
-BINS = 4096
 #: Calibrated score of a document exactly at the threshold.
 CUT = 0.3
 
@@ -110,26 +108,57 @@ def _features_udf():
     return of
 
 
-def threshold_of(histogram: list[tuple[float, int, int]]) -> float:
-    """The score quantile with the fewest wrong labels: from bins (score, rows
-    with label 0, rows with label 1) by ascending score, the cut below which rows
-    are rejected; the middle of the free range when several are as good."""
-    bins = sorted(histogram)
-    wrong = sum(b[1] for b in bins)
-    best, cuts = wrong, [bins[0][0]]
-    for i, (score, zeros, ones) in enumerate(bins):
-        wrong += ones - zeros
-        later = bins[i + 1][0] if i + 1 < len(bins) else score + 1
-        if wrong < best:
-            best, cuts = wrong, [(score + later) / 2]
-    return cuts[0]
+def threshold_of(own: DataFrame) -> float:
+    """The score quantile with the fewest wrong labels of ``own(raw, label)``: the
+    cut below which rows are rejected, in the middle between two scores; the
+    lowest when several are as good.
+
+    Equal scores are added up, the sums sorted over all tasks, and every task
+    leaves one row, so the cut is exact whatever the range of the scores is.
+    """
+    sums = own.groupBy("raw").agg(F.sum(1 - F.col("label")).alias("zeros"), F.sum("label").alias("ones"))
+    ranges = settled(sums, "quality-scores").orderBy("raw").mapInPandas(_best_cut, CUTS).collect()
+    ranges.sort(key=lambda r: r["first"])
+    best = wrong = sum(r["zeros"] for r in ranges)
+    cut = ranges[0]["first"] if ranges else 0.0
+    for r, later in zip(ranges, [*ranges[1:], None], strict=True):
+        if wrong + r["gain"] < best:
+            best = wrong + r["gain"]
+            after = r["after"] if r["after"] is not None else later["first"] if later else r["at"] + 1
+            cut = (r["at"] + after) / 2
+        wrong += r["ones"] - r["zeros"]
+    return cut
+
+
+CUTS = "first double, zeros long, ones long, gain long, at double, after double"
+
+
+def _best_cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of one task's ascending scores: the first, the labels, and the score after
+    which a cut gains most, with the one that follows it here."""
+    first = at = after = None
+    zeros = ones = gain = 0
+    for b in batches:
+        if not len(b):
+            continue
+        raw = b["raw"].to_numpy()
+        first = raw[0] if first is None else first
+        if at is not None and after is None:
+            after = raw[0]
+        gains = ones - zeros + (b["ones"] - b["zeros"]).to_numpy().cumsum()
+        i = int(gains.argmin())
+        if at is None or gains[i] < gain:
+            gain, at, after = int(gains[i]), raw[i], raw[i + 1] if i + 1 < len(raw) else None
+        zeros, ones = zeros + int(b["zeros"].sum()), ones + int(b["ones"].sum())
+    if first is not None:
+        yield pd.DataFrame({"first": [first], "zeros": [zeros], "ones": [ones], "gain": [gain], "at": [at], "after": pd.array([after], dtype="Float64")})
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
     """Weights and threshold, or None without training rows of both labels.
 
     Weights come from pairs among at most ``PAIR_DOCUMENTS`` training documents of
-    each label; the threshold from the scores of all training rows, binned.
+    each label; the threshold from the scores of all training rows.
     """
     arrow_rows(docs.sparkSession)
     known = training_labels(labels, "quality")
@@ -140,9 +169,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]
         return None
     weights = fit_pairs(*sides)
     raw = docs.select("doc_id", _worth(weights)(F.coalesce("text", F.lit(""))).alias("raw"))
-    own = raw.join(known, "doc_id").groupBy(F.round(F.col("raw") * 64).alias("bin"))
-    counts = own.agg(F.sum(1 - F.col("label")).alias("zeros"), F.sum("label").alias("ones"))
-    return weights, threshold_of(own_limits(counts))
+    return weights, threshold_of(raw.join(known, "doc_id").select("raw", "label"))
 
 
 def quality_of(model: tuple[np.ndarray, float] | None, text: Column, cut: float = CUT) -> Column:
@@ -168,12 +195,3 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> Data
         "doc_id", is_held_out(F.col("doc_id"), FOLDS).alias("held_out"), quality_of(model, F.col("text"), cut).alias("score")
     )
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
-
-
-def own_limits(counts: DataFrame) -> list[tuple[float, int, int]]:
-    """The histogram at the driver; bins beyond +-``BINS`` / 2 share the outermost."""
-    edge = BINS // 2
-    held = counts.groupBy(F.greatest(F.least("bin", F.lit(edge)), F.lit(-edge)).alias("bin")).agg(
-        F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")
-    )
-    return [(r["bin"] / 64, r["zeros"], r["ones"]) for r in held.collect()]

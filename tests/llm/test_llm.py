@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -296,6 +297,23 @@ def test_classifiers_on_held_out_rows(spark, label):
 # -- op8
 
 
+@pytest.mark.parametrize("shift, unit", [(0, 0.001), (-1000, 0.25), (70, 1e-6)])
+def test_threshold_for_any_range_of_scores(spark, shift, unit):
+    rng = random.Random(5)
+    rows = [(shift + unit * (v := rng.randrange(300)), int(v + rng.randrange(-60, 60) > 140)) for _ in range(3000)]
+    cut = quality.threshold_of(spark.createDataFrame(rows, "raw double, label int").repartition(5))
+    values = sorted({raw for raw, _ in rows})
+    wrong = {at: sum((raw >= at) != bool(label) for raw, label in rows) for at in [*values, values[-1] + 1]}
+    assert sum((raw >= cut) != bool(label) for raw, label in rows) == min(wrong.values())
+
+
+def test_quality_of_features_with_a_small_spread(spark):
+    rows = [(i, " ".join("abcdefghij"[(i + j) % 10] * (400 if i % 2 else 410) for j in range(20 + i % 3))) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = quality.quality_scores(documents(spark, *rows), labels).collect()
+    assert [r.doc_id for r in got if r.predicted != r.doc_id % 2] == []
+
+
 def test_contamination_against_brute_force(spark):
     rng = np.random.default_rng(6)
     vocabulary = ["of", "The", "É", "in", *[f"w{i}" for i in range(30)]]
