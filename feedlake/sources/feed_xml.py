@@ -1,4 +1,4 @@
-"""RSS 2.0 and Atom bodies to entries, through Spark's own XML reader."""
+"""RSS 2.0, RSS 1.0 (RDF) and Atom bodies to entries, through Spark's own XML reader."""
 
 from __future__ import annotations
 
@@ -11,18 +11,23 @@ from feedlake.functions.times import feed_date, published_date, rfc3339
 
 _TEXT = "STRUCT<_VALUE: STRING>"
 _ATOM_LINK = "ARRAY<STRUCT<_href: STRING>>"
-#: Both dialects in one schema: Atom puts entries at the root, RSS in a channel.
+#: Atom texts: xhtml comes as markup inside a div.
+_RICH = "STRUCT<_VALUE: STRING, div: STRING, `xhtml:div`: STRING>"
+_ITEMS = f"""ARRAY<STRUCT<
+            `_rdf:about`: STRING, guid: {_TEXT}, title: {_TEXT}, link: ARRAY<{_TEXT}>, description: {_TEXT},
+            `content:encoded`: {_TEXT}, author: ARRAY<{_TEXT}>, `dc:creator`: ARRAY<{_TEXT}>,
+            pubDate: STRING, `dc:date`: ARRAY<{_TEXT}>>>"""
+#: All dialects in one schema: Atom puts entries at the root, RSS 2.0 in a
+#: channel, RSS 1.0 at the root beside the channel.
 BODY = f"""
     title {_TEXT}, link {_ATOM_LINK},
     entry ARRAY<STRUCT<
-        id: {_TEXT}, title: {_TEXT}, link: {_ATOM_LINK}, summary: {_TEXT}, content: {_TEXT},
+        id: {_TEXT}, title: {_RICH}, link: {_ATOM_LINK}, summary: {_RICH}, content: {_RICH},
         author: ARRAY<STRUCT<name: STRING>>, published: STRING, updated: STRING>>,
     channel STRUCT<
         title: {_TEXT}, link: ARRAY<STRUCT<_VALUE: STRING, _href: STRING>>,
-        item: ARRAY<STRUCT<
-            guid: {_TEXT}, title: {_TEXT}, link: ARRAY<{_TEXT}>, description: {_TEXT},
-            `content:encoded`: {_TEXT}, author: ARRAY<{_TEXT}>, `dc:creator`: ARRAY<{_TEXT}>,
-            pubDate: STRING>>>,
+        item: {_ITEMS}>,
+    item {_ITEMS},
     _unreadable STRING
 """
 NO_TITLE = "(no title)"
@@ -33,7 +38,7 @@ def parsed(body: Column) -> Column:
 
 
 def is_readable(feed: Column) -> Column:
-    """A well-formed body that is a feed of either dialect."""
+    """A well-formed body that is a feed of one of the dialects."""
     some = F.coalesce(
         feed["title"]["_VALUE"], feed["channel"]["title"]["_VALUE"], F.get(feed["entry"]["id"]["_VALUE"], F.lit(0))
     )
@@ -65,15 +70,18 @@ def _filled(values: Column) -> Column:
 
 
 def _entries(feed: Column) -> Column:
-    """Entries of either dialect in one shape."""
+    """Entries of all dialects in one shape."""
+
+    def rich(text: Column) -> Column:
+        return F.coalesce(text["div"], text["xhtml:div"], text["_VALUE"])
 
     def atom(e: Column) -> Column:
         return F.struct(
             e["id"]["_VALUE"].alias("guid"),
             F.get(e["link"]["_href"], F.lit(0)).alias("link"),
-            e["title"]["_VALUE"].alias("title"),
-            e["summary"]["_VALUE"].alias("summary"),
-            e["content"]["_VALUE"].alias("content"),
+            rich(e["title"]).alias("title"),
+            rich(e["summary"]).alias("summary"),
+            rich(e["content"]).alias("content"),
             F.get(e["author"]["name"], F.lit(0)).alias("author"),
             e["published"].alias("published"),
             e["updated"].alias("updated"),
@@ -81,7 +89,7 @@ def _entries(feed: Column) -> Column:
 
     def rss(i: Column) -> Column:
         return F.struct(
-            i["guid"]["_VALUE"].alias("guid"),
+            F.coalesce(i["guid"]["_VALUE"], i["_rdf:about"]).alias("guid"),
             F.get(i["link"]["_VALUE"], F.lit(0)).alias("link"),
             i["title"]["_VALUE"].alias("title"),
             i["description"]["_VALUE"].alias("summary"),
@@ -90,10 +98,12 @@ def _entries(feed: Column) -> Column:
                 F.get(i["author"]["_VALUE"], F.lit(0)), F.get(i["dc:creator"]["_VALUE"], F.lit(0))
             ).alias("author"),
             i["pubDate"].alias("published"),
-            F.lit(None).cast("string").alias("updated"),
+            F.get(i["dc:date"]["_VALUE"], F.lit(0)).alias("updated"),
         )
 
-    return F.coalesce(F.transform(feed["entry"], atom), F.transform(feed["channel"]["item"], rss))
+    inside, beside = feed["channel"]["item"], feed["item"]
+    items = F.coalesce(F.concat(inside, beside), inside, beside)
+    return F.coalesce(F.transform(feed["entry"], atom), F.transform(items, rss))
 
 
 def read_entries(bodies: DataFrame, now: Column) -> DataFrame:

@@ -66,6 +66,39 @@ def test_entries(bodies):
     assert (two.external_id, two.url) == ("fallback:Two:2026-07-01T10:00:00+00:00", "")
 
 
+RDF = """<?xml version="1.0"?>
+<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/"
+     xmlns:dc="http://purl.org/dc/elements/1.1/">
+<channel rdf:about="https://d.example/rss"><title>Old</title><link>https://d.example/home</link>
+<items><rdf:Seq><rdf:li resource="https://d.example/1"/></rdf:Seq></items></channel>
+<item rdf:about="https://d.example/1"><title>One</title><link>https://d.example/1</link>
+<description>short</description><dc:creator>Ann</dc:creator><dc:date>2026-07-01T12:00:00+02:00</dc:date></item>
+<item rdf:about="https://d.example/2"><title>Two</title><link>https://d.example/2</link><dc:date>2026-07-02</dc:date></item>
+</rdf:RDF>"""
+DATED = """<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>c</title>
+<item><title>a</title><guid>1</guid><dc:date>2026-07-01T10:00:00Z</dc:date></item>
+<item><title>b</title><guid>2</guid><pubDate>no date</pubDate><dc:date>2026-07-01T10:00:00Z</dc:date></item>
+</channel></rss>"""
+XHTML = """<feed xmlns="http://www.w3.org/2005/Atom"><title>x</title><entry><id>1</id><title>plain</title>
+<summary type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml">just <b>this</b></div></summary>
+<content type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml"><p>one <i>two</i></p></div></content></entry></feed>"""
+
+
+def test_rdf_dublin_core_dates_and_xhtml(spark):
+    bodies = spark.createDataFrame([(1, RDF), (2, DATED), (3, XHTML)], "feed_id long, body string")
+    feeds = {r.feed_id: tuple(r)[1:] for r in feed_xml.read_feeds(bodies).collect()}
+    assert feeds[1] == ("Old", "https://d.example/home", True)
+    rows = feed_xml.read_entries(bodies, F.lit(at("2030-01-01T00:00:00"))).orderBy("feed_id", "pos").collect()
+    assert [(r.feed_id, r.external_id) for r in rows] == [
+        (1, "https://d.example/1"), (1, "https://d.example/2"), (2, "1"), (2, "2"), (3, "1")
+    ]
+    assert tuple(rows[0])[3:] == ("One", "https://d.example/1", "short", "", "Ann", at("2026-07-01T10:00:00"))
+    assert rows[1].published_at == at("2026-07-02T00:00:00")
+    assert rows[2].published_at == rows[3].published_at == at("2026-07-01T10:00:00")
+    assert "<b>this</b>" in rows[4].summary and "just" in rows[4].summary
+    assert "<p>one <i>two</i></p>" in rows[4].content.replace("\n", "")
+
+
 def test_logs(spark, tmp_path):
     lines = ['{"route":"/a","method":"GET","duration_ms":12,"extra":1}', '{"level":"WARN"}']
     (tmp_path / "x.ndjson").write_text("\n".join(lines))
