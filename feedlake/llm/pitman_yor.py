@@ -7,17 +7,22 @@ are the tables below it, and its own new tables draw from a uniform base.  The
 seating is sampled by Gibbs sweeps, and the predictive probabilities of several
 sweeps are averaged.
 
-The context of a token is the hash class of the word before it (``CONTEXTS``
-classes, the same for every input), so the totals of all restaurants are one
-short vector.  Words are dealt to buckets by hash, with everything that was
-counted about them; a word's part of the parent restaurant lies in its own
-bucket, and restaurants exchange only their totals between sweeps.  Within a
-sweep these totals are those of the sweep before, as usual for distributed Gibbs
-sampling.
+The context of a token is the word before it, by its whole 64-bit hash.  Pairs
+(word, context) are dealt to buckets by the word, those of very common words by
+word and context, so that no word is gathered in one place.  A word's part of
+the parent restaurant lies in its own bucket; of the at most 1,000 common words
+the driver holds a few numbers each.  A bucket keeps the totals of the contexts
+it meets: between sweeps, buckets send what they have seated per context to the
+context's place, where it is added up and sent back (``_context_totals``).
+Within a sweep all totals are those of the sweep before, as usual for
+distributed Gibbs sampling.  Pairs of held-out texts are in the buckets with no
+customers, so that their contexts' totals come the same way.
 """
 
 from __future__ import annotations
 
+import gc
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,20 +32,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import arrow_rows, settled
+from feedlake.llm.common import arrow_rows, discard, new_folder, settled
 
-#: Hash classes of the preceding word; class 0 is the start of a text.
-CONTEXTS = 4096
-BITS = np.uint64(12)
-LOW = np.uint64(CONTEXTS - 1)
+#: The context of the first token of a text.
+START = np.uint64(0)
 #: Tokens that one worker gathers before it sends them off.
-SLICE_TOKENS = 2_000_000
+SLICE_TOKENS = 1_500_000
 SLICE_DOCS = 60_000
 #: Bytes of text per bucket of words.
-BUCKET_BYTES = 24 << 20
-#: Words with at least this share of all tokens (so at most 500 words) are scored
-#: where the texts are read.
+BUCKET_BYTES = 14 << 20
+#: Words with about this share of a sample of the texts or more are dealt by word
+#: and context; pairs with this share of all tokens (at most 500) are scored where
+#: the texts are read.  Neither changes what is counted.
 HEAVY_SHARE = 1 / 500
+SAMPLE_BYTES = 16 << 20
 BURN_IN, SAMPLES = 1, 2
 CONCENTRATION = 1.0
 #: Customers seated one by one; later ones in blocks that double.
@@ -49,13 +54,21 @@ FOLDS, HELD_OUT = 7, 2
 
 
 def pack(x: np.ndarray) -> bytes:
-    """An array of whole numbers in the fewest bytes each, its type first."""
+    """An array of whole numbers in the fewest bytes each, its type first; all but
+    hashes as compressed planes of bytes."""
     small = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
-    return small.dtype.char.encode() + small.tobytes()
+    if small.itemsize == 8:
+        return small.dtype.char.encode() + small.tobytes()
+    planes = small.view(np.uint8).reshape(-1, small.itemsize).T.tobytes()
+    return small.dtype.char.encode() + zlib.compress(planes, 1)
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.dtype(chr(raw[0])), offset=1)
+    kind = np.dtype(chr(raw[0]))
+    if kind.itemsize == 8:
+        return np.frombuffer(raw, dtype=kind, offset=1)
+    planes = np.frombuffer(zlib.decompress(memoryview(raw)[1:]), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
 
 
 def _end_hash() -> int:
@@ -65,11 +78,11 @@ def _end_hash() -> int:
 
 
 class Tokens:
-    """Texts as word and context numbers, gathered in slices."""
+    """Texts as hashes of their words, gathered in slices."""
 
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.end = np.uint64(_end_hash()) & ~LOW
+        self.end = _end_hash()
         self.clear()
 
     def clear(self) -> None:
@@ -80,32 +93,65 @@ class Tokens:
         self.total = 0
 
     def add(self, doc_id, held_out: bool, text: str) -> None:
-        """Keeps the token keys: 52 bits of the word's hash, 12 of its context."""
         import xxhash
 
         words = text.encode("utf-8", "replace").lower().split()
         known = self.known
-        if len(known) > 800_000:
+        if len(known) > 300_000:
             known.clear()
         for w in words:
             if w not in known:
                 known[w] = xxhash.xxh64_intdigest(w)
-        hashes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        keys = np.empty(len(words) + 1, dtype=np.uint64)
-        keys[:-1] = hashes & ~LOW
-        keys[-1] = self.end
-        # bits of the hash that the bucket and the word number do not begin with
-        keys[1:] |= (hashes >> np.uint64(7)) % np.uint64(CONTEXTS - 1) + np.uint64(1)
-        self.parts.append(keys)
-        self.sizes.append(len(keys))
+        hashes = np.empty(len(words) + 1, dtype=np.uint64)
+        hashes[:-1] = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        hashes[-1] = self.end
+        self.parts.append(hashes)
+        self.sizes.append(len(hashes))
         self.ids.append(doc_id)
         self.flags.append(held_out)
-        self.total += len(keys)
+        self.total += len(hashes)
 
     @property
     def full(self) -> bool:
         return self.total >= SLICE_TOKENS or len(self.sizes) >= SLICE_DOCS
 
+    def dealt(self, heavy: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words, contexts and documents of all tokens by bucket, word and
+        context; and where each bucket begins and ends."""
+        vocabulary, ids = np.unique(np.concatenate(self.parts), return_inverse=True)
+        sizes = np.array(self.sizes)
+        context = np.empty(len(ids), dtype=np.int64)
+        context[1:] = ids[:-1] + 1
+        context[np.cumsum(sizes) - sizes] = 0
+        order = (ids * (len(vocabulary) + 1) + context).argsort(kind="stable")
+        words = vocabulary[ids[order]]
+        contexts = np.concatenate([[START], vocabulary])[context[order]]
+        del ids, context
+        bucket = _bucket(words, contexts, heavy, buckets)
+        again = bucket.argsort(kind="stable")
+        edges = np.searchsorted(bucket[again], np.arange(buckets + 1))
+        return words[again], contexts[again], np.repeat(np.arange(len(sizes)), sizes)[order][again], edges
+
+
+def _place(hashes: np.ndarray, places: int) -> np.ndarray:
+    """Ranges of the hash, so ascending with it."""
+    return ((hashes >> np.uint64(32)) * np.uint64(places) >> np.uint64(32)).astype(np.int32)
+
+
+def _bucket(words: np.ndarray, contexts: np.ndarray, heavy: np.ndarray, buckets: int) -> np.ndarray:
+    hashes = words.copy()
+    _, common = _find(heavy, words)
+    mixed = (words[common] ^ contexts[common] * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+    hashes[common] = mixed ^ mixed << np.uint64(32)
+    return _place(hashes, buckets)
+
+
+def _find(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(where):
+        return np.zeros(len(what), dtype=int), np.zeros(len(what), dtype=bool)
+    at = np.minimum(np.searchsorted(where, what), len(where) - 1)
+    return at, where[at] == what
+
 
 def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[Tokens]:
     tokens = Tokens()
@@ -120,35 +166,40 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[Tokens]:
         tokens.clear()
 
 
-def _edges(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins and ends; buckets are ranges of the hash."""
-    limits = [(b << 64) // buckets for b in range(1, buckets)]
-    inner = np.searchsorted(sorted_keys, np.array(limits, dtype=np.uint64), "left")
-    return np.concatenate([[0], inner, [len(sorted_keys)]])
+def _firsts(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Where a new pair begins among sorted ones."""
+    new = (words[1:] != words[:-1]) | (contexts[1:] != contexts[:-1])
+    return np.flatnonzero(np.concatenate([[True], new]))
 
 
-def _by_word(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys as (words, how many keys each, contexts)."""
-    words, counts = np.unique(keys >> BITS, return_counts=True)
-    return words, counts, keys & LOW
+def _block(words: np.ndarray, contexts: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """Rows sorted by word: the words, rows of each, the distinct contexts
+    ascending (heads), and each row's place among them."""
+    distinct, sizes = np.unique(words, return_counts=True)
+    heads, at = np.unique(contexts, return_inverse=True)
+    return pack(distinct), pack(sizes), pack(heads), pack(at)
 
 
-def _joined(words: np.ndarray, counts: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    return np.repeat(words << BITS, counts) | contexts.astype(np.uint64)
+def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    words = np.repeat(unpack(row["words"]).astype(np.uint64), unpack(row["sizes"]).astype(np.int64))
+    return words, unpack(row["heads"]).astype(np.uint64)[unpack(row["contexts"]).astype(np.int64)]
 
 
 @dataclass
 class Sample:
-    """What one sweep leaves to all: tables per context, and of both levels."""
+    """What one sweep leaves to all: customers and tables of the parent, and of
+    each common word its tables and the parent's tables."""
 
-    tables: np.ndarray
     parent_customers: float
     parent_tables: float
+    heavy_tables: np.ndarray
+    heavy_parents: np.ndarray
 
 
 @dataclass
 class Rules:
-    customers: np.ndarray
+    heavy: np.ndarray
+    heavy_counts: np.ndarray
     discount: float
     parent_discount: float
     words: int
@@ -159,21 +210,12 @@ class Rules:
         return 1 / (self.words + 1)
 
 
-def _starts(keys: np.ndarray) -> np.ndarray:
-    words = keys >> BITS
-    return np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(keys) else np.zeros(0, dtype=int)
-
-
 def parent_probability(tables: np.ndarray, parent: np.ndarray, rules: Rules, state: Sample) -> np.ndarray:
     """p(word) in the shared restaurant, from its customers and tables."""
     back = (CONCENTRATION + rules.parent_discount * state.parent_tables) * rules.base
     return (tables - rules.parent_discount * parent + back) / (CONCENTRATION + state.parent_customers)
 
 
-def unknown_probability(rules: Rules, state: Sample) -> float:
-    return float(parent_probability(np.zeros(1), np.zeros(1), rules, state)[0])
-
-
 def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables that so many customers of one dish open: each sits at a table of
     the dish with weight (customers - discount * tables), or opens one with
@@ -198,8 +240,12 @@ def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.r
     return tables
 
 
-MODEL = "bucket int, words binary, sizes binary, contexts binary, counts binary"
-STATE = MODEL + ", tables array<binary>, parents array<binary>, context_tables array<long>, customers long, parent_tables long"
+COUNTS = "bucket int, words binary, sizes binary, heads binary, contexts binary, counts binary"
+#: ``totals``: of each head its customers, then its tables in each kept sweep;
+#: ``own``: what this bucket adds to the totals that are not yet known;
+#: ``heavy``: this bucket's tables (at first also customers) of each common word.
+STATE = COUNTS + ", tables array<binary>, parents array<binary>, totals array<binary>, own array<binary>, heavy array<long>, figures array<long>"
+FIXED = ["bucket", "words", "sizes", "heads", "contexts", "counts"]
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -211,156 +257,238 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def counted(rows: DataFrame, buckets: int) -> DataFrame:
-    """Training tokens by word and context: one row per bucket of words."""
+def _common_words(rows: DataFrame, size: int) -> np.ndarray:
+    """Hashes of the words that are common in a sample, at most 1,000, ascending."""
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for tokens in _slices(batches):
+            words, n = np.unique(np.concatenate(tokens.parts), return_counts=True)
+            often = n >= n.sum() * HEAVY_SHARE / 4
+            yield pd.DataFrame({"word": words[often].view(np.int64), "n": n[often], "total": n.sum()})
+
+    part = rows if size <= SAMPLE_BYTES else rows.sample(SAMPLE_BYTES / size, seed=11)
+    found = settled(part.mapInPandas(pick, "word long, n long, total long"), "lm-common")
+    # every worker names a total with each word; the largest word's share bounds it
+    total = found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    whole = total.agg(F.max("total")).head()[0] or 0
+    common = total.filter(F.col("n") >= max(1, whole * HEAVY_SHARE / 2)).orderBy(F.desc("n"), "word").limit(1000)
+    return np.sort(np.array([r["word"] for r in common.collect()], dtype=np.int64).view(np.uint64))
+
+
+def counted(rows: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
+    """Pairs with their training tokens, one row per bucket; every word has one
+    table in each of its contexts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for tokens in _slices(batches):
-            parts = [p for p, held in zip(tokens.parts, tokens.flags, strict=True) if not held]
-            if not parts:
-                continue
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            edges, out = _edges(keys, buckets), []
+            words, contexts, doc, edges = tokens.dealt(heavy, buckets)
+            learned, out = ~np.array(tokens.flags, dtype=bool), []
             for b in range(buckets):
-                part = slice(edges[b], edges[b + 1])
                 if edges[b] < edges[b + 1]:
-                    out.append((b, *map(pack, _by_word(keys[part])), pack(n[part])))
-            yield pd.DataFrame(out, columns=["bucket", "words", "sizes", "contexts", "counts"])
+                    w, c = words[edges[b] : edges[b + 1]], contexts[edges[b] : edges[b + 1]]
+                    first = _firsts(w, c)
+                    n = np.add.reduceat(learned[doc[edges[b] : edges[b + 1]]].astype(np.int64), first)
+                    out.append((b, *_block(w[first], c[first]), pack(n)))
+            yield pd.DataFrame(out, columns=FIXED)
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([_joined(unpack(w), unpack(s), unpack(c)) for w, s, c in zip(part["words"], part["sizes"], part["contexts"], strict=True)])
+        pairs = [_pairs(r) for r in part.to_dict("records")]
+        words, contexts = (np.concatenate([x[i] for x in pairs]) for i in (0, 1))
+        del pairs
         n = np.concatenate([unpack(x).astype(np.int64) for x in part["counts"]])
-        order = keys.argsort(kind="stable")
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        row = (int(part["bucket"].iloc[0]), *map(pack, _by_word(keys[first])), pack(np.add.reduceat(n, first)))
-        return pd.DataFrame([row], columns=["bucket", "words", "sizes", "contexts", "counts"])
+        order = np.lexsort((contexts, words))
+        words, contexts, n = words[order], contexts[order], n[order]
+        first = _firsts(words, contexts)
+        counts = np.add.reduceat(n, first)
+        row = dict(zip(FIXED, (int(part["bucket"].iloc[0]), *_block(words[first], contexts[first]), pack(counts)), strict=True))
+        model = _Bucket(row, heavy)
+        tables = np.minimum(counts, 1)
+        sizes = np.add.reduceat(tables, model.starts)
+        kinds = sizes[~model.common]
+        figures = [counts.sum(), (kinds > 0).sum(), (counts == 1).sum(), (counts == 2).sum(), (kinds == 1).sum(), (kinds == 2).sum()]
+        row |= model.seated(tables, np.where(model.common, 0, np.minimum(sizes, 1)), [model.by_head(counts)])
+        row |= {"heavy": [*row["heavy"], *model.by_common(counts)], "figures": row["figures"] + [int(x) for x in figures]}
+        return pd.DataFrame([row])
+
+    return rows.mapInPandas(count, COUNTS).groupBy("bucket").applyInPandas(merge, STATE)
+
+
+class _Bucket:
+    """The pairs of one bucket."""
+
+    def __init__(self, row: dict, heavy: np.ndarray):
+        self.row, self.heavy = row, heavy
+        self.words = unpack(row["words"]).astype(np.uint64)
+        self.sizes = unpack(row["sizes"]).astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.contexts = unpack(row["contexts"]).astype(np.int64)
+        self.counts = unpack(row["counts"]).astype(np.int64)
+        self.at_common, self.common = _find(heavy, self.words)
+
+    def by_head(self, x: np.ndarray) -> bytes:
+        return pack(np.bincount(self.contexts, weights=x).astype(np.int64))
 
-    return rows.mapInPandas(count, MODEL).groupBy("bucket").applyInPandas(merge, MODEL)
+    def by_common(self, x: np.ndarray) -> list[int]:
+        own = np.add.reduceat(x, self.starts)[self.common]
+        return np.bincount(self.at_common[self.common], weights=own, minlength=len(self.heavy)).astype(np.int64).tolist()
 
+    def parent(self, tables: np.ndarray, parents: np.ndarray, rules: Rules, state: Sample) -> np.ndarray:
+        """p(word) of each word: from its own tables here, or the driver's."""
+        own = np.add.reduceat(tables.astype(np.float64), self.starts)
+        own[self.common] = state.heavy_tables[self.at_common[self.common]]
+        parents = parents.astype(np.float64)
+        parents[self.common] = state.heavy_parents[self.at_common[self.common]]
+        return parent_probability(own, parents, rules, state)
 
-def _sweep(model: DataFrame, rules: Rules | None, before: Sample | None, number: int, keep: bool) -> DataFrame:
-    """Every bucket seated anew given the totals of the sweep before; without
-    one, every word gets one table in each of its contexts.  ``keep`` appends to
-    the kept seatings instead of replacing the last."""
+    def seated(self, tables: np.ndarray, parents: np.ndarray, own: list[bytes]) -> dict:
+        return {
+            "tables": [pack(tables)],
+            "parents": [pack(parents)],
+            "totals": [],
+            "own": [*own, self.by_head(tables)],
+            "heavy": self.by_common(tables),
+            "figures": [int(tables.sum()), int(parents.sum())],
+        }
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+SENT = "place int, bucket int, heads binary, own array<binary>"
+
+
+def _context_totals(state: DataFrame, places: int) -> DataFrame:
+    """(bucket, place, own): what all buckets hold of each of the bucket's heads.
+    A bucket sends one number per context, so a common context is as many
+    numbers as there are buckets."""
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for r in batch.to_dict("records"):
-                sizes, contexts = unpack(r["sizes"]).astype(np.int64), unpack(r["contexts"]).astype(np.int64)
-                counts = unpack(r["counts"]).astype(np.int64)
-                starts = np.cumsum(sizes) - sizes
-                if before is None:
-                    tables, parent = np.ones(len(counts)), np.ones(len(sizes))
-                    held: tuple[list, list] = ([], [])
-                else:
-                    rng = np.random.default_rng([number, int(r["bucket"])])
-                    last, last_parent = unpack(r["tables"][-1]), unpack(r["parents"][-1])
-                    p = parent_probability(np.add.reduceat(last.astype(np.float64), starts), last_parent, rules, before)
-                    strength = (CONCENTRATION + rules.discount * before.tables[contexts]) * np.repeat(p, sizes)
-                    tables = seat(counts, strength, rules.discount, rng)
-                    back = (CONCENTRATION + rules.parent_discount * before.parent_tables) * rules.base
-                    parent = seat(np.add.reduceat(tables, starts), np.full(len(sizes), back), rules.parent_discount, rng)
-                    held = (list(r["tables"]), list(r["parents"])) if keep else ([], [])
-                own = np.bincount(contexts, weights=tables, minlength=CONTEXTS).astype(np.int64)
-                row = {k: r[k] for k in ("bucket", "words", "sizes", "contexts", "counts")}
-                row |= {"tables": [*held[0], pack(tables)], "parents": [*held[1], pack(parent)]}
-                row |= {"context_tables": own.tolist(), "customers": int(tables.sum()), "parent_tables": int(parent.sum())}
-                out.append(row)
-            yield pd.DataFrame(out)
-
-    return model.mapInPandas(run, STATE)
-
-
-def _context_sums(df: DataFrame, column: str) -> np.ndarray:
-    """Sum of a per-context array column: CONTEXTS numbers."""
-    out = np.zeros(CONTEXTS)
+                heads, own = unpack(r["heads"]).astype(np.uint64), [unpack(x) for x in r["own"]]
+                edges = np.searchsorted(_place(heads, places), np.arange(places + 1))
+                out = [
+                    (i, r["bucket"], pack(heads[edges[i] : edges[i + 1]]), [pack(x[edges[i] : edges[i + 1]]) for x in own])
+                    for i in range(places)
+                    if edges[i] < edges[i + 1]
+                ]
+                yield pd.DataFrame(out, columns=["place", "bucket", "heads", "own"])
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        heads = [unpack(x) for x in part["heads"]]
+        ends = np.cumsum([len(x) for x in heads])[:-1]
+        _, at = np.unique(np.concatenate(heads), return_inverse=True)
+        sums = []
+        for k in range(len(part["own"].iloc[0])):
+            all_of = np.bincount(at, weights=np.concatenate([unpack(x[k]).astype(np.float64) for x in part["own"]]))
+            sums.append([pack(x) for x in np.split(all_of[at].astype(np.int64), ends)])
+        return pd.DataFrame({"bucket": part["bucket"].to_numpy(), "place": part["place"].to_numpy(), "own": [list(x) for x in zip(*sums, strict=True)]})
+
+    sent = state.select("bucket", "heads", "own").mapInPandas(send, SENT)
+    return sent.groupBy("place").applyInPandas(add, "bucket int, place int, own array<binary>")
+
+
+def _all_totals(row: dict, places: list[int], own: list) -> list[np.ndarray]:
+    """The known totals of a bucket's heads and those just sent back."""
+    ordered = [x for _, x in sorted(zip(places, own, strict=True), key=lambda x: x[0])]
+    new = [np.concatenate([unpack(x[k]).astype(np.float64) for x in ordered]) for k in range(len(row["own"]))]
+    return [*(unpack(x).astype(np.float64) for x in row["totals"]), *new]
+
+
+def _sweep(state: DataFrame, buckets: int, rules: Rules, before: Sample, number: int, keep: bool) -> DataFrame:
+    """Every bucket seated anew given the totals of the sweep before.  ``keep``
+    appends to the kept seatings instead of replacing the last."""
+
+    def run(part: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        r = part.to_dict("records")[0]
+        totals = _all_totals(r, sums["place"].tolist(), sums["own"].tolist())
+        model = _Bucket(r, rules.heavy)
+        rng = np.random.default_rng([number, int(r["bucket"])])
+        p = model.parent(unpack(r["tables"][-1]), unpack(r["parents"][-1]), rules, before)
+        strength = (CONCENTRATION + rules.discount * totals[-1][model.contexts]) * np.repeat(p, model.sizes)
+        tables = seat(model.counts, strength, rules.discount, rng)
+        own = np.where(model.common, 0, np.add.reduceat(tables, model.starts))
+        row = {k: r[k] for k in FIXED}
+        row |= model.seated(tables, _parent_seats(own, rules, before, rng), [])
+        row["totals"] = [pack(x) for x in (totals if keep else totals[:1])]
+        if keep:
+            row["tables"], row["parents"] = [*r["tables"], *row["tables"]], [*r["parents"], *row["parents"]]
+        return pd.DataFrame([row])
+
+    sums = _context_totals(state, buckets)
+    return state.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInPandas(run, STATE)
+
+
+def _parent_seats(tables: np.ndarray, rules: Rules, before: Sample, rng: np.random.Generator) -> np.ndarray:
+    back = (CONCENTRATION + rules.parent_discount * before.parent_tables) * rules.base
+    return seat(tables, np.full(len(tables), back), rules.parent_discount, rng)
+
+
+def _sums(df: DataFrame, column: str, length: int) -> np.ndarray:
+    """Sum of an array column of a bounded length."""
+    out = np.zeros(length)
     for r in df.select(F.posexplode(column).alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
         out[r["i"]] = r["n"]
     return out
 
 
-def _state(df: DataFrame) -> Sample:
-    sums = df.agg(F.sum("customers"), F.sum("parent_tables")).head()
-    return Sample(_context_sums(df, "context_tables"), float(sums[0] or 0), float(sums[1] or 0))
-
+def _sample(state: DataFrame, rules: Rules, before: Sample | None, number: int) -> Sample:
+    customers, parents = _sums(state.select(F.slice("figures", 1, 2).alias("figures")), "figures", 2)
+    tables = _sums(state.select(F.slice("heavy", 1, max(1, len(rules.heavy))).alias("heavy")), "heavy", len(rules.heavy))
+    own = np.minimum(tables, 1) if before is None else _parent_seats(tables, rules, before, np.random.default_rng([number, 1 << 32]))
+    return Sample(float(customers), float(parents + own.sum()), tables, own)
 
-def _totals(model: DataFrame) -> Rules:
-    """Customers per context, corpus size, and discounts from counts of counts."""
 
-    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.to_dict("records"):
-                counts, sizes = unpack(r["counts"]).astype(np.int64), unpack(r["sizes"])
-                contexts = unpack(r["contexts"])
-                own = np.bincount(contexts, weights=counts, minlength=CONTEXTS).astype(np.int64)
-                figures = [counts.sum(), len(sizes), (counts == 1).sum(), (counts == 2).sum(), (sizes == 1).sum(), (sizes == 2).sum()]
-                out.append({"own": own.tolist(), "figures": [int(x) for x in figures]})
-            yield pd.DataFrame(out)
-
-    sums = settled(model.select("sizes", "contexts", "counts").mapInPandas(total, "own array<long>, figures array<long>"), "lm-totals")
-    f = sums.agg(*[F.sum(F.col("figures")[i]) for i in range(6)]).head()
-    n, v, one, two, one_word, two_word = (int(x or 0) for x in f)
+def _rules(state: DataFrame, heavy: np.ndarray) -> Rules:
+    """Corpus size, and discounts from counts of counts."""
+    n, v, one, two, one_word, two_word = (int(x) for x in _sums(state, "figures", 8)[2:])
+    tables, counts = _sums(state, "heavy", 2 * len(heavy)).reshape(2, -1)
 
     def discount(a: int, b: int) -> float:
         return min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
 
-    return Rules(_context_sums(sums, "own"), discount(one, two), discount(one_word, two_word), v, n)
+    below = discount(one_word + int((tables == 1).sum()), two_word + int((tables == 2).sum()))
+    return Rules(heavy, counts.astype(np.int64), discount(one, two), below, v + int((tables > 0).sum()), n)
 
 
 class Predictive:
-    """Averaged predictive probabilities of the words of one bucket."""
-
-    def __init__(self, row: dict | None, rules: Rules, samples: list[Sample]):
-        self.rules, self.samples = rules, samples
-        none = np.zeros(0, dtype=np.uint64)
-        if row is None:
-            self.words, self.keys, self.counts, self.totals = none, none, none.astype(int), none.astype(int)
-            self.tables, self.p = [none] * len(samples), [np.zeros(0)] * len(samples)
-            return
-        sizes = unpack(row["sizes"]).astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        self.words = unpack(row["words"]).astype(np.uint64)
-        self.keys = _joined(self.words, sizes, unpack(row["contexts"]))
-        self.counts = unpack(row["counts"]).astype(np.int64)
-        self.totals = np.add.reduceat(self.counts, starts)
-        self.tables = [unpack(x).astype(np.float64) for x in row["tables"]]
-        parents = [unpack(x) for x in row["parents"]]
-        self.p = [
-            parent_probability(np.add.reduceat(t, starts), parent, rules, s)
-            for t, parent, s in zip(self.tables, parents, samples, strict=True)
-        ]
-
-    @staticmethod
-    def _find(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(where):
-            return np.zeros(len(what), dtype=int), np.zeros(len(what), dtype=bool)
-        at = np.minimum(np.searchsorted(where, what), len(where) - 1)
-        return at, where[at] == what
+    """Averaged predictive probabilities of the pairs of one bucket."""
+
+    def __init__(self, row: dict, totals: list[np.ndarray], rules: Rules, samples: list[Sample]):
+        model = _Bucket(row, rules.heavy)
+        self.words, self.starts, self.sizes = model.words, model.starts, model.sizes
+        self.heads = unpack(row["heads"]).astype(np.uint64)
+        self.codes = np.repeat(np.arange(len(model.sizes)), model.sizes) * len(self.heads) + model.contexts
+        word_counts = np.add.reduceat(model.counts, model.starts)
+        word_counts[model.common] = rules.heavy_counts[model.at_common[model.common]]
+        self.counts = np.repeat(word_counts, model.sizes)
+        total = np.zeros(len(model.counts))
+        for tables, parents, seated, s in zip(row["tables"], row["parents"], totals[1:], samples, strict=True):
+            tables = unpack(tables).astype(np.float64)
+            p = np.repeat(model.parent(tables, unpack(parents), rules, s), model.sizes)
+            total += model.counts - rules.discount * tables + (CONCENTRATION + rules.discount * seated[model.contexts]) * p
+        self.logs = np.log10(total / (CONCENTRATION + totals[0][model.contexts]) / len(samples))
+
+    def holds(self, word: np.uint64, context: np.uint64) -> bool:
+        code = np.searchsorted(self.words, word) * len(self.heads) + np.searchsorted(self.heads, context)
+        return bool(_find(self.codes, np.array([code]))[1][0])
 
     def score(self, words: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability and training count of each word after its context."""
-        word_at, known = self._find(self.words, words)
-        pair_at, seen = self._find(self.keys, words << BITS | contexts.astype(np.uint64))
-        customers = self.rules.customers[contexts]
-        total = np.zeros(len(words))
-        for tables, p, s in zip(self.tables, self.p, self.samples, strict=True):
-            prior = np.full(len(words), unknown_probability(self.rules, s))
-            prior[known] = p[word_at[known]]
-            value = (CONCENTRATION + self.rules.discount * s.tables[contexts]) * prior
-            value[seen] += self.counts[pair_at[seen]] - self.rules.discount * tables[pair_at[seen]]
-            total += value / (CONCENTRATION + customers)
-        count = np.zeros(len(words), dtype=np.int64)
-        count[known] = self.totals[word_at[known]]
-        return np.log10(total / len(self.samples)), count
-
-
-EVENTS = "bucket int, slice long, words binary, sizes binary, contexts binary, docs binary"
+        """log10 probability and training count of each word after its context;
+        every pair of a text is among the bucket's."""
+        at = np.searchsorted(self.codes, np.searchsorted(self.words, words) * len(self.heads) + np.searchsorted(self.heads, contexts))
+        return self.logs[at], self.counts[at]
+
+
+#: Rows of a negative slice are totals of contexts, sent from place -1 - slice.
+EVENTS = "bucket int, slice long, words binary, sizes binary, heads binary, contexts binary, docs binary, own array<binary>"
 PARTS = "slice long, docs binary, n binary, score binary, base binary"
 
 
+def _forget_shuffles(spark) -> None:
+    """Spark deletes the shuffle files of frames that nothing refers to any more,
+    neither here nor in the JVM."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (id, held_out, n_tokens, n_known,
     train_tokens, base_score, score, perplexity).
@@ -378,32 +506,44 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     buckets = max(8, -(-size // BUCKET_BYTES))
     # bucket rows are large: few in an Arrow batch
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    model = settled(counted(rows, buckets), "lm-counts")
-    rules = _totals(model)
-    state = settled(_sweep(model, None, None, 0, False), "lm-seats")
-    current, samples = _state(state), []
+    heavy = _common_words(rows, size)
+    path = new_folder(spark, "lm-seats")
+    counted(rows, heavy, buckets).write.parquet(path)
+    state = spark.read.schema(STATE).parquet(path)
+    _forget_shuffles(spark)
+    rules = _rules(state, heavy)
+    often = _HeavyPairs(state, rules)
+    current, samples = _sample(state, rules, None, 0), []
     for number in range(1, BURN_IN + SAMPLES + 1):
-        keep = number > BURN_IN + 1
-        state = settled(_sweep(state, rules, current, number, keep), "lm-seats")
-        current = _state(state)
+        after = new_folder(spark, "lm-seats")
+        _sweep(state, buckets, rules, current, number, number > BURN_IN + 1).write.parquet(after)
+        discard(spark, path)
+        path, state = after, spark.read.schema(STATE).parquet(after)
+        _forget_shuffles(spark)
+        current = _sample(state, rules, current, number)
         if number > BURN_IN:
             samples.append(current)
+            often.sampled(state)
+
+    heavy_words, heavy_contexts, heavy_counts, heavy_logs = often.scored(state, samples)
 
-    heavy = _heavy(state, rules, samples)
-    heavy_words = np.array(sorted(heavy), dtype=np.uint64)
-    heavy_counts = np.array([heavy[w][0] for w in heavy_words.tolist()], dtype=np.int64)
-    heavy_logs = np.array([heavy[w][1] for w in heavy_words.tolist()]).reshape(len(heavy), CONTEXTS)
+    heavy_at = _bucket(heavy_words, heavy_contexts, heavy, buckets)
+    names = ["bucket", "slice", "words", "sizes", "heads", "contexts", "docs", "own"]
 
     def events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = TaskContext.get()
         place = context.partitionId() << 32
         for number, tokens in enumerate(_slices(batches)):
-            keys = np.concatenate(tokens.parts)
-            doc = np.repeat(np.arange(len(tokens.sizes)), tokens.sizes)
-            words = keys >> BITS
-            at, found = Predictive._find(heavy_words, words)
+            words, contexts, doc, edges = tokens.dealt(heavy, buckets)
+            at = np.full(len(words), -1)
+            for i in range(len(heavy_words)):
+                first, last = edges[heavy_at[i]], edges[heavy_at[i] + 1]
+                begin, end = (first + np.searchsorted(words[first:last], heavy_words[i], side) for side in ("left", "right"))
+                lo, hi = (begin + np.searchsorted(contexts[begin:end], heavy_contexts[i], side) for side in ("left", "right"))
+                at[lo:hi] = i
+            found = at >= 0
             n = len(tokens.sizes)
-            score = np.bincount(doc[found], weights=heavy_logs[at[found], (keys[found] & LOW).astype(int)], minlength=n)
+            score = np.bincount(doc[found], weights=heavy_logs[at[found]], minlength=n)
             base = np.bincount(doc[found], weights=np.log10(heavy_counts[at[found]] + 1.0), minlength=n)
             known = np.bincount(doc[found], minlength=n)
             ids = np.array([-1 if x is None else x for x in tokens.ids], dtype=np.int64)
@@ -411,33 +551,32 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 {
                     "bucket": -1,
                     "slice": place + number,
+                    "heads": None,
+                    "own": None,
                     "words": ids.tobytes(),
                     "sizes": np.array([x is None for x in tokens.ids]).tobytes() + np.array(tokens.flags).tobytes() + pack(np.array(tokens.sizes)),
                     "contexts": score.tobytes(),
                     "docs": base.tobytes() + known.astype(np.int64).tobytes(),
                 }
             ]
-            keys, doc = keys[~found], doc[~found]
-            order = keys.argsort(kind="stable")
-            keys, doc = keys[order], doc[order]
-            edges = _edges(keys, buckets)
             for b in range(buckets):
-                part = slice(edges[b], edges[b + 1])
-                if edges[b] < edges[b + 1]:
-                    w, s, c = map(pack, _by_word(keys[part]))
-                    out.append({"bucket": b, "slice": place + number, "words": w, "sizes": s, "contexts": c, "docs": pack(doc[part])})
-            yield pd.DataFrame(out)
+                rest = edges[b] + np.flatnonzero(~found[edges[b] : edges[b + 1]])
+                if len(rest):
+                    block = dict(zip(("words", "sizes", "heads", "contexts"), _block(words[rest], contexts[rest]), strict=True))
+                    out.append({"bucket": b, "slice": place + number, "docs": pack(doc[rest]), "own": None, **block})
+            yield pd.DataFrame(out, columns=names)
 
     def judge(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        model_row = own.to_dict("records")[0] if len(own) else None
         predictive, out = None, []
-        for r in part.to_dict("records"):
+        sums = part[part["slice"] < 0]
+        if len(own):
+            row = own.to_dict("records")[0]
+            predictive = Predictive(row, _all_totals(row, (-1 - sums["slice"]).tolist(), sums["own"].tolist()), rules, samples)
+        for r in part[part["slice"] >= 0].drop(columns="own").to_dict("records"):
             if r["bucket"] < 0:
                 out.append({"slice": r["slice"], "docs": None, "n": r["sizes"], "score": r["contexts"], "base": r["words"] + r["docs"]})
                 continue
-            predictive = predictive or Predictive(model_row, rules, samples)
-            words = np.repeat(unpack(r["words"]).astype(np.uint64), unpack(r["sizes"]))
-            logs, count = predictive.score(words, unpack(r["contexts"]).astype(np.int64))
+            logs, count = predictive.score(*_pairs(r))
             doc = unpack(r["docs"])
             present, at = np.unique(doc, return_inverse=True)
             out.append(
@@ -480,8 +619,10 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             }
         )
 
-    sent = rows.mapInPandas(events, EVENTS)
-    own = state.select("bucket", "words", "sizes", "contexts", "counts", "tables", "parents")
+    none = [F.lit(None).cast("binary").alias(c) for c in ("words", "sizes", "heads", "contexts", "docs")]
+    totals = _context_totals(state, buckets).select("bucket", (-1 - F.col("place").cast("long")).alias("slice"), *none, "own")
+    sent = rows.mapInPandas(events, EVENTS).unionAll(totals)
+    own = state.select(*FIXED, "tables", "parents", "totals", "own")
     # header rows have no bucket of their own: any place will do
     place = F.when(F.col("bucket") < 0, -1 - F.pmod("slice", F.lit(buckets))).otherwise(F.col("bucket")).cast("int").alias("place")
     parts = sent.withColumn("place", place).groupBy("place").cogroup(own.withColumnRenamed("bucket", "place").groupBy("place"))
@@ -500,22 +641,66 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def _heavy(state: DataFrame, rules: Rules, samples: list[Sample]) -> dict[int, tuple[int, np.ndarray]]:
-    """word -> (training count, log10 probability after each context) of the at
-    most 1 / HEAVY_SHARE words with that share of all training tokens."""
-    least = max(1, int(np.ceil(rules.tokens * HEAVY_SHARE)))
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.to_dict("records"):
-                model = Predictive(r, rules, samples)
-                for i in np.flatnonzero(model.totals >= least):
-                    word = model.words[i]
-                    logs, _ = model.score(np.full(CONTEXTS, word), np.arange(CONTEXTS))
-                    out.append({"word": int(word), "n": int(model.totals[i]), "logs": logs.tobytes()})
-            yield pd.DataFrame(out, columns=["word", "n", "logs"])
-
-    own = state.select("words", "sizes", "contexts", "counts", "tables", "parents")
-    found = own.mapInPandas(pick, "word long, n long, logs binary").collect()
-    return {r["word"]: (r["n"], np.frombuffer(r["logs"])) for r in found}
+class _HeavyPairs:
+    """The at most 1 / HEAVY_SHARE pairs with that share of all training tokens,
+    which are scored where the texts are read; their contexts' totals are a few
+    numbers at the driver."""
+
+    def __init__(self, state: DataFrame, rules: Rules):
+        self.rules, least = rules, max(1, int(np.ceil(rules.tokens * HEAVY_SHARE)))
+
+        def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for r in batch.to_dict("records"):
+                    words, contexts = _pairs(r)
+                    often = unpack(r["counts"]) >= least
+                    yield pd.DataFrame({"word": words[often].view(np.int64), "context": contexts[often].view(np.int64)})
+
+        found = state.select(*FIXED).mapInPandas(pick, "word long, context long").collect()
+        pairs = sorted((r["word"] % (1 << 64), r["context"] % (1 << 64)) for r in found)
+        self.words, self.contexts = (np.array([x[i] for x in pairs], dtype=np.uint64) for i in (0, 1))
+        self.totals = self._of_contexts(state)[:1]
+
+    def _of_contexts(self, state: DataFrame) -> list[np.ndarray]:
+        wanted = np.unique(self.contexts)
+
+        def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for r in batch.to_dict("records"):
+                    at, found = _find(unpack(r["heads"]).astype(np.uint64), wanted)
+                    n = [np.where(found, unpack(x)[at], 0).astype(np.int64).tolist() for x in r["own"]]
+                    yield pd.DataFrame({"own": [sum(n, [])]})
+
+        sums = _sums(state.select("heads", "own").mapInPandas(own, "own array<long>"), "own", 2 * len(wanted))
+        return [x[np.searchsorted(wanted, self.contexts)] for x in sums.reshape(2, -1)]
+
+    def sampled(self, state: DataFrame) -> None:
+        """Tables of the contexts after a sweep that counts."""
+        self.totals.append(self._of_contexts(state)[0])
+
+    def scored(self, state: DataFrame, samples: list[Sample]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words and contexts, ascending; training counts of the words, and log10
+        probabilities."""
+        rules, words, contexts, totals = self.rules, self.words, self.contexts, self.totals
+
+        def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for r in batch.to_dict("records"):
+                    heads = unpack(r["heads"]).astype(np.uint64)
+                    at, found = _find(heads, contexts)
+                    known = _find(unpack(r["words"]).astype(np.uint64), words)[1] & found
+                    out = []
+                    if known.any():
+                        per_head = [np.zeros(len(heads)) for _ in totals]
+                        for x, own in zip(per_head, totals, strict=True):
+                            x[at[known]] = own[known]
+                        model = Predictive(r, per_head, rules, samples)
+                        for i in np.flatnonzero(known):
+                            logs, n = model.score(words[i : i + 1], contexts[i : i + 1]) if model.holds(words[i], contexts[i]) else ([], [])
+                            out += [(int(i), int(b), float(a)) for a, b in zip(logs, n, strict=True)]
+                    yield pd.DataFrame(out, columns=["i", "n", "log"])
+
+        own = state.select(*FIXED, "tables", "parents")
+        found = {r["i"]: r for r in own.mapInPandas(pick, "i long, n long, log double").collect()}
+        counts = np.array([found[i]["n"] for i in range(len(words))], dtype=np.int64)
+        return words, contexts, counts, np.array([found[i]["log"] for i in range(len(words))], dtype=float)

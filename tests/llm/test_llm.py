@@ -12,6 +12,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from feedlake.llm import chat, decontaminate, near_dup, neighbours, packing, pitman_yor, quality, token_counts, toxicity, url_filters
@@ -252,6 +253,36 @@ def test_pitman_yor_odd_rows(spark):
     assert pitman_yor.text_scores(documents(spark, (1, "a")).limit(0)).count() == 0
 
 
+def test_pitman_yor_contexts_are_words(spark):
+    """Two predecessors of one class in any 12 bits of a hash share nothing."""
+    kinds = {}
+    for i in range(9000):
+        kinds.setdefault((xxhash.xxh64_intdigest(f"u{i}") >> 7) % 4095, []).append(f"u{i}")
+    one, two = next(v for v in kinds.values() if len(v) > 1)[:2]
+    rows = [(i, f"{one} left" if i % 2 else f"{two} right") for i in range(800)]
+    got = pitman_yor.text_scores(documents(spark, *rows)).collect()
+    assert [r.doc_id for r in got if not math.log10(0.4) < r.score < math.log10(0.6)] == []
+
+
+def test_context_totals_against_counts(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want = Counter()
+    for r in docs.collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 7 != 2:
+            words = (r.text or "").encode().lower().split()
+            want.update([0, *map(xxhash.xxh64_intdigest, words)])
+    rows = pitman_yor._prepared(docs, "doc_id", "text")
+    heavy = pitman_yor._common_words(rows, 1)
+    state = pitman_yor.counted(rows, heavy, 5).cache()
+    sums, seen = pitman_yor._context_totals(state, 5).collect(), set()
+    for r in state.collect():
+        own = [s.own[0] for s in sorted((s for s in sums if s.bucket == r.bucket), key=lambda s: s.place)]
+        heads = pitman_yor.unpack(r.heads).tolist()
+        assert np.concatenate([pitman_yor.unpack(x) for x in own]).tolist() == [want[h] for h in heads]
+        seen.update(heads)
+    assert set(want) <= seen and len(seen) > 4096 and len(heavy)
+
+
 def test_seating_bounds():
     rng = np.random.default_rng(0)
     customers = np.array([0, 1, 2, 40, 100_000])
