@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import chat, decontaminate, near_dup, neighbours, packing, pitman_yor, quality, token_counts, toxicity, url_filters
+from feedlake.llm import (
+    centroids,
+    chat,
+    decontaminate,
+    mixing,
+    near_dup,
+    neighbours,
+    packing,
+    pitman_yor,
+    quality,
+    token_counts,
+    toxicity,
+    url_filters,
+    vector_codes,
+)
 from feedlake.llm.common import new_folder, settled, table
 from feedlake.session import configure
 
@@ -123,6 +137,27 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable vectors in sixteen clusters."""
+    configure(spark)
+    return centroids.cluster_report(centroids.clustered(table(spark, sf_dir, "embeddings")))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of the sources takes."""
+    configure(spark)
+    mix = mixing.mixture(table(spark, sf_dir, "documents"))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mix.select("doc_id", "size", "source_size", "target", taken)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's code, its error and its label's."""
+    configure(spark)
+    report = vector_codes.code_report(vector_codes.coded(table(spark, sf_dir, "embeddings")))
+    return report.drop("label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
@@ -134,4 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_vector_codes": op13_vector_codes,
 }
