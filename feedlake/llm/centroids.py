@@ -108,13 +108,13 @@ def _due(before: list[float] | None, now: list[float]) -> Column:
     """Keys that the drift reaches now and had not reached before."""
     each = []
     for c, limit in enumerate(now):
-        due = (F.col("cluster") == c) & (F.col("key") <= limit)
-        each.append(due if before is None else due & (F.col("key") > before[c]))
-    return reduce(lambda a, b: a | b, each)
+        later = "" if before is None else f" and key > double('{before[c]!r}')"
+        each.append(f"cluster = {c} and key <= double('{limit!r}'){later}")
+    return F.expr(" or ".join(each))
 
 
 def _waiting(now: list[float]) -> Column:
-    return reduce(lambda a, b: a | b, [(F.col("cluster") == c) & (F.col("key") > limit) for c, limit in enumerate(now)])
+    return F.expr(" or ".join(f"cluster = {c} and key > double('{limit!r}')" for c, limit in enumerate(now)))
 
 
 def _drifts(old: list[list[int]], new: list[list[int]]) -> list[float]:

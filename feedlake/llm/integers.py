@@ -75,15 +75,15 @@ class Sums:
 
 
 def summed(partial: DataFrame, names: list[str], dims: int) -> dict[tuple[int, ...], tuple[int, list[int]]]:
-    """Sums over all tasks: one row per task and key goes in, one per key reaches
-    the driver; the keys are those of the codebooks, whatever the input."""
-    each = [F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(dims)]
-    out = {}
-    for row in partial.groupBy(*names).agg(F.sum("n").alias("n"), *each).collect():
-        totals = [row[f"s{i}"] for i in range(dims)]
-        if any(x is None for x in totals):
+    """Sums over all tasks: one row per task and key goes in; a row per key and
+    component reaches the driver, as many as the codebooks have, whatever the input."""
+    parts = partial.selectExpr(*names, "n", "posexplode(sums) as (pos, value)")
+    out: dict = {}
+    for row in parts.groupBy(*names, "pos").agg(F.sum("n").alias("n"), F.sum("value").alias("value")).collect():
+        if row["value"] is None:
             raise ArithmeticError("the sum of a component exceeds 38 digits")
-        out[tuple(row[x] for x in names)] = (row["n"], [int(x) for x in totals])
+        n, total = out.setdefault(tuple(row[x] for x in names), (row["n"], [0] * dims))
+        total[row["pos"]] = int(row["value"])
     return out
 
 

@@ -36,7 +36,7 @@ ODD = [(1, None), (2, ""), (3, "one"), (4, "a b " * 30_000), (5, "same words her
 def test_sql(spark, folder, name):
     with duckdb.connect() as db:
         db.sql("set timezone = 'UTC'")
-        for table in ("pages", "conversations"):
+        for table in ("pages", "conversations", "documents", "embeddings"):
             db.sql(f"create view {table} as select * from read_parquet('{folder}/{table}.parquet')")
         want = db.sql(ORACLES[name])
         names, expected = want.columns, want.fetchall()
