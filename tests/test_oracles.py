@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from comparing import compare, duck
-
-QUERIES, ORACLES = queries(), oracle_sql()
+from feedlake.plans.oracles import ORACLES
+from feedlake.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
