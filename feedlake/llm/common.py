@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlake.session import new_folder, settled
 
-__all__ = ["arrow_rows", "ascii_lower", "checked", "components", "discard", "new_folder", "partitions_for", "settled", "table"]
+__all__ = ["arrow_rows", "ascii_lower", "checked", "components", "discard", "hand_back", "new_folder", "partitions_for", "settled", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows of one Arrow batch of whole texts; a batch of the longest known texts
@@ -30,6 +30,22 @@ def ascii_lower(text):
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def hand_back() -> None:
+    """In a Python worker at the end of a task: return memory that is free but
+    still held, so that workers kept for the next stage start small."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library keeps its own books
+
+
 def partitions_for(spark: SparkSession, total: int, each: int) -> int:
     """As many partitions as ``total`` units need at ``each`` units per
     partition, and never fewer than the session's shuffle partitions."""

@@ -22,11 +22,12 @@ def training_labels(labels: DataFrame, label: str, id_col: str = "doc_id") -> Da
 
 def labelled_sample(docs: DataFrame, known: DataFrame, bounds: dict[int, int]) -> DataFrame:
     """(label, text) of at most ``bounds[label]`` training documents per label,
-    those with the smallest hash of their id.  The id lists are bounded by the
-    bounds, so they are broadcast; the documents are not shuffled."""
+    those with the smallest hash of their id, one row of an id: its smallest text.
+    The id lists are bounded by the bounds, so they are broadcast, and only the
+    chosen documents are shuffled."""
     chosen = None
     for value, most in bounds.items():
         part = known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionAll(part)
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("label", "text")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import arrow_rows, checked, components, partitions_for, settled
+from feedlake.llm.common import arrow_rows, checked, components, hand_back, partitions_for, settled
 
 SHINGLE_WORDS = 2
 #: Sets are linked from this similarity on, in percent.
@@ -38,6 +38,8 @@ BUNDLE = 8192
 #: Sets of up to so many shingles (16 KB) travel with their sketches and are
 #: compared in full beside them; a pair with a larger one is joined to its sets.
 HELD = 2048
+#: Words whose hashes a task remembers (about 60 MB).
+KNOWN_WORDS = 400_000
 #: Sketches of latest sets that a worker remembers for their copies (10 MB).
 REMEMBERED = 20_000
 
@@ -117,31 +119,37 @@ def shingled(docs: DataFrame, size: int, id_col: str, text_col: str, full: bool
     ``full`` (id, digest, shingles), the set itself as sorted 64-bit hashes."""
     import hashlib
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shape = "digest binary, shingles binary" if full else "n_shingles long, digest binary, sig binary"
+
+    # a scalar function leaves ids in the JVM: beside a null pandas would make them doubles
+    @F.pandas_udf(shape)
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
         sketched: dict[bytes, bytes] = {}
-        for batch in batches:
-            rows = []
-            for text in batch["_text"]:
-                if len(known) > 1_000_000:
-                    known.clear()
-                if len(sketched) > REMEMBERED:
-                    sketched.clear()
-                # bytes know only ASCII letters and white space, as asked
-                words = text.encode("utf-8", "replace").lower().split()
-                found = shingle_set(word_hashes(words, known), size).astype("<u8")
-                raw = found.tobytes()
-                digest = hashlib.blake2b(raw, digest_size=16).digest()
-                if not full and digest not in sketched:
-                    sketched[digest] = registers(found).tobytes()
-                rows.append((digest, raw) if full else (len(found), digest, sketched[digest]))
-            out = pd.DataFrame(rows, columns=["digest", "shingles"] if full else ["n_shingles", "digest", "sig"])
-            out.insert(0, "id", batch["_id"].astype("Int64"))
-            yield out
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    schema = "id long, digest binary, shingles binary" if full else "id long, n_shingles long, digest binary, sig binary"
-    return docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text")).mapInPandas(sets, schema)
+        try:
+            for texts in batches:
+                rows = []
+                for text in texts:
+                    if len(known) > KNOWN_WORDS:
+                        known.clear()
+                    if len(sketched) > REMEMBERED:
+                        sketched.clear()
+                    # bytes know only ASCII letters and white space, as asked
+                    words = text.encode("utf-8", "replace").lower().split()
+                    found = shingle_set(word_hashes(words, known), size).astype("<u8")
+                    raw = found.tobytes()
+                    digest = hashlib.blake2b(raw, digest_size=16).digest()
+                    if not full and digest not in sketched:
+                        sketched[digest] = registers(found).tobytes()
+                    rows.append((digest, raw) if full else (len(found), digest, sketched[digest]))
+                yield pd.DataFrame(rows, columns=["digest", "shingles"] if full else ["n_shingles", "digest", "sig"])
+        finally:
+            known.clear()
+            sketched.clear()
+            hand_back()
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return rows.withColumn("_set", sets("_text")).select("id", "_set.*")
 
 
 def _hopeful(least: float):
@@ -264,8 +272,10 @@ def near_duplicates(
 def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """The pairs whose registers leave hope; a pair with any hopeful sets stays,
     where one id stands for several."""
-    left = classes.select(F.col("rep").alias("a"), F.col("sig").alias("ga"))
-    right = classes.select(F.col("rep").alias("b"), F.col("sig").alias("gb"))
+    ends = settled(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "near-ends")
+    asked = classes.join(checked(ends, WANTED_ROWS), "rep", "left_semi")
+    left = asked.select(F.col("rep").alias("a"), F.col("sig").alias("ga"))
+    right = asked.select(F.col("rep").alias("b"), F.col("sig").alias("gb"))
     return settled(
         pairs.join(right, "b").join(left, "a").filter(_hopeful(least)("ga", "gb")).select("a", "b").distinct(), "near-hopeful"
     )
@@ -293,7 +303,8 @@ def _across(placed: DataFrame, classes: DataFrame, sets: DataFrame, least: float
         F.greatest("own", "other").alias("y"),
     )
     held = F.when(F.octet_length("shingles") <= 8 * HELD, F.col("shingles")).alias("held")
-    known = classes.select("rep", "digest", "sig").join(sets.select("rep", "digest", held), ["rep", "digest"])
+    asked = classes.join(checked(settled(placed.select("rep").distinct(), "near-asked"), WANTED_ROWS), "rep", "left_semi")
+    known = asked.select("rep", "digest", "sig").join(sets.select("rep", "digest", held), ["rep", "digest"])
     signed = spread.join(known.drop("digest"), "rep")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import arrow_rows, partitions_for, settled
+from feedlake.llm.common import arrow_rows, hand_back, partitions_for, settled
 
 CAPACITY = 1024
 #: Lengths up to this share of the capacity are small and best-fit at the end.
@@ -255,9 +255,11 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Split of a text into parts whose tokens do not depend on each other.
 PARTS = r" ?\S+|\s+(?!\S)|\s+"
-#: Parts that a Python worker remembers (about 130 MB); later ones are encoded
+#: Parts that a Python worker remembers (about 90 MB); later ones are encoded
 #: whenever they occur.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
+#: Of these so many outlive their task.
+KEPT = 50_000
 
 
 def byte_vocabulary(model: dict) -> dict[bytes, int] | None:
@@ -310,6 +312,11 @@ class ByteBpe:
             fast = tiktoken.Encoding("parts", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
             self.part = lambda text: array("I", fast.encode_ordinary(text)).tobytes()
 
+    def forget(self) -> None:
+        """Drop the remembered words beyond what a stage needs to start quickly."""
+        if len(self.known) > KEPT:
+            self.known = dict(list(self.known.items())[:KEPT])
+
     def plain(self, text: str) -> bytes:
         return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -364,19 +371,29 @@ def token_pieces(
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = loaded(model)
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["_id"].tolist(), batch["_text"].tolist(), strict=True):
-                ids = encode(text) + end
-                n = len(ids) // 4
-                stop = n % capacity or min(n, capacity)
-                start = piece = 0
-                while start < n:
-                    rows.append((doc_id, piece, start, stop - start, ids[4 * start : 4 * stop]))
-                    start, stop, piece = stop, stop + capacity, piece + 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
-
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+        try:
+            for batch in batches:
+                rows, doc = [], []
+                for at, text in enumerate(batch["_text"].tolist()):
+                    ids = encode(text) + end
+                    n = len(ids) // 4
+                    stop = n % capacity or min(n, capacity)
+                    start = piece = 0
+                    while start < n:
+                        doc.append(at)
+                        rows.append((piece, start, stop - start, ids[4 * start : 4 * stop]))
+                        start, stop, piece = stop, stop + capacity, piece + 1
+                out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids"])
+                # no null among the ids, which would turn large ones into other doubles
+                ids, missing = batch["_id"].to_numpy()[doc], batch["_no_id"].to_numpy()[doc]
+                out.insert(0, "doc_id", pd.arrays.IntegerArray(ids, missing))
+                yield out
+        finally:
+            encode.forget()
+            hand_back()
+
+    doc_id = F.col(id_col).cast("long")
+    rows = docs.select(
+        F.coalesce(doc_id, F.lit(0).cast("long")).alias("_id"), doc_id.isNull().alias("_no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")
+    )
     return rows.mapInPandas(cut, PIECE_SCHEMA)

@@ -156,8 +156,8 @@ def _find(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[Tokens]:
     tokens = Tokens()
     for batch in batches:
-        for doc_id, held, text in zip(batch["id"], batch["held_out"], batch["text"], strict=True):
-            tokens.add(None if pd.isna(doc_id) else int(doc_id), held, text)
+        for doc_id, missing, held, text in zip(batch["id"], batch["no_id"], batch["held_out"], batch["text"], strict=True):
+            tokens.add(None if missing else int(doc_id), held, text)
             if tokens.full:
                 yield tokens
                 tokens.clear()
@@ -251,7 +251,9 @@ FIXED = ["bucket", "words", "sizes", "heads", "contexts", "counts"]
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     number = F.crc32(F.col(id_col).cast("string")) % FOLDS
     return docs.select(
-        F.col(id_col).cast("long").alias("id"),
+        # no null among the ids: pandas would turn large ones into other doubles
+        F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")).alias("id"),
+        F.col(id_col).cast("long").isNull().alias("no_id"),
         F.coalesce(number == HELD_OUT, F.lit(False)).alias("held_out"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import arrow_rows
+from feedlake.llm.common import arrow_rows, hand_back
 from feedlake.llm.labelled import FOLDS, is_held_out, labelled_sample, training_labels
 
 #: Training documents of each class; half teach the models, half the weights of
@@ -162,9 +162,12 @@ def toxicity_of(model: tuple[ClassModels, np.ndarray] | None, text: Column) -> C
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            found = np.array([models.evidence(x) for x in texts.tolist()]).reshape(-1, 2)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(weights[0] + (found * weights[1:]).sum(axis=1), -30, 30))))
+        try:
+            for texts in batches:
+                found = np.array([models.evidence(x) for x in texts.tolist()]).reshape(-1, 2)
+                yield pd.Series(1 / (1 + np.exp(-np.clip(weights[0] + (found * weights[1:]).sum(axis=1), -30, 30))))
+        finally:
+            hand_back()
 
     return score(F.coalesce(text, F.lit("")))
 

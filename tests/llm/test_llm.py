@@ -417,3 +417,24 @@ def test_neighbours_odd_vectors(spark):
     got = neighbours.nearest(table, table.filter("vec_id = 0")).collect()
     assert sorted((r.rank, r.vec_id) for r in got) == [(1, 1), (2, 9), (3, 6)]
     assert neighbours.nearest(table.limit(0), table).count() == 0
+
+
+# -- ids
+
+
+def test_large_ids_beside_nulls_stay_exact(spark):
+    ids = [(1 << 53) + 1, None, (1 << 53) + 3, (1 << 62) + 1, -(1 << 53) - 1]
+    docs = documents(spark, *((i, f"some words of text {n} and more") for n, i in enumerate(ids))).coalesce(1)
+    assert Counter(r.doc_id for r in near_dup.near_duplicates(docs).collect()) == Counter(ids)
+    pieces = packing.token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), END_ID)
+    assert Counter(r.doc_id for r in pieces.collect()) == Counter(ids)
+    assert Counter(r.doc_id for r in pitman_yor.text_scores(docs).collect()) == Counter(ids)
+
+
+def test_one_row_of_an_id_is_learned_from(spark):
+    from feedlake.llm.labelled import labelled_sample
+
+    docs = documents(spark, *[(1, f"text {n}") for n in range(50)], (2, "other"))
+    known = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int")
+    got = labelled_sample(docs, known, {1: 5, 0: 5}).collect()
+    assert sorted(map(tuple, got)) == [(0, "other"), (1, "text 0")]
