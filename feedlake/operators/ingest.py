@@ -9,24 +9,32 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.times import moment
 from feedlake.operators.keys import assign_ids, max_id
+from feedlake.sources.key_store import KEY, KeyStore
 
-KEY = ["feed_id", "external_id"]
 
-
-def accepted_keys(entries: DataFrame, store: DataFrame) -> DataFrame:
+def accepted_keys(entries: DataFrame, store: DataFrame | KeyStore, before_batch: int | None = None) -> DataFrame:
     """(feed, external id, seq) of the entries that are new; the first one wins.
 
     Only keys take part: copies are reduced on the map side before the
     shuffle, then keys that the store holds fall out.  The store is asked for
-    its whole history, so a copy is recognised however late it comes.
+    its whole history, so a copy is recognised however late it comes: a key
+    store through its filters, so that the work follows the batch, a plain item
+    table by joining all its keys.
     """
     first = entries.groupBy(*KEY).agg(F.min("seq").alias("seq"))
+    if isinstance(store, KeyStore):
+        return store.unknown(first, before_batch)
     return first.join(store.select(*KEY), KEY, "left_anti")
 
 
-def number_new(entries: DataFrame, store: DataFrame) -> DataFrame:
-    """``(seq, id)`` of new entries, ids continuing those of the store."""
-    return assign_ids(accepted_keys(entries, store).select("seq"), "seq", max_id(store))
+def number_new(entries: DataFrame, store: DataFrame | KeyStore, before_batch: int | None = None) -> DataFrame:
+    """``(feed_id, external_id, seq, id)`` of new entries, ids continuing those of the store."""
+    start = store.max_id(before_batch) if isinstance(store, KeyStore) else max_id(store)
+    return assign_ids(accepted_keys(entries, store, before_batch), "seq", start)
+
+
+def _numbered(entries: DataFrame, numbers: DataFrame) -> DataFrame:
+    return entries.join(numbers.select("seq", "id"), "seq")
 
 
 def new_items(
@@ -34,7 +42,7 @@ def new_items(
 ) -> DataFrame:
     """Item rows of the numbered entries; one batch shares one insertion time."""
     at = F.col("inserted_at") if inserted_at is None and "inserted_at" in entries.columns else moment(inserted_at)
-    return entries.join(numbers, "seq").select(
+    return _numbered(entries, numbers).select(
         "id", "feed_id", "external_id", "title", "url", at.alias("inserted_at")
     )
 
@@ -49,8 +57,7 @@ def new_details(
     given = F.coalesce("summary", "content", "author", F.col("published_at").cast("string"))
     texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("summary", "content", "author")]
     return (
-        entries.filter(given.isNotNull())
-        .join(numbers, "seq")
+        _numbered(entries.filter(given.isNotNull()), numbers)
         .select(
             "id",
             F.col("id").alias("feed_item_id"),
@@ -61,13 +68,13 @@ def new_details(
 
 
 def insert_items(
-    entries: DataFrame, store: DataFrame, inserted_at: Column | dt.datetime | None = None
+    entries: DataFrame, store: DataFrame | KeyStore, inserted_at: Column | dt.datetime | None = None
 ) -> DataFrame:
     return new_items(entries, number_new(entries, store), inserted_at)
 
 
 def insert_details(
-    entries: DataFrame, store: DataFrame, completed_at: Column | dt.datetime | None = None
+    entries: DataFrame, store: DataFrame | KeyStore, completed_at: Column | dt.datetime | None = None
 ) -> DataFrame:
     return new_details(entries, number_new(entries, store), completed_at)
 

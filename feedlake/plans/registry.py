@@ -281,17 +281,17 @@ def fetch_outcomes(g: Given) -> DataFrame:
 
 @query
 def ingest_dedup(g: Given) -> DataFrame:
-    return ingest.insert_items(g.entries, g.stored_items, g.now)
+    return ingest.insert_items(g.entries, g.stored_keys, g.now)
 
 
 @query
 def ingest_details(g: Given) -> DataFrame:
-    return ingest.insert_details(g.entries, g.stored_items, g.now)
+    return ingest.insert_details(g.entries, g.stored_keys, g.now)
 
 
 @query
 def ingest_summary(g: Given) -> DataFrame:
-    return ingest.ingest_summary(ingest.insert_items(g.entries, g.stored_items, g.now))
+    return ingest.ingest_summary(ingest.insert_items(g.entries, g.stored_keys, g.now))
 
 
 @query

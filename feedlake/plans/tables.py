@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from feedlake.operators import polling, titles
 from feedlake.schemas import DETAIL_COLUMNS, FEED_COLUMNS, ITEM_COLUMNS, QUEUE_COLUMNS
 from feedlake.session import configure, new_folder
+from feedlake.sources.key_store import KeyStore
 
 #: Pages per feed body, a bound on what one body holds.
 BODY_PAGES = 10
@@ -151,6 +152,14 @@ class Given:
         first = seen.groupBy("feed_id", "external_id").agg(F.min("id").alias("id"))
         return seen.join(first.select("id"), "id", "left_semi").select(*ITEM_COLUMNS)
 
+    @cached_property
+    def stored_keys(self) -> KeyStore:
+        """The keys of the stored items, as two earlier batches left them."""
+        keys = KeyStore(self.spark, self.new_folder("item-keys"))
+        for batch in (0, 1):
+            keys.append(self.stored_items.filter(F.col("id") % 2 == batch), batch)
+        return keys
+
     @cached_property
     def stored_details(self) -> DataFrame:
         ids = self.stored_items.select(F.col("id").alias("feed_item_id"))

@@ -8,12 +8,17 @@ folder per batch; the latest complete one is current.
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from feedlake import schemas
 
+if TYPE_CHECKING:
+    from feedlake.sources.key_store import KeyStore
+
 APPENDED = {"feed_items": schemas.ITEMS, "feed_item_details": schemas.DETAILS}
 SNAPSHOTS = {"feeds": schemas.FEEDS, "feed_update_queue": schemas.QUEUE}
 BATCH = "batch_id"
@@ -24,11 +29,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _found(spark: SparkSession, pattern: str) -> list:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return [f.getPath() for f in found or []]
+
+
+def folder_numbers(spark: SparkSession, pattern: str) -> list[int]:
+    """Numbers of the ``label=N`` folders that a pattern names."""
+    return [int(p.getName().split("=")[1]) for p in _found(spark, pattern)]
+
+
 def complete_batches(spark: SparkSession, folder: str, label: str) -> list[int]:
     """Numbers of the ``label=N`` folders whose write has finished."""
-    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{label}=*/_SUCCESS")
-    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
-    return [int(f.getPath().getParent().getName().split("=")[1]) for f in found or []]
+    return [int(p.getParent().getName().split("=")[1]) for p in _found(spark, f"{folder}/{label}=*/_SUCCESS")]
 
 
 class TableStore:
@@ -67,6 +86,18 @@ class TableStore:
         ordered = rows.select(*self._schema(table).fieldNames()).sortWithinPartitions("id")
         ordered.write.mode("overwrite").parquet(self._batch_path(table, batch_id))
 
+    def keys(self) -> KeyStore:
+        """The keys of all items.  A store written before it had them gets them
+        from its item table, batch by batch, once."""
+        from feedlake.sources.key_store import KeyStore
+
+        keys = KeyStore(self.spark, self.path("item_keys"))
+        if not keys.runs():
+            for batch in sorted(complete_batches(self.spark, self.path("feed_items"), BATCH)):
+                items = self.spark.read.schema(self._schema("feed_items")).parquet(self._batch_path("feed_items", batch))
+                keys.append(items, batch)
+        return keys
+
     def snapshot(self, table: str, before_batch: int | None = None) -> DataFrame:
         """The newest complete snapshot of a table, older than a batch if given."""
         found = [b for b in complete_batches(self.spark, self.path(table), BATCH) if before_batch is None or b < before_batch]
@@ -99,4 +130,4 @@ def save_bucketed(items: DataFrame, details: DataFrame, buckets: int, database:
         rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(f"{database}.{name}")
 
 
-__all__ = ["TableStore", "complete_batches", "exists", "save_bucketed"]
+__all__ = ["TableStore", "complete_batches", "delete", "exists", "folder_numbers", "save_bucketed"]

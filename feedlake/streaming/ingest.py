@@ -1,6 +1,7 @@
 """Streaming ingest: entries or raw bodies into the table store.
 
-Deduplication looks at the whole history of the store, so it has no horizon.
+Deduplication knows the whole history of the store, so it has no horizon; it
+reads only the key buckets whose filters may hold a key of the batch.
 A micro-batch writes only its own ``batch_id`` folders and reads the store as
 it was before, so running it twice gives the same tables.
 """
@@ -17,33 +18,41 @@ from feedlake.session import settled
 from feedlake.sources.feed_xml import read_entries
 from feedlake.sources.tables import TableStore
 
+#: Batches between two compactions of the key runs.
+COMPACT_EVERY = 32
+
 
 def with_seq(entries: DataFrame) -> DataFrame:
     """Arrival order inside a micro-batch: body, then position in it.
 
-    ``body_seq`` is the unique long of the body, ``pos`` the entry's place;
-    bodies hold far fewer than a million entries.
+    ``body_seq`` is the unique long of the body, ``pos`` the entry's place.  The
+    longest body of the batch sets how far apart bodies are, so no two entries
+    share a number however many a body holds.
     """
-    return entries.withColumn("seq", F.col("body_seq") * F.lit(1 << 20).cast("long") + F.col("pos")).drop(
-        "body_seq", "pos"
-    )
+    width = entries.agg(F.coalesce(F.max("pos"), F.lit(0)).cast("long") + 1).head()[0]
+    return entries.withColumn("seq", F.col("body_seq") * F.lit(width).cast("long") + F.col("pos")).drop("body_seq", "pos")
 
 
 def store_batch(entries: DataFrame, batch_id: int, store: TableStore) -> None:
     """Store what is new in ``entries`` (with ``seq``) as batch ``batch_id``.
 
     The numbered keys are written out first: item and detail rows then come
-    from the same numbers, and a lost executor does not repeat the search.
+    from the same numbers, and a lost executor does not repeat the search.  The
+    keys' own run is written last: a batch that failed before is repeated whole.
     """
     spark = store.spark
-    known = store.read("feed_items", before_batch=batch_id)
+    keys = store.keys()
     # Read three times below; parsing bodies once is enough.
     entries = entries.persist()
     try:
-        numbers = settled(ingest.number_new(entries, known), f"numbers-{batch_id}")
+        numbers = settled(ingest.number_new(entries, keys, batch_id), f"numbers-{batch_id}")
         started = spark.range(1).select(F.current_timestamp()).first()[0]
         store.append("feed_item_details", ingest.new_details(entries, numbers, started), batch_id)
         store.append("feed_items", ingest.new_items(entries, numbers, started), batch_id)
+        keys.append(numbers, batch_id)
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            # never the batch itself: it may be repeated
+            keys.compacted(batch_id - 1)
     finally:
         entries.unpersist()
 
@@ -61,8 +70,11 @@ def ingest_bodies(bodies: DataFrame, store: TableStore, checkpoint: str, availab
     """Stream of raw bodies ``(feed_id, body_seq, body)`` into the store."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        entries = with_seq(read_entries(batch, F.current_timestamp()))
-        store_batch(entries.select(*ENTRIES.fieldNames()), batch_id, store)
+        parsed = read_entries(batch, F.current_timestamp()).persist()
+        try:
+            store_batch(with_seq(parsed).select(*ENTRIES.fieldNames()), batch_id, store)
+        finally:
+            parsed.unpersist()
 
     return _start(bodies, write, checkpoint, available_now)
 
