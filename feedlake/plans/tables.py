@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from feedlake.operators import polling, titles
 from feedlake.schemas import DETAIL_COLUMNS, FEED_COLUMNS, ITEM_COLUMNS, QUEUE_COLUMNS
-from feedlake.session import configure, new_folder
+from feedlake.session import configure, new_folder, settled
 from feedlake.sources.key_store import KeyStore
 
 #: Pages per feed body, a bound on what one body holds.
@@ -156,8 +156,9 @@ class Given:
     def stored_keys(self) -> KeyStore:
         """The keys of the stored items, as two earlier batches left them."""
         keys = KeyStore(self.spark, self.new_folder("item-keys"))
+        stored = settled(self.stored_items.select("feed_id", "external_id", "id"), "stored-keys")
         for batch in (0, 1):
-            keys.append(self.stored_items.filter(F.col("id") % 2 == batch), batch)
+            keys.append(stored.filter(F.col("id") % 2 == batch), batch)
         return keys
 
     @cached_property

@@ -10,20 +10,21 @@ these are then compared exactly.
 
 The number of buckets and blocks of a run follows its size, so filters stay at
 about twelve bits a key and a false alarm at less than one in a hundred.
-``compacted`` folds runs into one.  A run is written whole, its line of the
-manifest last, so a batch that is repeated replaces its own run and a batch that
-failed is not there.
+``compacted`` folds runs into one.  A run's folder name says what is needed to ask
+it, and its filters are written last: a batch that failed before is not there, and
+one that is repeated replaces its own run.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.session import settled
-from feedlake.sources.tables import complete_batches, delete, folder_numbers
+from feedlake.sources.tables import delete, folder_names
 
 KEY = ["feed_id", "external_id"]
 #: Keys of a bucket, and of a block of 512 bits.
@@ -36,11 +37,10 @@ WORDS = 8
 PROBE_ROWS = 200_000
 
 
-LINE = "first_batch long, last_batch long, buckets int, blocks int, max_id long"
-
-
 @dataclass(frozen=True)
 class Run:
+    """What a run's folder name says of it."""
+
     first: int
     last: int
     buckets: int
@@ -49,7 +49,7 @@ class Run:
 
     @property
     def name(self) -> str:
-        return f"{self.first}-{self.last}"
+        return f"{self.first}-{self.last}-{self.buckets}-{self.blocks}-{self.max_id}"
 
 
 def place_hash() -> Column:
@@ -89,15 +89,9 @@ class KeyStore:
 
     def runs(self, before_batch: int | None = None) -> list[Run]:
         """Complete runs in order; a run that a wider one covers no longer counts.
-
-        One line each; compaction bounds their number.
-        """
-        folder = f"{self.root}/manifest"
-        ends = complete_batches(self.spark, folder, "last")
-        if not ends:
-            return []
-        lines = self.spark.read.schema(LINE).parquet(*[f"{folder}/last={n}" for n in ends])
-        found = [Run(*r) for r in lines.collect()]
+        One folder each; compaction bounds their number."""
+        names = folder_names(self.spark, f"{self.root}/filters/run=*/_SUCCESS")
+        found = [Run(*map(int, n.split("-"))) for n in names]
         found = [r for r in found if before_batch is None or r.last < before_batch]
         return sorted((r for r in found if not any(r != o and o.first <= r.first and r.last <= o.last for o in found)), key=lambda r: r.first)
 
@@ -112,26 +106,32 @@ class KeyStore:
         n, top = keys.agg(F.count(F.lit(1)), F.coalesce(F.max("id"), F.lit(0))).first()
         buckets = min(MOST_BUCKETS, 1 << max(0, (n // BUCKET_KEYS)).bit_length())
         run = Run(first, batch, buckets, max(1, -(-n // (buckets * BLOCK_KEYS))), top)
+        self._drop(r for r in self._written() if (r.first, r.last) == (run.first, run.last))
         h, b = place_hash(), F.lit(buckets)
         placed = keys.withColumn("bucket", bucket_of(h, b)).withColumn("block", block_of(h, b, F.lit(run.blocks)))
-        # many keys of one bucket may be written by several tasks
-        dealt = placed.repartition("bucket") if buckets > 1 else placed
-        dealt.sortWithinPartitions("bucket", "block").write.mode("overwrite").partitionBy("bucket").parquet(self._path("keys", run))
+        dealt = placed.repartition("bucket") if buckets > 1 else placed.coalesce(1)
+        dealt.sortWithinPartitions("bucket", "block").write.partitionBy("bucket").parquet(self._path("keys", run))
         words = [F.bit_or(bit(bit_hash(), w)).alias(f"w{w}") for w in range(WORDS)]
         filters = placed.groupBy("bucket", "block").agg(*words)
-        if buckets == 1:
-            filters = filters.coalesce(1)
-        filters.write.mode("overwrite").partitionBy("bucket").parquet(self._path("filters", run))
-        line = self.spark.createDataFrame([(run.first, run.last, run.buckets, run.blocks, run.max_id)], LINE)
-        # a folded run takes the line of its last batch over
-        line.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/last={run.last}")
+        filters = filters.repartition("bucket") if buckets > 1 else filters.coalesce(1)
+        filters.write.partitionBy("bucket").parquet(self._path("filters", run))
         return run
 
+    def _written(self) -> list[Run]:
+        """All runs, those of failed batches included."""
+        return [Run(*map(int, n.split("-"))) for n in folder_names(self.spark, f"{self.root}/keys/run=*/*")]
+
+    def _drop(self, runs: Iterable[Run]) -> None:
+        for run in set(runs):
+            # without its filters a run no longer counts
+            delete(self.spark, self._path("filters", run))
+            delete(self.spark, self._path("keys", run))
+
     def compacted(self, until_batch: int) -> Run | None:
         """Fold the runs up to a batch into one and delete the folded ones.
 
-        The folded run counts from the moment its line is written; a failure
-        before that leaves the old ones in force.
+        The folded run counts once its filters are complete; a failure before
+        that leaves the old ones in force.
         """
         old = [r for r in self.runs() if r.last <= until_batch]
         if len(old) < 2:
@@ -142,24 +142,26 @@ class KeyStore:
             rows = self.spark.read.schema(schema).parquet(self._path("keys", r))
             keys = rows if keys is None else keys.unionByName(rows)
         run = self.append(keys, old[-1].last, old[0].first)
-        for r in old:
-            if r.last != run.last:
-                delete(self.spark, f"{self.root}/manifest/last={r.last}")
-            for table in ("keys", "filters"):
-                delete(self.spark, self._path(table, r))
+        self._drop(old)
         return run
 
     # --- lookups -----------------------------------------------------------------
 
     def _read(self, table: str, pairs: list[tuple[str, int]], schema: str) -> DataFrame | None:
         """Rows of the given (run, bucket) folders, other folders not even listed."""
-        there = {(run, b) for run in {r for r, _ in pairs} for b in folder_numbers(self.spark, f"{self.root}/{table}/run={run}/bucket=*")}
+        there = {(run, int(b)) for run in {r for r, _ in pairs} for b in folder_names(self.spark, f"{self.root}/{table}/run={run}/bucket=*/*", "bucket")}
         paths = [f"{self.root}/{table}/run={run}/bucket={bucket}" for run, bucket in pairs if (run, bucket) in there]
         if not paths:
             return None
         reader = self.spark.read.schema(f"{schema}, run string, bucket int").option("basePath", f"{self.root}/{table}")
         return reader.parquet(*paths)
 
+    @staticmethod
+    def _folders(rows: DataFrame) -> tuple[list[tuple[str, int]], bool]:
+        """The (run, bucket) folders that rows ask for, and whether they are few."""
+        found = rows.groupBy("run", "bucket").count().collect()
+        return [(r["run"], r["bucket"]) for r in found], sum(r["count"] for r in found) <= PROBE_ROWS
+
     def suspects(self, keys: DataFrame, before_batch: int | None = None) -> DataFrame | None:
         """(run, bucket, feed_id, external_id) of keys that a run may hold."""
         runs = self.runs(before_batch)
@@ -170,14 +172,12 @@ class KeyStore:
         probes = probes.select(
             *KEY, "g", "r.run", bucket_of(F.col("h"), F.col("r.buckets")).alias("bucket"), block_of(F.col("h"), F.col("r.buckets"), F.col("r.blocks")).alias("block")
         )
-        probes = settled(probes, "key-probes")
         # at most the buckets of all runs, and at most the batch's keys
-        touched = [(r["run"], r["bucket"]) for r in probes.select("run", "bucket").distinct().collect()]
+        touched, few = self._folders(probes)
         words = ", ".join(f"w{w} long" for w in range(WORDS))
         filters = self._read("filters", touched, f"block int, {words}")
         if filters is None:
             return None
-        few = probes.limit(PROBE_ROWS + 1).count() <= PROBE_ROWS
         hit = F.lit(True)
         for w in range(WORDS):
             hit = hit & (F.col(f"w{w}").bitwiseAND(bit(F.col("g"), w)) != 0)
@@ -189,11 +189,10 @@ class KeyStore:
         doubtful = self.suspects(keys, before_batch)
         if doubtful is None:
             return None
-        pairs = [(r["run"], r["bucket"]) for r in doubtful.select("run", "bucket").distinct().collect()]
+        pairs, few = self._folders(doubtful)
         stored = self._read("keys", pairs, "feed_id long, external_id string, id long") if pairs else None
         if stored is None:
             return None
-        few = doubtful.limit(PROBE_ROWS + 1).count() <= PROBE_ROWS
         met = stored.select("run", "bucket", *KEY).join(F.broadcast(doubtful) if few else doubtful, ["run", "bucket", *KEY])
         return met.select(*KEY).distinct()
 

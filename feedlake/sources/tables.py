@@ -40,14 +40,15 @@ def _found(spark: SparkSession, pattern: str) -> list:
     return [f.getPath() for f in found or []]
 
 
-def folder_numbers(spark: SparkSession, pattern: str) -> list[int]:
-    """Numbers of the ``label=N`` folders that a pattern names."""
-    return [int(p.getName().split("=")[1]) for p in _found(spark, pattern)]
+def folder_names(spark: SparkSession, pattern: str, label: str = "run") -> list[str]:
+    """What follows ``label=`` in the folders of the files that a pattern names."""
+    parents = {p.getParent().getName() for p in _found(spark, pattern)}
+    return sorted(n.removeprefix(f"{label}=") for n in parents if n.startswith(f"{label}="))
 
 
 def complete_batches(spark: SparkSession, folder: str, label: str) -> list[int]:
     """Numbers of the ``label=N`` folders whose write has finished."""
-    return [int(p.getParent().getName().split("=")[1]) for p in _found(spark, f"{folder}/{label}=*/_SUCCESS")]
+    return [int(n) for n in folder_names(spark, f"{folder}/{label}=*/_SUCCESS", label)]
 
 
 class TableStore:
@@ -130,4 +131,4 @@ def save_bucketed(items: DataFrame, details: DataFrame, buckets: int, database:
         rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(f"{database}.{name}")
 
 
-__all__ = ["TableStore", "complete_batches", "delete", "exists", "folder_numbers", "save_bucketed"]
+__all__ = ["TableStore", "complete_batches", "delete", "exists", "folder_names", "save_bucketed"]

@@ -50,8 +50,8 @@ def test_unknown_keys_are_exact(spark, tmp_path, small_buckets):
         held.update(fresh)
         assert store.max_id() == batch * 1000 + len(fresh) - 1
         if batch == 3:
-            assert store.compacted(2).name == "0-2"
-            assert [r.name for r in store.runs()] == ["0-2", "3-3"]
+            store.compacted(2)
+            assert [(r.first, r.last) for r in store.runs()] == [(0, 2), (3, 3)]
         if batch == 5:
             store.append(spark.createDataFrame([], KEYS + ", id long"), 6)
     assert [r.last for r in store.runs(before_batch=4)] == [2, 3]
@@ -108,7 +108,7 @@ def test_compaction_while_streaming(spark, tmp_path, monkeypatch):
         store_batch(rows, n, store)
         store_batch(rows, n, store)
     assert [r.external_id for r in store.read("feed_items").orderBy("id").collect()] == [f"k{i}" for i in range(7)]
-    assert [r.name for r in store.keys().runs()] == ["0-2", "3-3", "4-4"]
+    assert [(r.first, r.last) for r in store.keys().runs()] == [(0, 2), (3, 3), (4, 4)]
 
 
 def test_entries_of_long_bodies_keep_their_own_numbers(spark):
