@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.links import full_host
 
-_PIECE = re.compile(r'(-?)"([^"]*)"?|(\S+)')
+#: A piece of a search: minus and quoted phrase, or a bare word.
+PIECE = r'(-?)"([^"]*)"?|(\S+)'
+_PIECE = re.compile(PIECE)
 _WORDS = re.compile(r"[^\W_]+")
 
 #: A tag, or a token as group 1.
@@ -87,6 +89,11 @@ def query_terms(query: str) -> list[list[tuple[bool, str]]]:
     return [terms for terms in alternatives if terms]
 
 
+def matches_nothing(query: str) -> bool:
+    """Does a document without any word satisfy the query?"""
+    return any(all(negated for negated, _ in terms) for terms in query_terms(query))
+
+
 def matches(doc: Column, query: str) -> Column:
     """Does one document satisfy the query?  Nothing to look for matches nothing."""
     found = F.lit(False)

@@ -11,6 +11,8 @@ from feedlake.functions import matching
 from feedlake.functions.times import effective_date, moment
 from feedlake.operators.skew import is_small, spread_small
 from feedlake.schemas import DETAIL_COLUMNS, ITEM_COLUMNS
+from feedlake.session import settled
+from feedlake.sources.search_index import DETAIL, FEED, ITEM, SearchIndex
 
 # List and replay lengths.
 TIMELINE_LIMIT = 500
@@ -88,9 +90,13 @@ def timeline(
     limit: int | None = None,
     feed_id: int | None = None,
     query: str | None = None,
+    index: SearchIndex | None = None,
 ) -> DataFrame:
     """Newest items with details, optionally of one feed and matching a search.
 
+    With an ``index`` a search reads its postings; without one, for a list that
+    is not indexed, it reads the texts themselves.
+
     Ranking needs only ids, dates and match flags.  With a small limit the
     wide text columns are fetched afterwards for the few winners, so article
     bodies are never shuffled, and of large tables only the newest part is
@@ -100,12 +106,12 @@ def timeline(
         items = items.filter(F.col("feed_id") == feed_id)
     search = matching.clean_query(query)
     if limit is None or limit > SMALL_LIMIT:
-        ranked = _matching(items, details, feeds, search) if search else _dated(items, details, feeds)
+        ranked = _matching(items, details, feeds, search, index) if search else _dated(items, details, feeds)
         ordered = with_detail(items, details).join(ranked, "id").orderBy(*newest_effective())
         return (ordered if limit is None else ordered.limit(limit)).drop("effective_at")
     small = is_small(items) and is_small(details)
     if search:
-        ranked = _matching(items, details, feeds, search)
+        ranked = _matching(items, details, feeds, search, index)
     elif small:
         ranked = _dated(items, details, feeds)
     else:
@@ -180,12 +186,33 @@ def _newest_dated(items: DataFrame, details: DataFrame, feeds: DataFrame, limit:
     return late.join(their, "id", "left").select("id", _effective().alias("effective_at"))
 
 
-def _matching(items: DataFrame, details: DataFrame, feeds: DataFrame, query: str) -> DataFrame:
+def _indexed(items: DataFrame, details: DataFrame, feeds: DataFrame, query: str, index: SearchIndex) -> DataFrame:
+    """Ids and ordering dates of the items that an index finds: ids alone are joined."""
+    found = settled(index.hits_of(query), "search-hits")
+
+    def flagged(rows: DataFrame, kind: str, key: str, flag: str) -> DataFrame:
+        hit = found.filter(F.col("kind") == kind).select(F.col("id").alias(key), F.lit(True).alias(flag))
+        return rows.join(hit, key, "left")
+
+    known = flagged(items.select("id", "feed_id", "inserted_at"), ITEM, "id", "item_match")
+    sources = flagged(feeds.select(F.col("id").alias("feed_id")), FEED, "feed_id", "feed_match")
+    published = flagged(_published(details), DETAIL, "id", "detail_match").withColumn("detailed", F.lit(True))
+    # a missing detail counts as an empty document: exclusions hold for it
+    missing = F.col("detailed").isNull() & F.lit(matching.matches_nothing(query))
+    hit = F.col("item_match") | F.col("detail_match") | F.col("feed_match") | missing
+    return known.join(sources, "feed_id").join(published, "id", "left").filter(hit).select("id", _effective().alias("effective_at"))
+
+
+def _matching(
+    items: DataFrame, details: DataFrame, feeds: DataFrame, query: str, index: SearchIndex | None = None
+) -> DataFrame:
     """Ids and ordering dates of the items that match a search.
 
     The search is evaluated separately on item, detail and feed documents,
     each beside its own scan, and only three flags travel through the joins.
     """
+    if index is not None:
+        return _indexed(items, details, feeds, query, index)
     item_doc = matching.item_document(F.col("title"), F.col("url"))
     detail_doc = matching.detail_document(F.col("summary"), F.col("content"), F.col("author"))
     texts = spread_small(items.select("id", "feed_id", "inserted_at", "title", "url"), "id")

@@ -231,18 +231,20 @@ def search_tokens(g: Given) -> DataFrame:
 
 @query
 def search_items(g: Given) -> DataFrame:
-    rows = items.timeline(g.doc_items, g.doc_details, g.doc_feeds, query=SEARCH)
+    rows = items.timeline(g.doc_items, g.doc_details, g.doc_feeds, query=SEARCH, index=g.search_index)
     return rows.select(*ITEM_COLUMNS, *DETAIL_COLUMNS)
 
 
 @query
 def search_latest(g: Given) -> DataFrame:
-    return items.timeline(g.doc_items, g.doc_details, g.doc_feeds, limit=100, query=SEARCH).select("id", "inserted_at")
+    return items.timeline(g.doc_items, g.doc_details, g.doc_feeds, limit=100, query=SEARCH, index=g.search_index).select(
+        "id", "inserted_at"
+    )
 
 
 @query
 def search_batch(g: Given) -> DataFrame:
-    return search.search_batch(g.doc_items, g.searches)
+    return search.search_batch(g.item_index, g.searches)
 
 
 # --- entries and ingest --------------------------------------------------------

@@ -15,6 +15,7 @@ from feedlake.operators import polling, titles
 from feedlake.schemas import DETAIL_COLUMNS, FEED_COLUMNS, ITEM_COLUMNS, QUEUE_COLUMNS
 from feedlake.session import configure, new_folder, settled
 from feedlake.sources.key_store import KeyStore
+from feedlake.sources.search_index import SearchIndex
 
 #: Pages per feed body, a bound on what one body holds.
 BODY_PAGES = 10
@@ -374,7 +375,28 @@ class Given:
 
     @cached_property
     def searches(self) -> DataFrame:
-        """Page titles as searches."""
-        return self.table("pages").selectExpr(
-            "page_id as query_id", "regexp_extract(html, '<title>(.*?)</title>', 1) as text"
+        """Page titles as searches: bare words, a phrase, an exclusion, alternatives."""
+        title = "filter(regexp_extract_all(regexp_extract(html, '<title>(.*?)</title>', 1), '[\\\\p{L}\\\\p{N}]+', 0), w -> lower(w) <> 'or')"
+        w = [f"coalesce(get(w, {i}), '')" for i in range(6)]
+        return self.table("pages").selectExpr("page_id as query_id", f"{title} as w").selectExpr(
+            "query_id",
+            f"""case query_id % 4
+                when 0 then array_join(w, ' ')
+                when 1 then concat('"', {w[0]}, ' ', {w[1]}, '"')
+                when 2 then concat({w[0]}, ' ', {w[1]}, ' -', {w[2]})
+                else concat({w[0]}, ' ', {w[1]}, ' ', {w[2]}, ' or "', {w[3]}, ' ', {w[4]}, '" ', {w[5]}) end as text""",
         )
+
+    @cached_property
+    def search_index(self) -> SearchIndex:
+        """Items, details and feeds in one batch."""
+        index = SearchIndex(self.spark, self.new_folder("search-index"))
+        index.add(self.doc_items, self.doc_details, self.doc_feeds)
+        return index
+
+    @cached_property
+    def item_index(self) -> SearchIndex:
+        index = SearchIndex(self.spark, self.new_folder("search-index"))
+        for batch in (0, 1):
+            index.add(self.doc_items.filter(F.col("id") % 2 == batch), None, None, batch)
+        return index
