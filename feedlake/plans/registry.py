@@ -229,6 +229,12 @@ def search_tokens(g: Given) -> DataFrame:
     return search.search_tokens(pages, pages.withColumn("feed_item_id", F.col("id")))
 
 
+@query
+def search_dictionary(g: Given) -> DataFrame:
+    """The words of a new index, built each time, and in how many documents they are."""
+    return g.new_index.dictionary().filter("token <> ''")
+
+
 @query
 def search_items(g: Given) -> DataFrame:
     rows = items.timeline(g.doc_items, g.doc_details, g.doc_feeds, query=SEARCH, index=g.search_index)

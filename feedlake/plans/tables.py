@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from feedlake.operators import polling, titles
 from feedlake.schemas import DETAIL_COLUMNS, FEED_COLUMNS, ITEM_COLUMNS, QUEUE_COLUMNS
-from feedlake.session import configure, new_folder, settled
+from feedlake.session import configure, new_folder, settled, shared_folder
 from feedlake.sources.key_store import KeyStore
 from feedlake.sources.search_index import SearchIndex
 
@@ -21,6 +21,10 @@ from feedlake.sources.search_index import SearchIndex
 BODY_PAGES = 10
 
 
+#: Search indexes of this session.
+_STORED: dict[tuple, SearchIndex] = {}
+
+
 class Given:
     """One scale factor's tables, read once per instance."""
 
@@ -387,16 +391,37 @@ class Given:
                 else concat({w[0]}, ' ', {w[1]}, ' ', {w[2]}, ' or "', {w[3]}, ' ', {w[4]}, '" ', {w[5]}) end as text""",
         )
 
-    @cached_property
+    def _stored_index(self, name: str, build) -> SearchIndex:
+        """An index as a user has it: built once per session and state of the
+        documents, then only read."""
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/documents.parquet")
+        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        summary = files.getContentSummary(root)
+        state = f"{files.getFileStatus(root).getModificationTime()}-{summary.getLength()}-{summary.getFileCount()}"
+        key = (self.spark.sparkContext.applicationId, shared_folder(self.spark), self.folder, state, name)
+        if key not in _STORED:
+            index = SearchIndex(self.spark, self.new_folder("search-index"))
+            build(index)
+            _STORED[key] = index
+        return _STORED[key]
+
+    @property
     def search_index(self) -> SearchIndex:
         """Items, details and feeds in one batch."""
-        index = SearchIndex(self.spark, self.new_folder("search-index"))
-        index.add(self.doc_items, self.doc_details, self.doc_feeds)
-        return index
+        return self._stored_index("all", lambda index: index.add(self.doc_items, self.doc_details, self.doc_feeds))
 
-    @cached_property
+    @property
     def item_index(self) -> SearchIndex:
+        """Items in two batches, as they came."""
+
+        def build(index: SearchIndex) -> None:
+            for batch in (0, 1):
+                index.add(self.doc_items.filter(F.col("id") % 2 == batch), None, None, batch)
+
+        return self._stored_index("items", build)
+
+    @property
+    def new_index(self) -> SearchIndex:
         index = SearchIndex(self.spark, self.new_folder("search-index"))
-        for batch in (0, 1):
-            index.add(self.doc_items.filter(F.col("id") % 2 == batch), None, None, batch)
+        index.add(self.doc_items, self.doc_details, None)
         return index

@@ -1,9 +1,10 @@
 """A stored positional index: searches read postings, never texts.
 
 Documents (items, details, feeds) are cut into blocks of consecutive ids.  A
-posting is one row per (kind, token, block) with the sorted codes of all its
-occurrences, a code being the document's place in the block times 2^32 plus the
-position.  Codes grow slowly, so the files store them as deltas.  Words of a
+posting is one row per (kind, token, block) with the places of its documents in
+the block, and the sorted codes of all its occurrences, a code being the place
+times 2^32 plus the position.  Codes grow slowly, so the files store them as
+deltas; they are read only for words of phrases.  Words of a
 phrase are codes that follow each other, so phrases, ``or`` and minus are
 intersections, unions and differences of sorted lists, block by block.
 
@@ -35,7 +36,7 @@ _BREAK = "\n"
 
 ITEM, DETAIL, FEED = "item", "detail", "feed"
 
-POSTING = "kind string, token string, block long, codes array<long>, n_docs long"
+POSTING = "kind string, token string, block long, codes array<long>, places array<int>"
 
 
 def _sequence(parts: list[Column], url: Column | None) -> Column:
@@ -82,18 +83,20 @@ def alternatives(text: Column) -> Column:
 
 
 #: Documents of a block, as places, that satisfy one alternative: ``found`` maps
-#: its tokens to their codes, ``present`` and ``absent`` are its terms' words.
+#: its tokens to their places, ``spots`` those of its phrases to their codes, and
+#: ``present`` and ``absent`` are its terms' words.
 _SATISFYING = """
     aggregate(absent,
         aggregate(slice(present, 2, size(present)), {first}, (docs, words) -> array_intersect(docs, {own})),
         (docs, words) -> array_except(docs, {own}))
 """
-_CODES = """aggregate(slice({words}, 2, size({words})),
-    named_struct('at', 0L, 'codes', coalesce(element_at(found, {words}[0]), array())),
-    (seen, word) -> named_struct('at', seen.at + 1L, 'codes', array_intersect(seen.codes,
-        transform(coalesce(element_at(found, word), array()), c -> c - (seen.at + 1L)))),
-    seen -> array_distinct(transform(seen.codes, c -> shiftright(c, 32))))"""
-SATISFYING = _SATISFYING.format(first=_CODES.format(words="present[0]"), own=_CODES.format(words="words"))
+_PLACES = """if(size({words}) = 1, coalesce(element_at(found, {words}[0]), array()),
+    aggregate(slice({words}, 2, size({words})),
+        named_struct('at', 0L, 'codes', coalesce(element_at(spots, {words}[0]), array())),
+        (seen, word) -> named_struct('at', seen.at + 1L, 'codes', array_intersect(seen.codes,
+            transform(coalesce(element_at(spots, word), array()), c -> c - (seen.at + 1L)))),
+        seen -> array_distinct(transform(seen.codes, c -> cast(shiftright(c, 32) as int)))))"""
+SATISFYING = _SATISFYING.format(first=_PLACES.format(words="present[0]"), own=_PLACES.format(words="words"))
 
 
 class SearchIndex:
@@ -122,17 +125,17 @@ class SearchIndex:
             rows = rows.unionByName(part)
         # lists of a block combine on the map side, where its texts lie
         lists = rows.groupBy("kind", "token", "block").agg(F.sort_array(F.collect_list("code")).alias("codes"))
-        documents = F.size(F.array_distinct(F.transform("codes", lambda c: F.shiftright(c, 32)))).cast("long")
-        ordered = lists.withColumn("n_docs", documents).sortWithinPartitions("kind", "token", "block")
+        places = F.array_distinct(F.transform("codes", lambda c: F.shiftright(c, 32).cast("int")))
+        ordered = lists.withColumn("places", places).sortWithinPartitions("kind", "token", "block")
         path = f"{self.root}/postings/batch_id={batch}"
         # version 2 pages: longs as deltas, if no dictionary takes their place
         writer = ordered.write.mode("overwrite").option("parquet.writer.version", "PARQUET_2_0")
         writer.option("parquet.enable.dictionary#codes.list.element", "false").parquet(path)
-        counts = self.spark.read.schema(POSTING).parquet(path).groupBy("kind", "token").agg(F.sum("n_docs").alias("n_docs"))
+        counts = self.spark.read.schema(POSTING).parquet(path).groupBy("kind", "token").agg(F.sum(F.size("places")).alias("n_docs"))
         counts.sortWithinPartitions("token").write.mode("overwrite").parquet(f"{self.root}/dictionary/batch_id={batch}")
 
     def postings(self) -> DataFrame:
-        return self.spark.read.schema(POSTING).parquet(f"{self.root}/postings").select("kind", "token", "block", "codes")
+        return self.spark.read.schema(POSTING).parquet(f"{self.root}/postings").select(*POSTING.replace(",", "").split()[::2])
 
     def dictionary(self) -> DataFrame:
         """(kind, token, n_docs) of each batch."""
@@ -175,13 +178,26 @@ class SearchIndex:
         # a word that a kind does not know leaves the alternative without hits there
         lead = lead.filter(F.col("met") == F.col("n")).select("query_id", "alt", "kind", F.col("rarest.token").alias("token"))
         postings = self.postings().filter(of_kind & pushed)
+        if small:
+            # other words' lists need not be shuffled
+            postings = postings.join(F.broadcast(terms), "token", "left_semi")
         blocks = lead.join(postings.select("kind", "token", "block"), ["kind", "token"]).select("query_id", "alt", "kind", "block").distinct()
-
-        wanted = asked.select("query_id", "alt", F.explode(tokens).alias("token"))
-        lists = blocks.join(wanted, ["query_id", "alt"]).join(postings, ["kind", "token", "block"])
-        # a block's postings may come from several batches
-        each = lists.groupBy("query_id", "alt", "kind", "block", "token").agg(F.flatten(F.collect_list("codes")).alias("codes"))
-        found = each.groupBy("query_id", "alt", "kind", "block").agg(F.map_from_entries(F.collect_list(F.struct("token", "codes"))).alias("found"))
+        key = ["query_id", "alt", "kind", "block"]
+
+        def lists(wanted: Column, column: str, name: str) -> DataFrame:
+            """Of each block the map of the wanted words to their lists."""
+            words = asked.select("query_id", "alt", F.explode(wanted).alias("token"))
+            met = blocks.join(words, ["query_id", "alt"]).join(postings.select("kind", "token", "block", column), ["kind", "token", "block"])
+            # a block's postings may come from several batches
+            each = met.groupBy(*key, "token").agg(F.flatten(F.collect_list(column)).alias("list"))
+            return each.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("token", "list"))).alias(name))
+
+        def in_phrases(terms: str) -> Column:
+            return F.flatten(F.filter(terms, lambda words: F.size(words) > 1))
+
+        phrases = F.array_distinct(F.concat(in_phrases("present"), in_phrases("absent")))
+        found = lists(tokens, "places", "found").join(lists(phrases, "codes", "spots"), key, "left")
+        found = found.withColumn("spots", F.coalesce("spots", F.expr("cast(map() as map<string, array<bigint>>)")))
         satisfied = found.join(asked, ["query_id", "alt"]).select("query_id", "kind", "block", F.explode(F.expr(SATISFYING)).alias("place"))
         return satisfied.select("query_id", "kind", (F.col("block") + F.col("place")).alias("id")).distinct()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import small
 from feedlake.operators import metrics, replay, search
+from feedlake.sources.search_index import SearchIndex
 
 
 def test_cursors(spark):
@@ -68,14 +69,16 @@ def test_session(spark):
     assert json.loads(rows[0].data) == {"replayed": 0, "limited": False, "last_event_id": 6}
 
 
-def test_search_batch_against_plain_python(spark):
+def test_search_batch_against_plain_python(spark, tmp_path):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(12)]
     titles = [" ".join(rng.choices(vocabulary, k=6)) + " common" for _ in range(80)]
     items = small.items(spark, *[(i, 1, t, "00:00:00") for i, t in enumerate(titles)])
     texts = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 3))) for _ in range(20)] + ["common", "w1 absent", "", "f.example"]
     queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
-    got = sorted((r.query_id, r.item_id) for r in search.search_batch(items, queries).collect())
+    index = SearchIndex(spark, str(tmp_path))
+    index.add(items, None, None)
+    got = sorted((r.query_id, r.item_id) for r in search.search_batch(index, queries).collect())
     want = [
         (q, i)
         for q, text in enumerate(texts)

@@ -88,7 +88,7 @@ def test_bodies(spark, folders):
     drain(ingest_bodies(stream, store, folders["check"], available_now=True))
     rows = store.read("feed_items").orderBy("id").collect()
     assert [(r.id, r.feed_id, r.title) for r in rows] == [
-        (1, 1, "First Post"), (2, 1, "(no title)"), (3, 1, "(no title)"), (4, 2, "One"), (5, 2, "Two"),
+        (1, 1, "Night trains"), (2, 1, "(no title)"), (3, 1, "(no title)"), (4, 2, "One"), (5, 2, "Two"),
     ]
 
 
