@@ -74,7 +74,8 @@ def _scan(centroids: list[list[int]], drift: list[float], dims: int):
         gap[some] = (lower - upper)[some] - SAFETY * (lower + upper)[some]
         return pd.DataFrame({"cluster": nearest, "key": gap + np.array(drift)[nearest]})
 
-    return scan
+    # else the optimizer may call it once for each field
+    return scan.asNondeterministic()
 
 
 def _own_distance(centroids: list[list[int]], dims: int):

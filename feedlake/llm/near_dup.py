@@ -38,8 +38,8 @@ BUNDLE = 8192
 #: Sets of up to so many shingles (16 KB) travel with their sketches and are
 #: compared in full beside them; a pair with a larger one is joined to its sets.
 HELD = 2048
-#: Words whose hashes a task remembers (about 60 MB).
-KNOWN_WORDS = 400_000
+#: Words whose hashes a task remembers (about 30 MB).
+KNOWN_WORDS = 200_000
 #: Sketches of latest sets that a worker remembers for their copies (10 MB).
 REMEMBERED = 20_000
 
@@ -149,7 +149,8 @@ def shingled(docs: DataFrame, size: int, id_col: str, text_col: str, full: bool
             hand_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return rows.withColumn("_set", sets("_text")).select("id", "_set.*")
+    # else the optimizer calls it once for each field
+    return rows.withColumn("_set", sets.asNondeterministic()("_text")).select("id", "_set.*")
 
 
 def _hopeful(least: float):

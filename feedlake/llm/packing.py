@@ -255,9 +255,9 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Split of a text into parts whose tokens do not depend on each other.
 PARTS = r" ?\S+|\s+(?!\S)|\s+"
-#: Parts that a Python worker remembers (about 90 MB); later ones are encoded
+#: Parts that a Python worker remembers (about 55 MB); later ones are encoded
 #: whenever they occur.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Of these so many outlive their task.
 KEPT = 50_000
 

@@ -141,7 +141,7 @@ def coded(
             error = error + np.array([int(v) for v in distance], dtype=object)
         return pd.DataFrame({"code": code, "error": pd.array(fits_long(error), dtype="Int64")})
 
-    rows = kept.withColumn("r", encode("x")).select(F.col("id").alias("vec_id"), "label", "r.code", "r.error")
+    rows = kept.withColumn("r", encode.asNondeterministic()("x")).select(F.col("id").alias("vec_id"), "label", "r.code", "r.error")
     return Coded(settled(rows, "codes"), books)
 
 
