@@ -64,12 +64,16 @@ def cadence(items: DataFrame, details: DataFrame, feeds: DataFrame) -> DataFrame
         feeds.select(F.col("id").alias("feed_id"))
         .join(low_median(inserted, "median_inserted", "inserted_samples"), "feed_id", "left")
         .join(low_median(published, "median_published", "published_samples"), "feed_id", "left")
-        .fillna(0, ["inserted_samples", "published_samples"])
     )
+    return with_choice(stats)
+
+
+def with_choice(medians: DataFrame) -> DataFrame:
+    """Medians and sample counts of both kinds, and the cadence they give."""
     chosen = scores.cadence_choice(
         F.col("median_published"), F.col("published_samples"), F.col("median_inserted"), F.col("inserted_samples")
     )
-    return stats.withColumn("cadence_seconds", chosen)
+    return medians.fillna(0, ["inserted_samples", "published_samples"]).withColumn("cadence_seconds", chosen)
 
 
 def poll_intervals(cadences: DataFrame) -> DataFrame:

@@ -9,23 +9,17 @@ from pyspark.sql import functions as F
 
 from feedlake.functions import matching
 from feedlake.functions.times import effective_date, moment
-from feedlake.operators.skew import is_small, spread_small
+from feedlake.operators.skew import spread_small
 from feedlake.schemas import DETAIL_COLUMNS, ITEM_COLUMNS
 from feedlake.session import settled
 from feedlake.sources.search_index import DETAIL, FEED, ITEM, SearchIndex
+from feedlake.sources.timeline_blocks import TimelineBlocks
 
 # List and replay lengths.
 TIMELINE_LIMIT = 500
 REPLAY_LIMIT = 500
 CATCH_UP_LIMIT = 4096
 
-#: Up to this many rows a top-k is small enough to be sent to every executor.
-SMALL_LIMIT = 10_000
-
-#: How many times the wanted rows are looked at to find where to stop.
-LOOK_BACK = 4
-
-
 
 def newest_inserted() -> list[Column]:
     return [F.desc("inserted_at"), F.desc("id")]
@@ -91,50 +85,41 @@ def timeline(
     feed_id: int | None = None,
     query: str | None = None,
     index: SearchIndex | None = None,
+    blocks: TimelineBlocks | None = None,
 ) -> DataFrame:
     """Newest items with details, optionally of one feed and matching a search.
 
     With an ``index`` a search reads its postings; without one, for a list that
-    is not indexed, it reads the texts themselves.
+    is not indexed, it reads the texts themselves.  With ``blocks`` a limited
+    list reads only blocks of ids whose newest date is good enough.
 
-    Ranking needs only ids, dates and match flags.  With a small limit the
-    wide text columns are fetched afterwards for the few winners, so article
-    bodies are never shuffled, and of large tables only the newest part is
-    read unless there is a search.  Items without a feed are left out.
+    Ranking needs only ids, dates and match flags; the wide text columns are
+    fetched afterwards by the ids of the winners, so article bodies beyond them
+    are never shuffled.  Items without a feed are left out.
     """
+    if limit is not None and limit <= 0:
+        limit, blocks = 0, None
     if feed_id is not None:
         items = items.filter(F.col("feed_id") == feed_id)
     search = matching.clean_query(query)
-    if limit is None or limit > SMALL_LIMIT:
-        ranked = _matching(items, details, feeds, search, index) if search else _dated(items, details, feeds)
-        ordered = with_detail(items, details).join(ranked, "id").orderBy(*newest_effective())
-        return (ordered if limit is None else ordered.limit(limit)).drop("effective_at")
-    small = is_small(items) and is_small(details)
-    if search:
-        ranked = _matching(items, details, feeds, search, index)
-    elif small:
-        ranked = _dated(items, details, feeds)
-    else:
-        ranked = _newest_dated(items, details, feeds, limit)
-    # At most ``limit`` rows; ids are unique, so both fetches stay as small.
-    # Each keeps the winners' date: with equal columns one broadcast serves both.
-    winners = F.broadcast(ranked.orderBy(*newest_effective()).limit(limit))
-    if not small:
-        # Winners are mostly the latest ids: the bound skips the files before them.
-        oldest = winners.agg(F.min("id")).scalar()
-        items = items.filter(F.col("id") >= oldest)
-        details = details.filter(F.col("feed_item_id") >= oldest)
-    won_items = items.select(*ITEM_COLUMNS).join(winners, "id")
-    won_details = (
-        details.select(F.col("feed_item_id").alias("id"), *DETAIL_COLUMNS)
-        .join(winners, "id")
-        .withColumnRenamed("effective_at", "same_date")
-    )
-    return (
-        won_items.join(F.broadcast(won_details), "id", "left")
-        .orderBy(F.coalesce("same_date", "effective_at").desc(), F.desc("id"))
-        .select(*ITEM_COLUMNS, *DETAIL_COLUMNS)
-    )
+    hits = settled(index.hits_of(search), "search-hits") if search and index is not None else None
+
+    def rank(rows: DataFrame, bodies: DataFrame) -> DataFrame:
+        if hits is not None:
+            return _indexed(rows, bodies, feeds, search, hits)
+        return _matching(rows, bodies, feeds, search) if search else _dated(rows, bodies, feeds)
+
+    if blocks is not None and limit is not None:
+        items, details = blocks.newest(items, details, rank, limit)
+    winners = rank(items, details)
+    bodies = details.select(F.col("feed_item_id").alias("id"), *DETAIL_COLUMNS)
+    if limit is not None:
+        # ids and dates alone; whether they are broadcast is left to the optimizer.
+        # With equal columns in both joins they are ranked once.
+        winners = winners.orderBy(*newest_effective()).limit(limit)
+        bodies = bodies.join(winners, "id").drop("effective_at")
+    won = items.select(*ITEM_COLUMNS).join(winners, "id").join(bodies, "id", "left")
+    return won.orderBy(*newest_effective()).select(*ITEM_COLUMNS, *DETAIL_COLUMNS)
 
 
 def _effective() -> Column:
@@ -163,32 +148,8 @@ def _dated(items: DataFrame, details: DataFrame, feeds: DataFrame) -> DataFrame:
     )
 
 
-def _newest_dated(items: DataFrame, details: DataFrame, feeds: DataFrame, limit: int) -> DataFrame:
-    """Like :func:`_dated`, reduced to what can be among the newest ``limit``.
-
-    An ordering date is never later than the insertion.  So once ``limit``
-    items with dates from some moment on are known, items inserted before that
-    moment are out, and neither they nor their details need to be read.  The
-    moment comes from the latest insertions; too few of them exclude nothing.
-    """
-    known, published = _known(items, feeds), _published(details)
-    # A few times ``limit`` small rows, as old articles may have come in last.
-    latest = known.orderBy(*newest_inserted()).limit(LOOK_BACK * limit)
-    near = published.filter(F.col("id") >= latest.agg(F.min("id")).scalar())
-    found = near.join(F.broadcast(latest.select("id")), "id", "left_semi")
-    dates = latest.join(F.broadcast(found), "id", "left").select("id", _effective().alias("effective_at"))
-    best = dates.orderBy(*newest_effective()).limit(limit)
-    kind = items.schema["inserted_at"].dataType
-    enough = F.when(F.count(F.lit(1)) >= limit, F.min("effective_at"))
-    since = best.agg(F.coalesce(enough, F.lit("0001-01-01").cast(kind))).scalar()
-    late = known.filter(F.col("inserted_at") >= since)
-    their = published.filter(F.col("id") >= late.agg(F.min("id")).scalar())
-    return late.join(their, "id", "left").select("id", _effective().alias("effective_at"))
-
-
-def _indexed(items: DataFrame, details: DataFrame, feeds: DataFrame, query: str, index: SearchIndex) -> DataFrame:
-    """Ids and ordering dates of the items that an index finds: ids alone are joined."""
-    found = settled(index.hits_of(query), "search-hits")
+def _indexed(items: DataFrame, details: DataFrame, feeds: DataFrame, query: str, found: DataFrame) -> DataFrame:
+    """Ids and ordering dates of the items among an index's hits: ids alone are joined."""
 
     def flagged(rows: DataFrame, kind: str, key: str, flag: str) -> DataFrame:
         hit = found.filter(F.col("kind") == kind).select(F.col("id").alias(key), F.lit(True).alias(flag))
@@ -203,16 +164,12 @@ def _indexed(items: DataFrame, details: DataFrame, feeds: DataFrame, query: str,
     return known.join(sources, "feed_id").join(published, "id", "left").filter(hit).select("id", _effective().alias("effective_at"))
 
 
-def _matching(
-    items: DataFrame, details: DataFrame, feeds: DataFrame, query: str, index: SearchIndex | None = None
-) -> DataFrame:
+def _matching(items: DataFrame, details: DataFrame, feeds: DataFrame, query: str) -> DataFrame:
     """Ids and ordering dates of the items that match a search.
 
     The search is evaluated separately on item, detail and feed documents,
     each beside its own scan, and only three flags travel through the joins.
     """
-    if index is not None:
-        return _indexed(items, details, feeds, query, index)
     item_doc = matching.item_document(F.col("title"), F.col("url"))
     detail_doc = matching.detail_document(F.col("summary"), F.col("content"), F.col("author"))
     texts = spread_small(items.select("id", "feed_id", "inserted_at", "title", "url"), "id")

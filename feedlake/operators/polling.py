@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +12,14 @@ from feedlake.functions import scores
 from feedlake.functions.times import add_seconds
 from feedlake.operators import ingest
 from feedlake.operators.cadence import cadence
-from feedlake.operators.items import SMALL_LIMIT
 from feedlake.operators.skew import spread_join
-from feedlake.schemas import DEFAULT_POLL_INTERVAL_SECONDS, FEED_COLUMNS, QUEUE_COLUMNS
+from feedlake.schemas import DEFAULT_POLL_INTERVAL_SECONDS, FEED_COLUMNS, ITEM_COLUMNS, QUEUE_COLUMNS
 from feedlake.session import settled
+from feedlake.sources.cadence_state import CadenceState
+from feedlake.sources.key_store import KeyStore
+
+if TYPE_CHECKING:
+    from feedlake.sources.tables import TableStore
 
 # Batch size and length of a lease.
 DEFAULT_LEASE_BATCH = 25
@@ -108,7 +113,8 @@ def due_feeds(
     if not 1 <= lease_seconds <= MAX_LEASE_SECONDS:
         raise ValueError(f"a lease lasts 1 to {MAX_LEASE_SECONDS} seconds, not {lease_seconds}")
     picked = due_keys(queue, feeds, now, limit)
-    if limit is not None and limit <= SMALL_LIMIT:
+    if limit is not None:
+        # at most MAX_LEASE_BATCH rows
         picked = F.broadcast(picked)
     meta = feeds.withColumnRenamed("id", "feed_id").drop("is_enabled")
     leased = queue.select("feed_id", (F.col("attempts") + 1).alias("attempts")).join(picked, "feed_id")
@@ -276,22 +282,34 @@ def complete_batch(
     details: DataFrame,
     queue: DataFrame,
     now: Column,
+    keys: KeyStore | None = None,
+    state: CadenceState | None = None,
+    batch_id: int | None = None,
 ) -> Completion:
-    """Validate leases, store new entries, refresh cadence, reschedule.
+    """Validate leases, number new entries, refresh cadence, reschedule.
 
     ``entries`` carry ``outcome_seq``, the outcome they came with; those of
     rejected outcomes are dropped.  The cadence sees the rows just added.
     What everything else builds on, the accepted outcomes and the numbers of
     the new entries, is settled first.
+
+    With ``keys`` and ``state`` (as they were before ``batch_id``) stored items
+    and details are not read: known entries come from the keys' filters, the
+    cadence of the polled feeds from their days.
     """
     accepted = settled(accepted_outcomes(outcomes, queue, now), "accepted")
     bodies = accepted.filter(F.col("outcome") == FETCHED).select("feed_id", F.col("seq").alias("outcome_seq"))
     body_entries = entries.join(bodies, ["feed_id", "outcome_seq"], "left_semi")
-    numbers = settled(ingest.number_new(body_entries, items), "numbers")
+    numbers = settled(ingest.number_new(body_entries, items if keys is None else keys, batch_id), "numbers")
     fresh_items = ingest.new_items(body_entries, numbers, now)
     fresh_details = ingest.new_details(body_entries, numbers, now)
     polled = accepted.filter(F.col("outcome") == FETCHED).select(F.col("feed_id").alias("id"))
-    cadences = cadence(items.unionByName(fresh_items), details.unionByName(fresh_details), polled)
+    if state is None:
+        # gaps of unpolled feeds are asked for by nobody
+        theirs = items.join(polled.select(F.col("id").alias("feed_id")), "feed_id", "left_semi").select(*ITEM_COLUMNS)
+        cadences = cadence(theirs.unionByName(fresh_items), details.unionByName(fresh_details), polled)
+    else:
+        cadences = state.cadence(polled, fresh_items, fresh_details, batch_id)
     feeds_after = apply_to_feeds(feeds, accepted, ingest.ingest_summary(fresh_items), cadences)
     return Completion(
         items=fresh_items,
@@ -303,6 +321,44 @@ def complete_batch(
     )
 
 
+def store_completion(done: Completion, store: TableStore, batch_id: int) -> None:
+    """Write what a completed batch changes to all four tables.
+
+    Every table has a folder of this batch, which is replaced if the batch is
+    repeated; inputs must be read as they were before it (``before_batch``).  The
+    queue comes last: until it is there, the leases of the batch still run.
+    """
+    items = settled(done.items, "completed-items")
+    store.append("feed_item_details", done.details, batch_id)
+    store.append("feed_items", items, batch_id)
+    store.keys(batch_id).append(items, batch_id)
+    store.write_snapshot("feeds", done.feeds, batch_id)
+    store.write_snapshot("feed_update_queue", done.queue, batch_id)
+
+
+def complete_stored_batch(outcomes: DataFrame, entries: DataFrame, store: TableStore, now: Column, batch_id: int) -> Completion:
+    """One poll batch from and to a table store; repeating it replaces its rows.
+
+    Reads keys and cadence of what the batch names, the feeds and the queue, but
+    no stored item.
+    """
+    none = {name: store.empty(name) for name in ("feed_items", "feed_item_details")}
+    done = complete_batch(
+        outcomes,
+        entries,
+        store.snapshot("feeds", batch_id),
+        none["feed_items"],
+        none["feed_item_details"],
+        store.snapshot("feed_update_queue", batch_id),
+        now,
+        store.keys(batch_id),
+        store.cadence_state(batch_id),
+        batch_id,
+    )
+    store_completion(done, store, batch_id)
+    return done
+
+
 # --- poll state over many outcomes -----------------------------------------
 
 

@@ -23,7 +23,7 @@ from feedlake.operators import (
     topics,
 )
 from feedlake.plans.tables import Given
-from feedlake.schemas import DETAIL_COLUMNS, ITEM_COLUMNS
+from feedlake.schemas import DETAIL_COLUMNS, ENTRIES, ITEM_COLUMNS
 from feedlake.sources import feed_xml, logs
 from feedlake.streaming.tail import live_tail
 
@@ -133,23 +133,23 @@ def latest_items(g: Given) -> DataFrame:
 
 @query
 def latest_by_feed(g: Given) -> DataFrame:
-    return items.timeline(g.items, g.details, g.feeds, limit=50, feed_id=SOME_FEED)
+    return items.timeline(g.items, g.details, g.feeds, limit=50, feed_id=SOME_FEED, blocks=g.timeline_blocks)
 
 
 @query
 def timeline(g: Given) -> DataFrame:
-    return items.timeline(g.items, g.details, g.feeds, limit=items.TIMELINE_LIMIT)
+    return items.timeline(g.items, g.details, g.feeds, limit=items.TIMELINE_LIMIT, blocks=g.timeline_blocks)
 
 
 @query
 def timeline_named(g: Given) -> DataFrame:
-    rows = items.timeline(g.items, g.details, g.feeds, limit=items.TIMELINE_LIMIT)
+    rows = items.timeline(g.items, g.details, g.feeds, limit=items.TIMELINE_LIMIT, blocks=g.timeline_blocks)
     return cards.with_feed_labels(rows, g.feeds)
 
 
 @query
 def timeline_upsert(g: Given) -> DataFrame:
-    shown = items.timeline(g.items, g.details, g.feeds, limit=items.TIMELINE_LIMIT)
+    shown = items.timeline(g.items, g.details, g.feeds, limit=items.TIMELINE_LIMIT, blocks=g.timeline_blocks)
     redelivered = g.event_items(g.events.filter("event_type = 'purchase'")).withColumn("title", F.upper("title"))
     return items.upsert_newest(shown, redelivered)
 
@@ -243,7 +243,7 @@ def search_items(g: Given) -> DataFrame:
 
 @query
 def search_latest(g: Given) -> DataFrame:
-    return items.timeline(g.doc_items, g.doc_details, g.doc_feeds, limit=100, query=SEARCH, index=g.search_index).select(
+    return items.timeline(g.doc_items, g.doc_details, g.doc_feeds, limit=100, query=SEARCH, index=g.search_index, blocks=g.doc_blocks).select(
         "id", "inserted_at"
     )
 
@@ -375,7 +375,8 @@ def _cadence(g: Given) -> DataFrame:
 
 @query
 def cadence_(g: Given) -> DataFrame:
-    return rounded(_cadence(g), 3, "median_inserted", "median_published")
+    """From the days that two batches left; ``poll_intervals`` reads all items."""
+    return rounded(g.cadence_state.cadence(g.feeds), 3, "median_inserted", "median_published")
 
 
 QUERIES["cadence"] = QUERIES.pop("cadence_")
@@ -454,7 +455,7 @@ def outcome_counts(g: Given) -> DataFrame:
 
 def _completion(g: Given) -> polling.Completion:
     return polling.complete_batch(
-        g.outcomes, g.entries, g.feeds, g.stored_items, g.stored_details, g.queue, g.now
+        g.outcomes, g.entries, g.feeds, g.stored_items, g.stored_details, g.queue, g.now, g.stored_keys, g.stored_cadence
     )
 
 
@@ -468,6 +469,15 @@ def next_due(g: Given) -> DataFrame:
     return _completion(g).queue.select("feed_id", "due_at", "lease_token", "attempts")
 
 
+@query
+def apply_outcomes_stored(g: Given) -> DataFrame:
+    """The feeds after a batch that was read from and written to a table store."""
+    store = g.filled_store()
+    polling.complete_stored_batch(g.outcomes, g.entries.select("outcome_seq", *ENTRIES.fieldNames()), store, g.now, 2)
+    after = store.snapshot("feeds")
+    return after.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c.endswith("_at") else c for c in after.columns])
+
+
 @query
 def poll_state(g: Given) -> DataFrame:
     start = g.feeds.select(

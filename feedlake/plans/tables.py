@@ -6,7 +6,9 @@ states the same shapes in SQL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,15 +16,18 @@ from pyspark.sql import functions as F
 from feedlake.operators import polling, titles
 from feedlake.schemas import DETAIL_COLUMNS, FEED_COLUMNS, ITEM_COLUMNS, QUEUE_COLUMNS
 from feedlake.session import configure, new_folder, settled, shared_folder
+from feedlake.sources.cadence_state import CadenceState
 from feedlake.sources.key_store import KeyStore
 from feedlake.sources.search_index import SearchIndex
+from feedlake.sources.tables import TableStore
+from feedlake.sources.timeline_blocks import TimelineBlocks
 
 #: Pages per feed body, a bound on what one body holds.
 BODY_PAGES = 10
 
 
-#: Search indexes of this session.
-_STORED: dict[tuple, SearchIndex] = {}
+#: Search indexes, cadence states and timeline blocks of this session.
+_STORED: dict[tuple, Any] = {}
 
 
 class Given:
@@ -391,24 +396,69 @@ class Given:
                 else concat({w[0]}, ' ', {w[1]}, ' ', {w[2]}, ' or "', {w[3]}, ' ', {w[4]}, '" ', {w[5]}) end as text""",
         )
 
-    def _stored_index(self, name: str, build) -> SearchIndex:
-        """An index as a user has it: built once per session and state of the
-        documents, then only read."""
-        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/documents.parquet")
+    def _stored(self, kind: Callable, source: str, name: str, build: Callable[[Any], None]) -> Any:
+        """A ``kind`` of store as a user has it: built once per session and state of
+        the table ``source``, then only read."""
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{source}.parquet")
         files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         summary = files.getContentSummary(root)
         state = f"{files.getFileStatus(root).getModificationTime()}-{summary.getLength()}-{summary.getFileCount()}"
         key = (self.spark.sparkContext.applicationId, shared_folder(self.spark), self.folder, state, name)
         if key not in _STORED:
-            index = SearchIndex(self.spark, self.new_folder("search-index"))
-            build(index)
-            _STORED[key] = index
+            store = kind(self.spark, self.new_folder(name))
+            build(store)
+            _STORED[key] = store
         return _STORED[key]
 
+    @property
+    def cadence_state(self) -> CadenceState:
+        """Cadence of all items in two batches, as they came."""
+
+        def build(state: CadenceState) -> None:
+            for batch in (0, 1):
+                state.add(self.items.filter(F.col("id") % 2 == batch), self.details, batch)
+
+        return self._stored(CadenceState, "events", "cadence-all", build)
+
+    @property
+    def stored_cadence(self) -> CadenceState:
+        """Cadence of what earlier polls stored."""
+        return self._stored(CadenceState, "events", "cadence-stored", lambda state: state.add(self.stored_items, self.stored_details))
+
+    @property
+    def timeline_blocks(self) -> TimelineBlocks:
+        """Blocks of all items in two batches."""
+
+        def build(blocks: TimelineBlocks) -> None:
+            for batch in (0, 1):
+                blocks.add(self.items.filter(F.col("id") % 2 == batch), self.details, batch)
+
+        return self._stored(TimelineBlocks, "events", "blocks-events", build)
+
+    @property
+    def doc_blocks(self) -> TimelineBlocks:
+        return self._stored(TimelineBlocks, "documents", "blocks-documents", lambda blocks: blocks.add(self.doc_items, self.doc_details))
+
+    def filled_store(self) -> TableStore:
+        """A new store with the feeds, the queue and what earlier polls stored."""
+        def instants(rows: DataFrame) -> DataFrame:
+            return rows.select(*[F.col(c).cast("timestamp").alias(c) if c.endswith("_at") or c == "lease_expires_at" else c for c in rows.columns])
+
+        store = TableStore(self.spark, self.new_folder("store"))
+        for batch in (0, 1):
+            mine = F.col("id") % 2 == batch
+            items = settled(instants(self.stored_items).filter(mine), "stored-items")
+            store.append("feed_item_details", instants(self.stored_details).filter(mine), batch)
+            store.append("feed_items", items, batch)
+            store.keys(batch).append(items, batch)
+        store.write_snapshot("feeds", instants(self.feeds), 1)
+        store.write_snapshot("feed_update_queue", instants(self.queue), 1)
+        return store
+
     @property
     def search_index(self) -> SearchIndex:
         """Items, details and feeds in one batch."""
-        return self._stored_index("all", lambda index: index.add(self.doc_items, self.doc_details, self.doc_feeds))
+        return self._stored(SearchIndex, "documents", "index-all", lambda index: index.add(self.doc_items, self.doc_details, self.doc_feeds))
 
     @property
     def item_index(self) -> SearchIndex:
@@ -418,7 +468,7 @@ class Given:
             for batch in (0, 1):
                 index.add(self.doc_items.filter(F.col("id") % 2 == batch), None, None, batch)
 
-        return self._stored_index("items", build)
+        return self._stored(SearchIndex, "documents", "index-items", build)
 
     @property
     def new_index(self) -> SearchIndex:

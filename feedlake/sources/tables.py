@@ -17,6 +17,7 @@ from pyspark.sql.types import LongType, StructType
 from feedlake import schemas
 
 if TYPE_CHECKING:
+    from feedlake.sources.cadence_state import CadenceState
     from feedlake.sources.key_store import KeyStore
 
 APPENDED = {"feed_items": schemas.ITEMS, "feed_item_details": schemas.DETAILS}
@@ -64,6 +65,9 @@ class TableStore:
     def _schema(self, table: str) -> StructType:
         return (APPENDED | SNAPSHOTS)[table]
 
+    def empty(self, table: str) -> DataFrame:
+        return self.spark.createDataFrame([], self._schema(table))
+
     def _batch_path(self, table: str, batch_id: int) -> str:
         return f"{self.path(table)}/{BATCH}={batch_id}"
 
@@ -71,7 +75,7 @@ class TableStore:
         """An appended table, optionally only as it was before a batch."""
         columns = self._schema(table)
         if not exists(self.spark, self.path(table)):
-            return self.spark.createDataFrame([], columns)
+            return self.empty(table)
         batched = StructType([*columns.fields]).add(BATCH, LongType())
         rows = self.spark.read.schema(batched).parquet(self.path(table))
         if before_batch is not None:
@@ -87,18 +91,40 @@ class TableStore:
         ordered = rows.select(*self._schema(table).fieldNames()).sortWithinPartitions("id")
         ordered.write.mode("overwrite").parquet(self._batch_path(table, batch_id))
 
-    def keys(self) -> KeyStore:
+    def keys(self, before_batch: int | None = None) -> KeyStore:
         """The keys of all items.  A store written before it had them gets them
-        from its item table, batch by batch, once."""
+        from its item table, batch by batch, once; not from a batch under way,
+        which ``before_batch`` names."""
         from feedlake.sources.key_store import KeyStore
 
         keys = KeyStore(self.spark, self.path("item_keys"))
         if not keys.runs():
-            for batch in sorted(complete_batches(self.spark, self.path("feed_items"), BATCH)):
-                items = self.spark.read.schema(self._schema("feed_items")).parquet(self._batch_path("feed_items", batch))
-                keys.append(items, batch)
+            for batch in self._item_batches(before_batch):
+                keys.append(self._batch("feed_items", batch), batch)
         return keys
 
+    def _item_batches(self, before_batch: int | None) -> list[int]:
+        found = complete_batches(self.spark, self.path("feed_items"), BATCH)
+        return sorted(b for b in found if before_batch is None or b < before_batch)
+
+    def _batch(self, table: str, batch_id: int) -> DataFrame:
+        if not exists(self.spark, self._batch_path(table, batch_id)):
+            return self.empty(table)
+        return self.spark.read.schema(self._schema(table)).parquet(self._batch_path(table, batch_id))
+
+    def cadence_state(self, before_batch: int | None = None) -> CadenceState:
+        """Cadence of all feeds, after it has read the batches it does not know yet.
+        Batches without their keys are not finished and wait."""
+        from feedlake.sources.cadence_state import CadenceState
+
+        state = CadenceState(self.spark, self.path("cadence"))
+        finished = max((r.last for r in self.keys(before_batch).runs(before_batch)), default=-1)
+        known = max(state.batches(), default=-1)
+        for batch in self._item_batches(before_batch):
+            if known < batch <= finished:
+                state.add(self._batch("feed_items", batch), self._batch("feed_item_details", batch), batch)
+        return state
+
     def snapshot(self, table: str, before_batch: int | None = None) -> DataFrame:
         """The newest complete snapshot of a table, older than a batch if given."""
         found = [b for b in complete_batches(self.spark, self.path(table), BATCH) if before_batch is None or b < before_batch]

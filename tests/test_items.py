@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import small
 from conftest import at
 from feedlake.operators import items as ops
-from feedlake.operators import skew
+from feedlake.sources.timeline_blocks import TimelineBlocks
 
 
 @pytest.fixture(scope="module")
@@ -35,25 +35,36 @@ def ids(df):
     return [r.id for r in df.collect()]
 
 
-@pytest.fixture(params=["small tables", "large tables"])
-def size(request, monkeypatch):
-    """Both ways of reading the timeline."""
-    if request.param == "large tables":
-        monkeypatch.setattr(skew, "SMALL_BYTES", -1)
+@pytest.fixture(params=[None, 1, 8, 4096], ids=["no blocks", "blocks of 1", "blocks of 8", "one block"])
+def block_ids(request):
+    return request.param
 
 
-def test_timeline_order_and_future_dates(tables, size):
+def blocks_of(items, details, block_ids, tmp_path):
+    """Blocks as two batches leave them, the first of them written twice."""
+    if block_ids is None:
+        return None
+    blocks = TimelineBlocks(items.sparkSession, str(tmp_path / "blocks"), block_ids)
+    for batch in (0, 0, 1):
+        blocks.add(items.filter(F.col("id") % 2 == batch), details, batch)
+    return blocks
+
+
+def test_timeline_order_and_future_dates(tables, block_ids, tmp_path):
     items, details, feeds = tables
+    blocks = blocks_of(items, details, block_ids, tmp_path)
     for limit in (None, 3, 20_000):
-        rows = ops.timeline(items, details, feeds, limit=limit).collect()
+        rows = ops.timeline(items, details, feeds, limit=limit, blocks=blocks).collect()
         # Item 1 claims 2030 but counts as inserted; item 2 was published earlier than inserted.
         assert [r.id for r in rows] == [2, 3, 1]
         assert rows[2].published_at == at("2030-01-01T00:00:00")
         assert rows[1].summary is None
-    assert ids(ops.timeline(items, details, feeds, limit=2)) == [2, 3]
+    assert ids(ops.timeline(items, details, feeds, limit=2, blocks=blocks)) == [2, 3]
+    assert ids(ops.timeline(items, details, feeds, limit=0, blocks=blocks)) == []
+    assert ids(ops.timeline(items.limit(0), details, feeds, limit=2, blocks=blocks)) == []
 
 
-def test_timeline_against_plain_python(spark, size):
+def test_timeline_against_plain_python(spark, block_ids, tmp_path):
     """Late and early published dates, items without details, limits on both sides of the cutoff."""
     rng = random.Random(21)
     day = at("2024-01-01T00:00:00")
@@ -64,16 +75,41 @@ def test_timeline_against_plain_python(spark, size):
     items = small.items(spark, *rows)
     details = small.details(spark, *[(i, "", "", p.isoformat()) for i, p in published.items()])
     feeds = small.feeds(spark, (1, {}), (2, {}))
-    order = sorted(((min(published.get(i, at(t)), at(t)), i) for i, f, _, t in rows if f != 9), reverse=True)
+    order = sorted(((min(published.get(i, at(t)), at(t)), i, f) for i, f, _, t in rows if f != 9), reverse=True)
+    blocks = blocks_of(items, details, block_ids, tmp_path)
     for limit in (1, 7, 60, 500):
-        assert ids(ops.timeline(items, details, feeds, limit=limit)) == [i for _, i in order][:limit]
+        assert ids(ops.timeline(items, details, feeds, limit=limit, blocks=blocks)) == [i for _, i, _ in order][:limit]
+        assert ids(ops.timeline(items, details, feeds, limit=limit, feed_id=2, blocks=blocks)) == [i for _, i, f in order if f == 2][:limit]
+
+
+def test_blocks_leave_old_items_unread(spark, tmp_path):
+    """Of 4,000 items in order, a list of 20 is ranked from the last blocks alone."""
+    rows = spark.range(1, 4001).selectExpr(
+        "id", "1L as feed_id", "cast(id as string) as external_id", "'t' as title", "'u' as url",
+        "timestamp_seconds(1700000000 + id * 60) as inserted_at",
+    )
+    rows.write.parquet(str(tmp_path / "items"))
+    items = spark.read.parquet(str(tmp_path / "items"))
+    details = items.selectExpr("id", "id as feed_item_id", "'s' as summary", "'c' as content", "'a' as author", "inserted_at as published_at")
+    blocks = TimelineBlocks(spark, str(tmp_path / "blocks"), 50)
+    blocks.add(items, details)
+    left = []
+
+    def rank(some, bodies):
+        left.append(some.count())
+        return ops._dated(some, bodies, small.feeds(spark, (1, {})))
+
+    kept, kept_details = blocks.newest(items, details, rank, 20)
+    assert left == [51] and kept.count() == kept_details.count() == 51
+    assert ids(ops.timeline(items, details, small.feeds(spark, (1, {})), limit=20, blocks=blocks)) == list(range(4000, 3980, -1))
 
 
-def test_timeline_filters(tables, size):
+def test_timeline_filters(tables, block_ids, tmp_path):
     items, details, feeds = tables
+    blocks = blocks_of(items, details, block_ids, tmp_path)
 
     def found(**kw):
-        return set(ids(ops.timeline(items, details, feeds, **kw)))
+        return set(ids(ops.timeline(items, details, feeds, blocks=blocks, **kw)))
 
     assert found(feed_id=2) == {2}
     assert found(query="pruning") == {2}
