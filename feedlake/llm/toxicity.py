@@ -1,11 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Toxic and ordinary documents each have a model of their expressions (words).  A
-word's discounted count backs off to the discounted count of its stem (its first
-bytes) in the same class, and that to the number of different words with the
-stem in both classes together.  A rare expression is so judged by its relatives,
-and one that neither class has seen by shared counts, which say nothing for
-either side.
+Toxic and ordinary documents each have a model of their words.  A word's discounted
+count in a class backs off to the class's model of its letters: bytes after the four
+before them, discounted again, and these to continuation counts (after how many
+different bytes a sequence occurs) of shorter sequences, which both classes share.
+So an expression that one class has rarely or never seen is judged by its letters,
+and letters that neither has seen after such a beginning by counts that are the
+same for both and say nothing for either side.
+
+Letters of neighbouring words tell nothing here; word pairs were tried as the order
+above words and lost most toxic documents (README).
 """
 
 from __future__ import annotations
@@ -21,12 +25,17 @@ from pyspark.sql import functions as F
 from feedlake.llm.common import arrow_rows, hand_back
 from feedlake.llm.labelled import FOLDS, is_held_out, labelled_sample, training_labels
 
-#: Training documents of each class; half teach the models, half the weights of
-#: the evidence.
+#: Training documents of each class.
 TOXIC_DOCUMENTS = 2000
 ORDINARY_DOCUMENTS = 4000
 DISCOUNT = 0.75
-STEM_BYTES = 4
+#: A byte is judged after the four before it; words begin and end with ``EDGE``.
+ORDER = 5
+EDGE = b" "
+BYTES = 256
+TINY = 1e-300
+#: Words whose ratio a worker remembers.
+MEMORY_WORDS = 100_000
 RIDGE = 1e-4
 #: Documents are toxic from this score on.
 CUT = 0.5
@@ -41,49 +50,120 @@ def expressions(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().translate(SPACED).split()
 
 
+def sequences(word: bytes) -> list[bytes]:
+    """The word's bytes and its end, each with the ``ORDER - 1`` bytes before it."""
+    padded = EDGE * (ORDER - 1) + word + EDGE
+    return [padded[i : i + ORDER] for i in range(len(word) + 1)]
+
+
+def _by_context(counts: dict[bytes, int]) -> tuple[dict[bytes, int], dict[bytes, int]]:
+    """Sum and number of the sequences with the same beginning."""
+    total: dict[bytes, int] = {}
+    kinds: dict[bytes, int] = {}
+    for g, n in counts.items():
+        total[g[:-1]] = total.get(g[:-1], 0) + n
+        kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
+    return total, kinds
+
+
+class SharedLetters:
+    """p(byte | the fewer bytes before it) from continuation counts of both classes."""
+
+    def __init__(self, seen: set[bytes]):
+        self.orders = []
+        level = seen
+        for _ in range(ORDER - 1):
+            counts: dict[bytes, int] = {}
+            for g in level:
+                counts[g[1:]] = counts.get(g[1:], 0) + 1
+            self.orders.append((counts, *_by_context(counts)))
+            level = set(counts)
+
+    def p(self, g: bytes) -> float:
+        """Probability of the last byte of a sequence shorter than ``ORDER``."""
+        low = 1 / BYTES
+        for counts, total, kinds in self.orders[ORDER - 1 - len(g) :][::-1]:
+            part = g[-len(next(iter(counts))) :] if counts else b""
+            n = total.get(part[:-1])
+            if n is not None:
+                low = (max(counts.get(part, 0) - DISCOUNT, 0) + DISCOUNT * kinds[part[:-1]] * low) / n
+        return low
+
+
+class Letters:
+    """One class: p(byte | the ``ORDER - 1`` bytes before it)."""
+
+    def __init__(self, words: dict[bytes, int]):
+        self.counts: dict[bytes, int] = {}
+        for word, n in words.items():
+            for g in sequences(word):
+                self.counts[g] = self.counts.get(g, 0) + n
+        self.total, self.kinds = _by_context(self.counts)
+
+    def back(self, context: bytes) -> float:
+        """What is left for the shared counts; all of it after an unseen context."""
+        n = self.total.get(context)
+        return 1.0 if n is None else DISCOUNT * self.kinds[context] / n
+
+    def p(self, g: bytes, shared: float) -> float:
+        n = self.total.get(g[:-1])
+        own = 0.0 if n is None else max(self.counts.get(g, 0) - DISCOUNT, 0) / n
+        return own + self.back(g[:-1]) * shared
+
+
 class ClassModels:
-    """log p(word | toxic) - log p(word | ordinary) from counts of both classes."""
+    """log p(word | toxic) - log p(word | ordinary) from counts of both classes.
+
+    Kept are only ratios: of words and sequences that a class has seen, and of the
+    back-off of contexts.  Whatever neither has seen has the same shared
+    probability in both, which cancels.
+    """
 
     def __init__(self, toxic: dict[bytes, int], ordinary: dict[bytes, int]):
-        kinds: dict[bytes, int] = {}
-        for word in toxic.keys() | ordinary.keys():
-            kinds[word[:STEM_BYTES]] = kinds.get(word[:STEM_BYTES], 0) + 1
-        total = sum(kinds.values()) + 1
-        sides = []
-        for counts in (toxic, ordinary):
-            n = max(1, sum(counts.values()))
-            stems: dict[bytes, int] = {}
-            for word, c in counts.items():
-                stems[word[:STEM_BYTES]] = stems.get(word[:STEM_BYTES], 0) + c
-            back = DISCOUNT * max(1, len(stems)) / n
-            stem_p = {s: max(stems.get(s, 0) - DISCOUNT, 0) / n + back * k / total for s, k in kinds.items()}
-            sides.append((counts, n, DISCOUNT * max(1, len(counts)) / n, stem_p))
-        self.stems: dict[bytes, float] = {}
+        sides = [(Letters(counts), counts, max(1, sum(counts.values()))) for counts in (toxic, ordinary)]
+        (lt, ct, nt), (lo, co, no) = sides
+        shared = SharedLetters(set(lt.counts) | set(lo.counts))
+        self.letters: dict[bytes, float] = {}
+        logs: dict[bytes, float] = {}
+        for g in lt.counts.keys() | lo.counts.keys():
+            rest = shared.p(g[1:])
+            a, b = lt.p(g, rest), lo.p(g, rest)
+            self.letters[g], logs[g] = math.log(a) - math.log(b), math.log(b)
+        self.contexts = {h: math.log(lt.back(h)) - math.log(lo.back(h)) for h in lt.total.keys() | lo.total.keys()}
+        bt, bo = (DISCOUNT * max(1, len(counts)) / n for _, counts, n in sides)
+        self.new = math.log(bt) - math.log(bo)
         self.words: dict[bytes, float] = {}
-        (ct, nt, bt, pt), (co, no, bo, po) = sides
-        for stem, k in kinds.items():
-            # a new word with a known stem
-            self.stems[stem] = math.log(bt * pt[stem]) - math.log(bo * po[stem])
-        for word in toxic.keys() | ordinary.keys():
-            stem = word[:STEM_BYTES]
-            each = 1 / (kinds[stem] + 1)
-            a = max(ct.get(word, 0) - DISCOUNT, 0) / nt + bt * pt[stem] * each
-            b = max(co.get(word, 0) - DISCOUNT, 0) / no + bo * po[stem] * each
-            self.words[word] = math.log(a) - math.log(b)
+        for word in ct.keys() | co.keys():
+            log_b = sum(logs[g] for g in sequences(word))
+            a = max(ct.get(word, 0) - DISCOUNT, 0) / nt + bt * math.exp(log_b + self.spelling(word))
+            b = max(co.get(word, 0) - DISCOUNT, 0) / no + bo * math.exp(log_b)
+            # the smallest doubles stand for words too long to have a probability
+            self.words[word] = math.log(max(a, TINY)) - math.log(max(b, TINY))
+
+    def spelling(self, word: bytes) -> float:
+        """Ratio of the word's letters alone."""
+        letters, contexts = self.letters, self.contexts
+        return sum(letters[g] if g in letters else contexts.get(g[:-1], 0.0) for g in sequences(word))
 
     def ratio(self, word: bytes) -> float:
         found = self.words.get(word)
-        return self.stems.get(word[:STEM_BYTES], 0.0) if found is None else found
+        return self.new + self.spelling(word) if found is None else found
 
-    def evidence(self, text: str) -> tuple[float, float]:
-        """Length-normalised log-likelihood ratios: of the text's most toxic
-        expression, and of the whole text.  (0, 0) without words."""
+    def evidence(self, text: str, memory: dict[bytes, float] | None = None) -> tuple[float, float, float]:
+        """Log-likelihood ratios: the highest of a word, the highest of a word by its
+        length, and that of the whole text by its length.  All 0 without words."""
         words = expressions(text)
         if not words:
-            return 0.0, 0.0
-        known, ratio = self.words, self.ratio
-        values = [known[w] if w in known else ratio(w) for w in words]
-        return max(values), sum(values) / len(values)
+            return 0.0, 0.0, 0.0
+        memory = {} if memory is None else memory
+        if len(memory) > MEMORY_WORDS:
+            memory.clear()
+        for w in set(words):
+            if w not in memory:
+                memory[w] = self.ratio(w)
+        values = [memory[w] for w in words]
+        sizes = [len(w) + 1 for w in words]
+        return max(values), max(v / n for v, n in zip(values, sizes, strict=True)), sum(values) / sum(sizes)
 
 
 def fit_evidence(x: np.ndarray, y: np.ndarray, toxic_share: float, steps: int = 80) -> np.ndarray:
@@ -126,8 +206,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> tuple[ClassModels, np.nd
     training rows of both classes in both halves of the sample.
 
     The models' counts come from a bounded sample of training documents
-    (``TOXIC_DOCUMENTS``, ``ORDINARY_DOCUMENTS``).  The weights are fitted on one
-    half of it with models of the other; the final models count both.
+    (``TOXIC_DOCUMENTS``, ``ORDINARY_DOCUMENTS``).  Each half of it is judged by
+    models of the other, and the weights are fitted on these judgements; the final
+    models count both halves.
     """
     arrow_rows(docs.sparkSession)
     known = training_labels(labels, "toxic")
@@ -139,15 +220,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> tuple[ClassModels, np.nd
         counts[r["part"], r["label"]][bytes(r["word"])] = r["n"]
     if not all(counts.values()):
         return None
-    half = ClassModels(counts[0, 1], counts[0, 0])
+    halves = [ClassModels(counts[part, 1], counts[part, 0]) for part in (0, 1)]
 
-    @F.pandas_udf("array<double>")
-    def evidence(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(half.evidence(x)) for x in texts.tolist()])
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memories: list[dict] = [{}, {}]
+        for batch in batches:
+            found = [halves[1 - p].evidence(t, memories[p]) for p, t in zip(batch["part"], batch["text"], strict=True)]
+            yield pd.DataFrame({"label": batch["label"], "e": [list(e) for e in found]})
 
-    rows = sample.filter("part = 1").select("label", evidence("text").alias("e")).collect()
+    # a few numbers of at most the sample's documents
+    rows = sample.mapInPandas(judge, "label int, e array<double>").collect()
     share = known.agg(F.avg("label")).head()[0]
     weights = fit_evidence(np.array([r["e"] for r in rows]), np.array([r["label"] for r in rows]), share)
+    del halves
     for label in (0, 1):
         for word, n in counts[1, label].items():
             counts[0, label][word] = counts[0, label].get(word, 0) + n
@@ -163,8 +248,9 @@ def toxicity_of(model: tuple[ClassModels, np.ndarray] | None, text: Column) -> C
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         try:
+            memory: dict[bytes, float] = {}
             for texts in batches:
-                found = np.array([models.evidence(x) for x in texts.tolist()]).reshape(-1, 2)
+                found = np.array([models.evidence(x, memory) for x in texts.tolist()]).reshape(-1, 3)
                 yield pd.Series(1 / (1 + np.exp(-np.clip(weights[0] + (found * weights[1:]).sum(axis=1), -30, 30))))
         finally:
             hand_back()
