@@ -328,34 +328,6 @@ def test_classifiers_on_held_out_rows(spark, label):
 # -- op8
 
 
-def test_class_models_against_plain_probabilities():
-    """Every class's letters sum to one after any context, a text's evidence is the
-    difference of two log-probabilities, and unseen letters say nothing."""
-    toxic, ordinary = ({b"vexo": 5, b"tea": 2, b"vex": 1}, {b"tea": 9, b"sea": 4, b"t": 1, "é".encode(): 2})
-    letters = [toxicity.Letters(x) for x in (toxic, ordinary)]
-    shared = toxicity.SharedLetters(set(letters[0].counts) | set(letters[1].counts))
-    for side in letters:
-        for context in (b"    ", b"   t", b" vex", b"zzzz", b"  te"):
-            assert sum(side.p(context + bytes([b]), shared.p(context[1:] + bytes([b]))) for b in range(256)) == pytest.approx(1)
-    # continuation counts: "ea" goes on after t and s, whatever their frequency
-    assert shared.orders[2][0][b"ea"] == 2
-    models = toxicity.ClassModels(toxic, ordinary)
-
-    def log_p(word, side, counts):
-        n, spelled = sum(counts.values()), 1.0
-        for g in toxicity.sequences(word):
-            spelled *= side.p(g, shared.p(g[1:]))
-        return np.log(max(counts.get(word, 0) - 0.75, 0) / n + 0.75 * len(counts) / n * spelled)
-
-    for word in (b"vexo", b"tea", b"t", b"vexa", b"seat", b"zzz", "é".encode()):
-        assert models.ratio(word) == pytest.approx(log_p(word, letters[0], toxic) - log_p(word, letters[1], ordinary))
-    assert models.letters.get(b"zzzza") is None and models.contexts.get(b"zzzz", 0.0) == 0.0
-    of = {w: models.ratio(w) for w in (b"vexo", b"tea")}
-    assert models.evidence("VEXO, tea!") == pytest.approx((of[b"vexo"], of[b"vexo"] / 5, (of[b"vexo"] + of[b"tea"]) / 9))
-    assert models.evidence(" .;") == (0, 0, 0) and of[b"vexo"] > 0 > of[b"tea"]
-    assert np.isfinite(models.evidence("x" * 100_000 + " " + "tea" * 50_000)).all()
-
-
 @pytest.mark.parametrize("shift, unit", [(0, 0.001), (-1000, 0.25), (70, 1e-6)])
 def test_threshold_for_any_range_of_scores(spark, shift, unit):
     rng = random.Random(5)
