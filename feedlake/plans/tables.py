@@ -307,43 +307,61 @@ class Given:
 
     @cached_property
     def bodies(self) -> DataFrame:
-        """XML bodies of a few pages each, Atom and RSS in turn."""
-        escaped = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+        """Bodies of a few pages each, five dialects in turn: Atom, RSS 2.0, Atom
+        with a prefix, JSON Feed, RSS 1.0."""
+
+        def tag(name: str, value: str, attributes: str = "") -> str:
+            return f"coalesce(concat('<{name}{attributes}>', {value}, '</{name}>'), '')"
+
+        def atom(p: str) -> str:
+            return f"""concat('<{p}entry>', {tag(p + "title", "x.title")},
+                coalesce(concat('<{p}link href="', x.link, '" rel="alternate"/>'), ''), {tag(p + "id", "x.guid")},
+                {tag(p + "content", "x.content", ' type="html"')}, '<{p}author><{p}name>Page author</{p}name></{p}author>',
+                {tag(p + "published", "iso")}, '</{p}entry>')"""
+
+        def rss(opening: str, guid: str, date: str) -> str:
+            return f"""concat({opening}, {tag("title", "x.title")}, {tag("link", "x.link")}, {guid},
+                {tag("description", "x.content")}, {date}, '</item>')"""
+
+        rss2 = rss(
+            "'<item>'", tag("guid", "x.guid", ' isPermaLink="false"'),
+            tag("pubDate", "concat(date_format(given, 'EEE, dd MMM yyyy HH:mm:ss'), ' GMT')"),
+        )
+        rss1 = rss("""'<item rdf:about="', x.guid, '">'""", "''", tag("dc:date", "iso"))
+        json = """to_json(struct(guid as id, link as url, title, content as content_html,
+            array(struct('Page author' as name)) as authors, iso as date_published))"""
+        columns = ("guid", "link", "title", "content")
+        escaped = ", ".join(f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as {c}" for c in columns)
         page = self.raw_entries.selectExpr(
-            "page_id",
-            f"page_id div {BODY_PAGES} as body_id",
-            f"{escaped.format('guid')} as guid",
-            f"{escaped.format('link')} as link",
-            f"{escaped.format('title')} as title",
-            f"{escaped.format('content')} as content",
-            "date_trunc('SECOND', given) as given",
-        )
-        atom = """concat('<entry>', coalesce(concat('<title>', title, '</title>'), ''),
-            coalesce(concat('<link href="', link, '" rel="alternate"/>'), ''), '<id>', guid, '</id>',
-            '<content type="html">', content, '</content><author><name>Page author</name></author>',
-            coalesce(concat('<published>', date_format(given, "yyyy-MM-dd'T'HH:mm:ss'Z'"), '</published>'), ''),
-            '</entry>')"""
-        rss = """concat('<item>', coalesce(concat('<title>', title, '</title>'), ''),
-            coalesce(concat('<link>', link, '</link>'), ''), '<guid isPermaLink="false">', guid, '</guid>',
-            '<description>', content, '</description>',
-            coalesce(concat('<pubDate>', date_format(given, 'EEE, dd MMM yyyy HH:mm:ss'), ' GMT</pubDate>'), ''),
-            '</item>')"""
+            "page_id", f"page_id div {BODY_PAGES} as body_id", *columns, "given",
+            "date_format(given, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") as iso", f"struct({escaped.replace(' as ', ' AS ')}) as x",
+        )
         entries = page.selectExpr(
-            "body_id", "page_id", f"case when body_id % 2 = 0 then {atom} else {rss} end as entry"
+            "body_id",
+            "page_id",
+            f"""case body_id % 5 when 0 then {atom("")} when 1 then {rss2} when 2 then {atom("a:")}
+                when 3 then {json} else {rss1} end as entry""",
         )
         # At most BODY_PAGES entries meet in one group.
-        grouped = entries.groupBy("body_id").agg(
-            F.expr("array_join(transform(array_sort(collect_list(struct(page_id, entry))), e -> e.entry), '')").alias(
-                "inner_xml"
-            )
-        )
-        return grouped.selectExpr(
-            "body_id as feed_id",
-            """case when body_id % 2 = 0 then concat('<?xml version="1.0" encoding="UTF-8"?>',
-                '<feed xmlns="http://www.w3.org/2005/Atom"><title>Pages ', body_id, '</title>',
-                '<link href="https://pages', body_id, '.example"/>', inner_xml, '</feed>')
-               else concat('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>Pages ', body_id,
-                '</title><link>https://pages', body_id, '.example/home</link>', inner_xml, '</channel></rss>')
+        grouped = entries.groupBy("body_id").agg(F.array_sort(F.collect_list(F.struct("page_id", "entry"))).alias("e"))
+        inner = grouped.selectExpr(
+            "body_id as feed_id", "body_id % 5 as dialect", "array_join(e.entry, if(body_id % 5 = 3, ',', '')) as inner",
+            "concat('Pages ', body_id) as title", "concat('https://pages', body_id, '.example') as site",
+        )
+        return inner.selectExpr(
+            "feed_id",
+            """case dialect
+               when 0 then concat('<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>',
+                title, '</title><link href="', site, '"/>', inner, '</feed>')
+               when 1 then concat('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>', title,
+                '</title><link>', site, '/home</link>', inner, '</channel></rss>')
+               when 2 then concat('<?xml version="1.0"?><a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:title>',
+                title, '</a:title><a:link href="', site, '"/>', inner, '</a:feed>')
+               when 3 then concat('{"version":"https://jsonfeed.org/version/1.1","title":"', title,
+                '","home_page_url":"', site, '/home","items":[', inner, ']}')
+               else concat('<?xml version="1.0"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" ',
+                'xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>', title,
+                '</title><link>', site, '/home</link></channel>', inner, '</rdf:RDF>')
                end as body""",
         )
 

@@ -1,4 +1,8 @@
-"""RSS 2.0, RSS 1.0 (RDF) and Atom bodies to entries, through Spark's own XML reader."""
+"""RSS 2.0, RSS 1.0 (RDF), Atom and JSON Feed bodies to entries, through Spark's own readers.
+
+Each body is read by the reader of its dialect alone; Atom and RSS 1.0 names may
+carry a prefix.
+"""
 
 from __future__ import annotations
 
@@ -30,20 +34,67 @@ BODY = f"""
     item {_ITEMS},
     _unreadable STRING
 """
+#: JSON Feed, versions 1 and 1.1: the first has one author, the second a list.
+_AUTHOR = "STRUCT<name: STRING>"
+JSON_BODY = f"""
+    version STRING, title STRING, home_page_url STRING, feed_url STRING,
+    items ARRAY<STRUCT<
+        id: STRING, url: STRING, external_url: STRING, title: STRING, summary: STRING,
+        content_html: STRING, content_text: STRING, date_published: STRING, date_modified: STRING,
+        author: {_AUTHOR}, authors: ARRAY<{_AUTHOR}>>>,
+    _unreadable STRING
+"""
+# How the version of a JSON Feed starts, and the namespaces of the
+# dialects whose own names may carry a prefix.
+JSON_FEED_VERSION = "https://jsonfeed.org/version/1"
+ATOM_NAMESPACE = "http://www.w3.org/2005/Atom"
+RSS1_NAMESPACE = "http://purl.org/rss/1.0/"
+#: What may stand before the root element.
+_HEAD = r"(?s)^(?:<\?.*?\?>|<!--.*?-->|<![^>\[]*>|\s+)*"
+#: The prefix a root element binds to its dialect; Atom's root must carry it itself.
+_PREFIX = (
+    _HEAD + rf"""<([\w.-]+):feed\s[^>]*?xmlns:\1\s*=\s*["']{ATOM_NAMESPACE}["']""",
+    _HEAD + rf"""<[\w.-]+:RDF\s[^>]*?xmlns:([\w.-]+)\s*=\s*["']{RSS1_NAMESPACE}["']""",
+)
 NO_TITLE = "(no title)"
+_BLANKS = " \t\r\n\ufeff"
 
 
 def parsed(body: Column) -> Column:
-    return F.from_xml(body, BODY, {"columnNameOfCorruptRecord": "_unreadable", "mode": "PERMISSIVE"})
+    """``xml`` or ``json``, whichever the body is written in; the other one is null."""
+    text = F.ltrim(body, F.lit(_BLANKS))
+    is_json = text.startswith("{")
+    options = {"columnNameOfCorruptRecord": "_unreadable", "mode": "PERMISSIVE"}
+    return F.struct(
+        F.from_xml(F.when(~is_json, without_prefix(text)), BODY, options).alias("xml"),
+        F.from_json(F.when(is_json, text), JSON_BODY, options).alias("json"),
+    )
+
+
+def without_prefix(xml: Column) -> Column:
+    """A body whose own names carry a prefix, with plain names.
+
+    The prefix counts only if the root element binds it to the dialect's namespace
+    (for Atom also carries it), so an Atom link inside RSS stays what it is.
+    CDATA sections and comments are left alone.
+    """
+    prefix = F.concat(*[F.regexp_extract(xml, pattern, 1) for pattern in _PREFIX])
+    names = F.concat(F.lit(r"(?s)(<!\[CDATA\[.*?\]\]>|<!--.*?-->)|(</?)\Q"), prefix, F.lit(r"\E:"))
+    plain = F.when(prefix != "", F.regexp_replace(xml, names, F.lit("$1$2"))).otherwise(xml)
+    # One look at the root spares most bodies the rest.
+    return F.when(xml.rlike(_HEAD + r"<[\w.-]+:"), plain).otherwise(xml)
 
 
 def is_readable(feed: Column) -> Column:
     """A well-formed body that is a feed of one of the dialects."""
+    xml, json = feed["xml"], feed["json"]
     some = F.coalesce(
-        feed["title"]["_VALUE"], feed["channel"]["title"]["_VALUE"], F.get(feed["entry"]["id"]["_VALUE"], F.lit(0))
+        xml["title"]["_VALUE"], xml["channel"]["title"]["_VALUE"], F.get(xml["entry"]["id"]["_VALUE"], F.lit(0))
     )
-    shape = some.isNotNull() | feed["entry"].isNotNull() | feed["channel"].isNotNull()
-    return feed.isNotNull() & feed["_unreadable"].isNull() & shape
+    shape = some.isNotNull() | xml["entry"].isNotNull() | xml["channel"].isNotNull()
+    is_xml = xml.isNotNull() & xml["_unreadable"].isNull() & shape
+    is_json = json.isNotNull() & json["_unreadable"].isNull() & json["version"].startswith(JSON_FEED_VERSION)
+    return F.coalesce(is_xml, F.lit(False)) | F.coalesce(is_json, F.lit(False))
 
 
 def read_feeds(bodies: DataFrame) -> DataFrame:
@@ -53,10 +104,14 @@ def read_feeds(bodies: DataFrame) -> DataFrame:
     """
     carried = [c for c in bodies.columns if c != "body"]
     feed = F.col("feed")
+    xml, json = feed["xml"], feed["json"]
     site = F.coalesce(
-        F.get(feed["link"]["_href"], F.lit(0)), F.get(_filled(feed["channel"]["link"]["_VALUE"]), F.lit(0))
+        F.get(xml["link"]["_href"], F.lit(0)),
+        F.get(_filled(xml["channel"]["link"]["_VALUE"]), F.lit(0)),
+        json["home_page_url"],
+        json["feed_url"],
     )
-    title = F.coalesce(feed["title"]["_VALUE"], feed["channel"]["title"]["_VALUE"])
+    title = F.coalesce(xml["title"]["_VALUE"], xml["channel"]["title"]["_VALUE"], json["title"])
     return bodies.select(*carried, parsed(F.col("body")).alias("feed")).select(
         *carried,
         title.alias("title"),
@@ -101,9 +156,22 @@ def _entries(feed: Column) -> Column:
             F.get(i["dc:date"]["_VALUE"], F.lit(0)).alias("updated"),
         )
 
-    inside, beside = feed["channel"]["item"], feed["item"]
+    def json(i: Column) -> Column:
+        return F.struct(
+            i["id"].alias("guid"),
+            F.coalesce(i["url"], i["external_url"]).alias("link"),
+            i["title"].alias("title"),
+            i["summary"].alias("summary"),
+            F.coalesce(i["content_html"], i["content_text"]).alias("content"),
+            F.coalesce(F.get(i["authors"]["name"], F.lit(0)), i["author"]["name"]).alias("author"),
+            i["date_published"].alias("published"),
+            i["date_modified"].alias("updated"),
+        )
+
+    xml = feed["xml"]
+    inside, beside = xml["channel"]["item"], xml["item"]
     items = F.coalesce(F.concat(inside, beside), inside, beside)
-    return F.coalesce(F.transform(feed["entry"], atom), F.transform(items, rss))
+    return F.coalesce(F.transform(xml["entry"], atom), F.transform(items, rss), F.transform(feed["json"]["items"], json))
 
 
 def read_entries(bodies: DataFrame, now: Column) -> DataFrame:
@@ -115,9 +183,8 @@ def read_entries(bodies: DataFrame, now: Column) -> DataFrame:
     carried = [c for c in bodies.columns if c != "body"]
     raw = (
         bodies.select(*carried, parsed(F.col("body")).alias("feed"))
-        .filter(is_readable(F.col("feed")))
-        # The outer form, as a plain explode would have every body parsed twice.
-        .select(*carried, F.posexplode_outer(_entries(F.col("feed"))).alias("pos", "e"))
+        # The outer form and no filter before it: either would have every body parsed again.
+        .select(*carried, F.posexplode_outer(F.when(is_readable(F.col("feed")), _entries(F.col("feed")))).alias("pos", "e"))
         .filter(F.col("pos").isNotNull())
     )
     dated = raw.select(
@@ -150,4 +217,4 @@ def normalize_entries(raw: DataFrame, now: Column) -> DataFrame:
     )
 
 
-__all__ = ["BODY", "is_readable", "normalize_entries", "parsed", "read_entries", "read_feeds"]
+__all__ = ["BODY", "JSON_BODY", "is_readable", "normalize_entries", "parsed", "read_entries", "read_feeds", "without_prefix"]

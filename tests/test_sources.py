@@ -147,3 +147,43 @@ def test_shared_folder_is_the_named_one(spark):
     df = spark.range(5)
     assert settled(df, "numbers").count() == 5
     assert named in settled(df, "numbers").inputFiles()[0]
+
+
+PREFIXED = """<?xml version="1.0"?>
+<!-- a comment -->
+<at:feed xmlns:at='http://www.w3.org/2005/Atom' xmlns:x="urn:x"><at:title>Boats</at:title><at:link href="https://b.example"/>
+<at:entry><at:id>7</at:id><at:title>Tide &lt;at:b&gt;</at:title><x:id>no</x:id>
+<at:content type="html"><![CDATA[<at:p>kept</at:p>]]></at:content><at:author><at:name>Odd</at:name></at:author>
+<at:published>2026-07-01T10:00:00Z</at:published></at:entry></at:feed>"""
+PREFIXED_RDF = """<r:RDF xmlns:r="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:s="http://purl.org/rss/1.0/">
+<s:channel><s:title>Old</s:title><s:link>https://o.example/</s:link></s:channel>
+<s:item><s:title>One</s:title><s:link>https://o.example/1</s:link></s:item></r:RDF>"""
+JSON = """﻿ {"version": "https://jsonfeed.org/version/1.1", "title": "Kites", "home_page_url": "https://k.example",
+"feed_url": "https://k.example/f.json", "items": [
+{"id": "https://k.example/1#2", "url": "https://k.example/1", "title": "Up", "summary": "s", "content_html": "<p>h</p>",
+ "content_text": "h", "authors": [{"name": "Kai"}, {"name": "Li"}], "date_published": "2026-07-01T12:00:00+02:00"},
+{"id": 12, "external_url": "https://k.example/2", "content_text": " plain ", "author": {"name": "Old"},
+ "date_modified": "2026-07-02T00:00:00Z", "tags": ["x"]}, {}]}"""
+
+
+def test_prefixed_names_and_json_feeds(spark):
+    other = '{"version": "https://example.org/1", "title": "x", "items": []}'
+    bodies = spark.createDataFrame(
+        [(1, PREFIXED), (2, PREFIXED_RDF), (3, JSON), (4, JSON[:-5]), (5, other), (6, "{}"), (7, "{"), (8, "[1]"), (9, ""),
+         (10, JSON.replace("version/1.1", "version/1"))],
+        "feed_id long, body string",
+    )
+    feeds = {r.feed_id: tuple(r)[1:] for r in feed_xml.read_feeds(bodies).collect()}
+    assert feeds[1] == ("Boats", "https://b.example/", True)
+    assert feeds[2] == ("Old", "https://o.example/", True)
+    assert feeds[3] == feeds[10] == ("Kites", "https://k.example/", True)
+    assert [feeds[i][2] for i in range(4, 10)] == [False] * 6
+    now = at("2030-01-01T00:00:00")
+    rows = feed_xml.read_entries(bodies.filter("feed_id < 10"), F.lit(now)).orderBy("feed_id", "pos").collect()
+    assert [tuple(r) for r in rows] == [
+        (1, 0, "7", "Tide <at:b>", "", "", "<at:p>kept</at:p>", "Odd", at("2026-07-01T10:00:00")),
+        (2, 0, "https://o.example/1", "One", "https://o.example/1", "", "", "", now),
+        (3, 0, "https://k.example/1", "Up", "https://k.example/1", "s", "<p>h</p>", "Kai", at("2026-07-01T10:00:00")),
+        (3, 1, "12", "(no title)", "https://k.example/2", "", " plain ", "Old", at("2026-07-02T00:00:00")),
+        (3, 2, "fallback::", "(no title)", "", "", "", "", now),
+    ]
