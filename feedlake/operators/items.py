@@ -216,21 +216,28 @@ def high_watermark(items: DataFrame) -> DataFrame:
     return items.agg(F.coalesce(F.max("id"), F.lit(0).cast("long")).alias("high_watermark"))
 
 
-def upsert_newest(current: DataFrame, incoming: DataFrame, limit: int = TIMELINE_LIMIT) -> DataFrame:
+def upsert_newest(
+    current: DataFrame, incoming: DataFrame, limit: int = TIMELINE_LIMIT, order: str | None = None
+) -> DataFrame:
     """Merge item lists by id, the incoming version winning, newest ``limit`` kept.
 
-    ``published_at`` may be absent from either list.  Versions of one id are
-    reduced before they are shuffled, so redelivered copies cost little.
+    Of several incoming versions of one id the last by ``order`` wins, a column of
+    ``incoming``; without it, and among equals, the greatest by content, so that
+    reruns agree.  ``published_at`` may be absent from either list.  Versions of one
+    id are reduced before they are shuffled, so redelivered copies cost little.
     """
     columns = [*ITEM_COLUMNS, *DETAIL_COLUMNS]
 
-    def shaped(rows: DataFrame, version: int) -> DataFrame:
+    def shaped(rows: DataFrame, version: int, place: Column) -> DataFrame:
         present = [F.col(c) if c in rows.columns else _missing(c, current, incoming) for c in columns]
-        return rows.select(*present, F.lit(version).alias("version"))
+        return rows.select(*present, F.struct(F.lit(version).alias("list"), place.alias("place")).alias("version"))
 
-    both = shaped(current, 0).unionByName(shaped(incoming, 1))
+    last = F.col(order) if order else F.lit(0)
+    unplaced = F.lit(None).cast(incoming.schema[order].dataType if order else "int")
+    both = shaped(current, 0, unplaced).unionByName(shaped(incoming, 1, last))
     body = F.struct(*columns[1:])
-    merged = both.groupBy("id").agg(F.max_by(body, "version").alias("row")).select("id", "row.*")
+    best = F.max(F.struct("version", body.alias("row"))).alias("best")
+    merged = both.groupBy("id").agg(best).select("id", "best.row.*")
     top = merged.withColumn("effective_at", _effective()).orderBy(*newest_effective()).limit(limit)
     return top.drop("effective_at")
 

@@ -154,6 +154,17 @@ def timeline_upsert(g: Given) -> DataFrame:
     return items.upsert_newest(shown, redelivered)
 
 
+@query
+def timeline_versions(g: Given) -> DataFrame:
+    """Every stored item comes in several versions inside one batch; the last wins."""
+    shown = items.timeline(g.items, g.details, g.feeds, limit=items.TIMELINE_LIMIT, blocks=g.timeline_blocks)
+    number = F.explode(F.sequence(F.lit(1), F.lit(3)))
+    versions = g.items.withColumn("version_seq", number).withColumn(
+        "title", F.concat((F.lit(9) - F.col("version_seq")).cast("string"), F.lit(" "), F.col("title"))
+    )
+    return items.upsert_newest(shown, versions, order="version_seq")
+
+
 @query
 def high_watermark(g: Given) -> DataFrame:
     return items.high_watermark(g.items)
@@ -308,6 +319,13 @@ def key_violations(g: Given) -> DataFrame:
     return keys.key_violations(g.items, g.details, g.feeds.filter("is_enabled"))
 
 
+@query
+def strict_items(g: Given) -> DataFrame:
+    """A plain insert of every first entry of a key; a repeated key would be an error."""
+    first = g.items.groupBy("feed_id", "external_id").agg(F.min("id").alias("id"))
+    return keys.require_unique(g.items.join(first.select("id"), "id", "left_semi"), ["feed_id", "external_id"])
+
+
 # --- changes -------------------------------------------------------------------
 
 
@@ -359,6 +377,13 @@ def upsert_feeds(g: Given) -> DataFrame:
     )
 
 
+@query
+def seeded_feeds(g: Given) -> DataFrame:
+    """The starter feeds among those people know, seeded twice; one is there already."""
+    known = feeds.upsert_feeds(g.feed_urls.unionByName(g.feed_urls.selectExpr("seq + 1000000000 as seq", f"'{feeds.DEFAULT_FEED_URLS[0]}' as url")), g.known_feeds)
+    return feeds.seed_default_feeds(feeds.seed_default_feeds(known)).select("id", "url", "is_enabled", "failure_count")
+
+
 @query
 def set_enabled(g: Given) -> DataFrame:
     flags = g.feeds.filter("failure_count < 2").selectExpr("id", "not is_enabled as is_enabled")
@@ -411,6 +436,14 @@ def fetch_request_counts(g: Given) -> DataFrame:
     return polling.request_counts(polling.fetch_requests(requests, g.feeds, g.queue, g.now))
 
 
+@query
+def queue_after_requests(g: Given) -> DataFrame:
+    """The queue of all feeds but every fourth, after the requests for those twice as far."""
+    requests = g.events.select((F.col("user_id") * 2).alias("feed_id"))
+    queue = g.queue.filter("feed_id % 4 <> 0")
+    return polling.apply_requests(queue, polling.fetch_requests(requests, g.feeds, queue, g.now), g.now)
+
+
 def _leased(g: Given) -> DataFrame:
     return polling.due_feeds(g.queue, g.feeds, g.now, BATCH_NAME)
 

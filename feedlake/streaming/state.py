@@ -60,12 +60,18 @@ def _merge_stream(
 
 
 def timeline_stream(
-    items: DataFrame, snapshots: Snapshots, checkpoint: str, limit: int = TIMELINE_LIMIT, available_now: bool = False
+    items: DataFrame,
+    snapshots: Snapshots,
+    checkpoint: str,
+    limit: int = TIMELINE_LIMIT,
+    available_now: bool = False,
+    order: str | None = None,
 ) -> StreamingQuery:
-    """Newest items, fed by an at-least-once stream: redelivery changes nothing."""
+    """Newest items, fed by an at-least-once stream: redelivery changes nothing.
+    Inside a micro-batch the last version by ``order`` wins."""
 
     def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
-        return upsert_newest(current, batch, limit)
+        return upsert_newest(current, batch, limit, order)
 
     return _merge_stream(items, snapshots, merge, checkpoint, available_now)
 

@@ -164,6 +164,21 @@ def test_upsert_newest(spark):
     assert got[0].published_at is None
 
 
+def test_upsert_newest_last_version_of_a_batch_wins(spark):
+    current = small.items(spark, (1, 1, "stored", "00:00:00"), (2, 1, "alone", "00:00:01"))
+    versions = [("z first", 1), ("a last", 3), ("m middle", 2)]
+    batch = None
+    for title, place in versions:
+        rows = small.items(spark, (1, 1, title, "00:00:00"), (3, 1, title, "00:00:02")).withColumn("place", F.lit(place))
+        batch = rows if batch is None else batch.unionByName(rows)
+    got = ops.upsert_newest(current, batch.repartition(5), order="place").collect()
+    assert [(r.id, r.title) for r in got] == [(3, "a last"), (2, "alone"), (1, "a last")]
+    # without an order the greatest by content, whatever the partitions
+    for parts in (1, 5):
+        got = ops.upsert_newest(current, batch.repartition(parts)).collect()
+        assert [(r.id, r.title) for r in got] == [(3, "z first"), (2, "alone"), (1, "z first")]
+
+
 def test_large_ids_are_pushed_down(tables, tmp_path):
     items, _, _ = tables
     items.write.parquet(str(tmp_path / "items"))
