@@ -24,6 +24,8 @@ from feedlake.sources.timeline_blocks import TimelineBlocks
 
 #: Pages per feed body, a bound on what one body holds.
 BODY_PAGES = 10
+#: The square of a larger number of minutes is longer than an interval can be.
+OLDEST_PAGE = 392_065
 
 
 #: Search indexes, cadence states and timeline blocks of this session.
@@ -290,14 +292,16 @@ class Given:
 
     @cached_property
     def page_rows(self) -> DataFrame:
-        """Pages as items with details, the later pages the older ones."""
+        """Pages as items with details, the later pages the older ones: a page's age is
+        its id squared in minutes, from ``OLDEST_PAGE`` on the oldest that a time holds."""
+        place = f"if(abs(page_id) > {OLDEST_PAGE}, {OLDEST_PAGE}, page_id)"
         return self.table("pages").selectExpr(
             "page_id as id",
             "page_id % 10 as feed_id",
             "url as external_id",
             "regexp_extract(html, '<title>(.*?)</title>', 1) as title",
             "url",
-            """timestamp_ntz'2024-03-01 00:00:00' - make_dt_interval(0, 0, 0, page_id * page_id * 60.0)
+            f"""timestampadd(SECOND, -60 * {place} * {place}, timestamp_ntz'2024-03-01 00:00:00')
                 as inserted_at""",
             "'' as summary",
             "html as content",
