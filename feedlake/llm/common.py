@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.session import new_folder, settled
 
-__all__ = ["arrow_rows", "ascii_lower", "checked", "components", "discard", "hand_back", "new_folder", "partitions_for", "settled", "table"]
+__all__ = ["arrow_rows", "ascii_lower", "checked", "components", "discard", "forget_shuffles", "hand_back", "new_folder", "partitions_for", "settled", "settled_at", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows of one Arrow batch of whole texts; a batch of the longest known texts
@@ -63,7 +65,15 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def _settled(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def forget_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of frames that nothing refers to any more,
+    neither here nor in the JVM."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def settled_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A settled frame and its folder, for one that is discarded later."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
@@ -87,19 +97,19 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         .filter("a <> b")
         .distinct()
     )
-    now, path = _settled(pairs, name)
+    now, path = settled_at(pairs, name)
     for _ in range(rounds):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
-        large, large_path = _settled(large, name)
+        large, large_path = settled_at(large, name)
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_low, "a")
         small = small.select("a", F.col("m").alias("b")).unionAll(
             small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
-        after, after_path = _settled(small.distinct(), name)
+        after, after_path = settled_at(small.distinct(), name)
         stars = after.join(after.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty()
         same = stars and after.groupBy("a").count().filter("count > 1").isEmpty()
         discard(spark, path)

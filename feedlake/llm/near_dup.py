@@ -17,7 +17,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import arrow_rows, checked, components, hand_back, partitions_for, settled
+from feedlake.llm.common import (
+    arrow_rows,
+    checked,
+    components,
+    discard,
+    forget_shuffles,
+    hand_back,
+    new_folder,
+    partitions_for,
+    settled,
+    settled_at,
+)
 
 SHINGLE_WORDS = 2
 #: Sets are linked from this similarity on, in percent.
@@ -32,6 +43,11 @@ MANTISSA_BITS = 10
 MARGIN = 0.11
 #: Members of a band that one task compares at a time.
 BLOCK = 1024
+#: Members of bands that are dealt out at a time, so that only a few of the bands lie
+#: on the disks; of many sets one band at a time.
+ROUND_MEMBERS = 2_000_000
+#: The number of a band is the upper bits of its key.
+BAND_BITS = 6
 
 #: Rows that bands of one block share a group of, so that few are called for.
 BUNDLE = 8192
@@ -46,6 +62,8 @@ REMEMBERED = 20_000
 #: A list of up to so many documents is broadcast to where texts are read.
 WANTED_ROWS = 500_000
 
+USABLE = "id is not null and n_shingles > 0"
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -176,15 +194,45 @@ def _confirmed(percent: int):
     return similar
 
 
-def _sets_of(reps: DataFrame, classes: DataFrame, docs: DataFrame, size: int, columns: tuple[str, str]) -> DataFrame:
-    """(rep, digest, shingles) of the given classes: their texts are shingled
-    again; the sets of all documents are never stored."""
+def _sets_of(
+    reps: DataFrame, classes: DataFrame, docs: DataFrame, size: int, columns: tuple[str, str]
+) -> tuple[DataFrame, str]:
+    """(rep, digest, shingles) of the given classes, and their folder: their texts
+    are shingled again; the sets of all documents are never stored."""
     id_col, text_col = columns
     wanted = settled(reps.distinct().join(classes.select("rep", "digest"), "rep"), "near-wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     texts = texts.join(checked(wanted.select("rep").distinct(), WANTED_ROWS), "rep", "left_semi")
     sets = shingled(texts, size, "rep", "text", full=True).withColumnRenamed("id", "rep")
-    return settled(sets.join(wanted, ["rep", "digest"], "left_semi"), "near-sets").dropDuplicates(["rep", "digest"])
+    found, path = settled_at(sets.join(wanted, ["rep", "digest"], "left_semi"), "near-sets")
+    return found.dropDuplicates(["rep", "digest"]), path
+
+
+def _shared_bands(classes: DataFrame) -> DataFrame:
+    """(key, band, first, rep): the members of all bands that several classes share,
+    and the smallest of them."""
+    spark, count = classes.sparkSession, BUCKETS // BAND
+    path = new_folder(spark, "shingle-bands")
+    rounds = max(1, min(count, -(-classes.count() * count // ROUND_MEMBERS)))
+    for start in range(rounds):
+        keys = F.array(*[_band_key(i) for i in range(start, count, rounds)])
+        members = classes.select("rep", F.explode(keys).alias("key"))
+        # a band of one class only, whatever its texts, links nothing
+        firsts = members.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"))
+        several, several_path = settled_at(firsts.filter("first < last").select("key", "first"), "shingle-firsts")
+        band = F.shiftrightunsigned("key", 64 - BAND_BITS).cast("int").alias("band")
+        found = members.join(checked(several, WANTED_ROWS), "key").select("key", band, "first", "rep")
+        found.write.mode("append").parquet(path)
+        discard(spark, several_path)
+        forget_shuffles(spark)
+    return spark.read.schema("key long, band int, first long, rep long").parquet(path)
+
+
+def _band_key(number: int) -> Column:
+    """A hash of the band's registers below the band's number."""
+    registers = F.substring("sig", 2 * BAND * number + 1, 2 * BAND)
+    low = F.shiftrightunsigned(F.xxhash64(F.lit(number), registers), BAND_BITS)
+    return low.bitwiseOR(F.shiftleft(F.lit(number).cast("long"), 64 - BAND_BITS))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -224,22 +272,25 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     arrow_rows(spark)
-    rows = settled(shingled(docs, size, id_col, text_col), "shingles")
-    usable = rows.filter("id is not null and n_shingles > 0")
+    sketched, sketched_path = settled_at(shingled(docs, size, id_col, text_col), "shingles")
     # an id with several texts represents several classes: it links them anyway
-    first = usable.groupBy("digest").agg(F.min(F.struct("id", "sig")).alias("r"))
+    first = sketched.filter(USABLE).groupBy("digest").agg(F.min(F.struct("id", "sig")).alias("r"))
     classes = settled(first.select("digest", F.col("r.id").alias("rep"), F.col("r.sig").alias("sig")), "shingle-sets")
-
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.substring("sig", 2 * BAND * i + 1, 2 * BAND).alias("key")) for i in range(BUCKETS // BAND)])
-    members = classes.select("rep", F.explode(bands).alias("b")).select("rep", "b.band", F.xxhash64("b.band", "b.key").alias("key"))
-    firsts = members.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = settled(members.join(firsts.filter("n > 1"), "key").select("key", "band", "first", "rep"), "shingle-bands")
+    # from here on only classes need their registers
+    rows = settled(sketched.drop("sig"), "shingle-ids")
+    discard(spark, sketched_path)
+    forget_shuffles(spark)
+    usable = rows.filter(USABLE)
+    shared = _shared_bands(classes)
 
     least = percent / 100 - MARGIN
     pairs = shared.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     hopeful = _estimated(pairs, classes, least)
     ends = hopeful.select(F.explode(F.array("a", "b")).alias("rep"))
-    links = settled(_verified(hopeful, _sets_of(ends, classes, docs, size, (id_col, text_col)), percent), "near-links")
+    sets, sets_path = _sets_of(ends, classes, docs, size, (id_col, text_col))
+    links = settled(_verified(hopeful, sets, percent), "near-links")
+    discard(spark, sets_path)
+    forget_shuffles(spark)
     groups = settled(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), "near-groups"), "near-groups")
 
     # bands that the first comparison did not leave in one component
@@ -250,9 +301,11 @@ def near_duplicates(
     mixed = mixed.filter("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     unsettled = settled(placed.join(mixed, "key"), "near-mixed")
     bundles = partitions_for(spark, unsettled.count(), BUNDLE)
-    sets = _sets_of(unsettled.select("rep"), classes, docs, size, (id_col, text_col))
+    sets, _ = _sets_of(unsettled.select("rep"), classes, docs, size, (id_col, text_col))
+    forget_shuffles(spark)
     again = settled(_across(unsettled, classes, sets, least, percent, bundles), "near-candidates")
     sure = again.filter("sure").select("a", "b")
+    forget_shuffles(spark)
     # those tried before cannot link two components: they would be in one
     large = again.filter("not sure").select("a", "b").join(pairs, ["a", "b"], "left_anti")
     edges = links.unionAll(sure).unionAll(_verified(large, sets, percent)).select(F.col("a").alias("src"), F.col("b").alias("dst"))

@@ -21,10 +21,10 @@ customers, so that their contexts' totals come the same way.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,13 +32,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import arrow_rows, discard, new_folder, settled
+from feedlake.llm.common import arrow_rows, discard, forget_shuffles, new_folder, settled
 
 #: The context of the first token of a text.
 START = np.uint64(0)
 #: Tokens that one worker gathers before it sends them off.
 SLICE_TOKENS = 1_500_000
 SLICE_DOCS = 60_000
+#: Words that one worker remembers.
+KNOWN_WORDS = 300_000
+#: Texts are scored in so many rounds, of this many bytes of text at least, so that
+#: only one round's tokens lie on the disks at a time.
+ROUNDS = 3
+ROUND_BYTES = 64 << 20
 #: Bytes of text per bucket of words.
 BUCKET_BYTES = 14 << 20
 #: Words with about this share of a sample of the texts or more are dealt by word
@@ -54,16 +60,42 @@ FOLDS, HELD_OUT = 7, 2
 
 
 def pack(x: np.ndarray) -> bytes:
-    """An array of whole numbers in the fewest bytes each, its type first; all but
-    hashes as compressed planes of bytes."""
+    """An array of whole numbers in the fewest bytes each, its type first, as
+    compressed planes of bytes; ascending hashes as their steps."""
     small = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
     if small.itemsize == 8:
+        if len(small) > 1 and small.dtype.kind == "u" and (small[1:] > small[:-1]).all():
+            return b"+" + _pack_steps(small)
         return small.dtype.char.encode() + small.tobytes()
     planes = small.view(np.uint8).reshape(-1, small.itemsize).T.tobytes()
     return small.dtype.char.encode() + zlib.compress(planes, 1)
 
 
+def _pack_steps(ascending: np.ndarray) -> bytes:
+    """The first number, the width of a step in bytes, and the steps' planes: of
+    random hashes only the uppermost two are worth compressing."""
+    steps = (ascending[1:] - ascending[:-1]).astype("<u8")
+    width = -(-int(steps.max()).bit_length() // 8)
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    low = planes[: max(0, width - 2)].tobytes()
+    return ascending[:1].astype("<u8").tobytes() + bytes([width]) + len(steps).to_bytes(8, "little") + low + zlib.compress(planes[max(0, width - 2) :].tobytes(), 1)
+
+
+def _unpack_steps(raw: memoryview) -> np.ndarray:
+    width, n = raw[8], int.from_bytes(raw[9:17], "little")
+    plain = max(0, width - 2)
+    steps = np.zeros((n, 8), dtype=np.uint8)
+    steps[:, :plain] = np.frombuffer(raw, dtype=np.uint8, offset=17, count=plain * n).reshape(plain, n).T
+    steps[:, plain:width] = np.frombuffer(zlib.decompress(raw[17 + plain * n :]), dtype=np.uint8).reshape(width - plain, n).T
+    out = np.empty(n + 1, dtype=np.uint64)
+    out[0] = np.frombuffer(raw, dtype="<u8", count=1)[0]
+    out[1:] = steps.view("<u8").reshape(-1)
+    return np.cumsum(out, dtype=np.uint64)
+
+
 def unpack(raw: bytes) -> np.ndarray:
+    if raw[:1] == b"+":
+        return _unpack_steps(memoryview(raw)[1:])
     kind = np.dtype(chr(raw[0]))
     if kind.itemsize == 8:
         return np.frombuffer(raw, dtype=kind, offset=1)
@@ -77,15 +109,31 @@ def _end_hash() -> int:
     return xxhash.xxh64_intdigest(b"", seed=1)
 
 
+class _Numbers(dict):
+    """Words numbered from 1 on, as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self) + 1
+        return number
+
+
 class Tokens:
-    """Texts as hashes of their words, gathered in slices."""
+    """Texts as numbers of their words, gathered in slices."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
         self.end = _end_hash()
+        self.forget()
         self.clear()
 
+    def forget(self) -> None:
+        """The known words, and the hashes of those met in slices before; 0 is the end."""
+        self.known = _Numbers()
+        self.hashes = np.array([self.end], dtype=np.uint64)
+
     def clear(self) -> None:
+        # numbers of words hold for the whole slice
+        if len(self.known) > KNOWN_WORDS:
+            self.forget()
         self.parts: list[np.ndarray] = []
         self.sizes: list[int] = []
         self.ids: list = []
@@ -93,44 +141,61 @@ class Tokens:
         self.total = 0
 
     def add(self, doc_id, held_out: bool, text: str) -> None:
-        import xxhash
-
         words = text.encode("utf-8", "replace").lower().split()
-        known = self.known
-        if len(known) > 300_000:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        hashes = np.empty(len(words) + 1, dtype=np.uint64)
-        hashes[:-1] = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        hashes[-1] = self.end
-        self.parts.append(hashes)
-        self.sizes.append(len(hashes))
+        numbers = np.zeros(len(words) + 1, dtype=np.int32)
+        numbers[:-1] = np.fromiter(map(self.known.__getitem__, words), dtype=np.int32, count=len(words))
+        self.parts.append(numbers)
+        self.sizes.append(len(numbers))
         self.ids.append(doc_id)
         self.flags.append(held_out)
-        self.total += len(hashes)
+        self.total += len(numbers)
 
     @property
     def full(self) -> bool:
-        return self.total >= SLICE_TOKENS or len(self.sizes) >= SLICE_DOCS
+        return self.total >= SLICE_TOKENS or len(self.sizes) >= SLICE_DOCS or len(self.known) > KNOWN_WORDS
+
+    def vocabulary(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes of the slice's words, ascending, and each token's
+        place among them."""
+        import xxhash
 
-    def dealt(self, heavy: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        new = islice(self.known, len(self.hashes) - 1, None)
+        self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), dtype=np.uint64)])
+        numbers = np.concatenate(self.parts)
+        used = np.flatnonzero(np.bincount(numbers, minlength=len(self.hashes)))
+        hashes, at = np.unique(self.hashes[used], return_inverse=True)
+        place = np.empty(len(self.hashes), dtype=np.int64)
+        place[used] = at
+        return hashes, place[numbers]
+
+    def dealt(self, heavy: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Words, contexts and documents of all tokens by bucket, word and
-        context; and where each bucket begins and ends."""
-        vocabulary, ids = np.unique(np.concatenate(self.parts), return_inverse=True)
+        context, and where each bucket begins and ends.  A context is its place
+        among the hashes, which come last."""
+        vocabulary, ids = self.vocabulary()
         sizes = np.array(self.sizes)
         context = np.empty(len(ids), dtype=np.int64)
         context[1:] = ids[:-1] + 1
         context[np.cumsum(sizes) - sizes] = 0
-        order = (ids * (len(vocabulary) + 1) + context).argsort(kind="stable")
-        words = vocabulary[ids[order]]
-        contexts = np.concatenate([[START], vocabulary])[context[order]]
-        del ids, context
-        bucket = _bucket(words, contexts, heavy, buckets)
-        again = bucket.argsort(kind="stable")
+        order = _order(ids * (len(vocabulary) + 1) + context, (len(vocabulary) + 1) ** 2)
+        context, ids = context[order], ids[order]
+        words = vocabulary[ids]
+        # the start sorts before all words, whatever their hashes
+        hashes = np.concatenate([[START], vocabulary])
+        bucket = _bucket(words, hashes[context], heavy, buckets)
+        del ids
+        again = (bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket).argsort(kind="stable")
         edges = np.searchsorted(bucket[again], np.arange(buckets + 1))
-        return words[again], contexts[again], np.repeat(np.arange(len(sizes)), sizes)[order][again], edges
+        return words[again], context[again], np.repeat(np.arange(len(sizes)), sizes)[order][again], edges, hashes
+
+
+def _order(keys: np.ndarray, limit: int) -> np.ndarray:
+    """Stable order of keys from 0 to below ``limit``: sorted with their places in
+    the low bits where both fit, which is several times faster."""
+    bits = max(1, len(keys)).bit_length()
+    if limit.bit_length() + bits > 63:
+        return keys.argsort(kind="stable")
+    return np.sort(keys << bits | np.arange(len(keys))) & ((1 << bits) - 1)
 
 
 def _place(hashes: np.ndarray, places: int) -> np.ndarray:
@@ -172,12 +237,17 @@ def _firsts(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], new]))
 
 
-def _block(words: np.ndarray, contexts: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+def _block(words: np.ndarray, contexts: np.ndarray, hashes: np.ndarray | None = None) -> tuple[bytes, bytes, bytes, bytes]:
     """Rows sorted by word: the words, rows of each, the distinct contexts
-    ascending (heads), and each row's place among them."""
-    distinct, sizes = np.unique(words, return_counts=True)
+    ascending (heads), and each row's place among them.  With ``hashes``, contexts
+    are places in them."""
+    starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
     heads, at = np.unique(contexts, return_inverse=True)
-    return pack(distinct), pack(sizes), pack(heads), pack(at)
+    if hashes is not None:
+        # a word may hash to the start's number
+        heads, same = np.unique(hashes[heads], return_inverse=True)
+        at = same[at]
+    return pack(words[starts]), pack(np.diff(starts, append=len(words))), pack(heads), pack(at)
 
 
 def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +334,8 @@ def _common_words(rows: DataFrame, size: int) -> np.ndarray:
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for tokens in _slices(batches):
-            words, n = np.unique(np.concatenate(tokens.parts), return_counts=True)
+            words, at = tokens.vocabulary()
+            n = np.bincount(at)
             often = n >= n.sum() * HEAVY_SHARE / 4
             yield pd.DataFrame({"word": words[often].view(np.int64), "n": n[often], "total": n.sum()})
 
@@ -283,14 +354,14 @@ def counted(rows: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for tokens in _slices(batches):
-            words, contexts, doc, edges = tokens.dealt(heavy, buckets)
+            words, contexts, doc, edges, hashes = tokens.dealt(heavy, buckets)
             learned, out = ~np.array(tokens.flags, dtype=bool), []
             for b in range(buckets):
                 if edges[b] < edges[b + 1]:
                     w, c = words[edges[b] : edges[b + 1]], contexts[edges[b] : edges[b + 1]]
                     first = _firsts(w, c)
                     n = np.add.reduceat(learned[doc[edges[b] : edges[b + 1]]].astype(np.int64), first)
-                    out.append((b, *_block(w[first], c[first]), pack(n)))
+                    out.append((b, *_block(w[first], c[first], hashes), pack(n)))
             yield pd.DataFrame(out, columns=FIXED)
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
@@ -482,13 +553,7 @@ class Predictive:
 #: Rows of a negative slice are totals of contexts, sent from place -1 - slice.
 EVENTS = "bucket int, slice long, words binary, sizes binary, heads binary, contexts binary, docs binary, own array<binary>"
 PARTS = "slice long, docs binary, n binary, score binary, base binary"
-
-
-def _forget_shuffles(spark) -> None:
-    """Spark deletes the shuffle files of frames that nothing refers to any more,
-    neither here nor in the JVM."""
-    gc.collect()
-    spark._jvm.System.gc()
+SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -512,7 +577,7 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     path = new_folder(spark, "lm-seats")
     counted(rows, heavy, buckets).write.parquet(path)
     state = spark.read.schema(STATE).parquet(path)
-    _forget_shuffles(spark)
+    forget_shuffles(spark)
     rules = _rules(state, heavy)
     often = _HeavyPairs(state, rules)
     current, samples = _sample(state, rules, None, 0), []
@@ -521,7 +586,7 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         _sweep(state, buckets, rules, current, number, number > BURN_IN + 1).write.parquet(after)
         discard(spark, path)
         path, state = after, spark.read.schema(STATE).parquet(after)
-        _forget_shuffles(spark)
+        forget_shuffles(spark)
         current = _sample(state, rules, current, number)
         if number > BURN_IN:
             samples.append(current)
@@ -536,12 +601,13 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         context = TaskContext.get()
         place = context.partitionId() << 32
         for number, tokens in enumerate(_slices(batches)):
-            words, contexts, doc, edges = tokens.dealt(heavy, buckets)
+            words, contexts, doc, edges, hashes = tokens.dealt(heavy, buckets)
             at = np.full(len(words), -1)
             for i in range(len(heavy_words)):
                 first, last = edges[heavy_at[i]], edges[heavy_at[i] + 1]
                 begin, end = (first + np.searchsorted(words[first:last], heavy_words[i], side) for side in ("left", "right"))
-                lo, hi = (begin + np.searchsorted(contexts[begin:end], heavy_contexts[i], side) for side in ("left", "right"))
+                places = (np.searchsorted(hashes, heavy_contexts[i], side) for side in ("left", "right"))
+                lo, hi = (begin + np.searchsorted(contexts[begin:end], x) for x in places)
                 at[lo:hi] = i
             found = at >= 0
             n = len(tokens.sizes)
@@ -564,7 +630,7 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for b in range(buckets):
                 rest = edges[b] + np.flatnonzero(~found[edges[b] : edges[b + 1]])
                 if len(rest):
-                    block = dict(zip(("words", "sizes", "heads", "contexts"), _block(words[rest], contexts[rest]), strict=True))
+                    block = dict(zip(("words", "sizes", "heads", "contexts"), _block(words[rest], contexts[rest], hashes), strict=True))
                     out.append({"bucket": b, "slice": place + number, "docs": pack(doc[rest]), "own": None, **block})
             yield pd.DataFrame(out, columns=names)
 
@@ -623,15 +689,22 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     none = [F.lit(None).cast("binary").alias(c) for c in ("words", "sizes", "heads", "contexts", "docs")]
     totals = _context_totals(state, buckets).select("bucket", (-1 - F.col("place").cast("long")).alias("slice"), *none, "own")
-    sent = rows.mapInPandas(events, EVENTS).unionAll(totals)
+    totals = settled(totals, "lm-totals")
+    forget_shuffles(spark)
     own = state.select(*FIXED, "tables", "parents", "totals", "own")
     # header rows have no bucket of their own: any place will do
     place = F.when(F.col("bucket") < 0, -1 - F.pmod("slice", F.lit(buckets))).otherwise(F.col("bucket")).cast("int").alias("place")
-    parts = sent.withColumn("place", place).groupBy("place").cogroup(own.withColumnRenamed("bucket", "place").groupBy("place"))
-    added = parts.applyInPandas(judge, PARTS).groupBy("slice").applyInPandas(
-        add_up, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    )
-    return added.select(
+    rounds = max(1, min(ROUNDS, size // ROUND_BYTES))
+    scored = new_folder(spark, "lm-scores")
+    for number in range(rounds):
+        mine = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(rounds)) == number) if rounds > 1 else rows
+        sent = mine.mapInPandas(events, EVENTS).unionAll(totals)
+        parts = sent.withColumn("place", place).groupBy("place").cogroup(own.withColumnRenamed("bucket", "place").groupBy("place"))
+        parts.applyInPandas(judge, PARTS).groupBy("slice").applyInPandas(add_up, SCORES).write.mode("append").parquet(scored)
+        del sent, parts
+        forget_shuffles(spark)
+    discard(spark, path)
+    return spark.read.schema(SCORES).parquet(scored).select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",

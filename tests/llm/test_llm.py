@@ -152,6 +152,18 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, held):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == linked(rows)
 
 
+def test_near_duplicates_bands_in_rounds(spark, monkeypatch):
+    """Bands are dealt out a few at a time; every one is looked at, whatever the rounds."""
+    rows = [(i, f"shared {' '.join(f'g{i // 4}w{x}' for x in range(40))} own{i}") for i in range(60)]
+    classes = near_dup.shingled(documents(spark, *rows), 2, "doc_id", "text").withColumnRenamed("id", "rep")
+    once = near_dup._shared_bands(classes).collect()
+    monkeypatch.setattr(near_dup, "ROUND_MEMBERS", 900)
+    assert sorted(near_dup._shared_bands(classes).collect()) == sorted(once)
+    assert {r.band for r in once} == set(range(near_dup.BUCKETS // near_dup.BAND))
+    got = near_dup.near_duplicates(documents(spark, *rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == linked(rows)
+
+
 def test_near_duplicates_odd_rows(spark):
     got = near_dup.near_duplicates(documents(spark, *ODD)).collect()
     assert len(got) == len(ODD)
@@ -283,6 +295,25 @@ def test_context_totals_against_counts(spark, folder):
     assert set(want) <= seen and len(seen) > 4096 and len(heavy)
 
 
+def test_ascending_hashes_are_packed_as_steps():
+    rng = np.random.default_rng(5)
+    for x in (rng.integers(0, 1 << 64, 20_000, dtype=np.uint64), np.array([0, 1 << 63, (1 << 64) - 1], np.uint64)):
+        x = np.unique(x)
+        assert np.array_equal(pitman_yor.unpack(pitman_yor.pack(x)), x)
+    assert len(pitman_yor.pack(np.unique(rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)))) < 7 * 20_000
+
+
+def test_scores_do_not_depend_on_rounds(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    once = pitman_yor.text_scores(docs).collect()
+    monkeypatch.setattr(pitman_yor, "ROUND_BYTES", 1)
+    again = {r.doc_id: r for r in pitman_yor.text_scores(docs).collect()}
+    assert len(again) == len(once)
+    for r in once:
+        assert again[r.doc_id][1:5] == r[1:5]
+        assert again[r.doc_id].score == pytest.approx(r.score) and again[r.doc_id].base_score == pytest.approx(r.base_score)
+
+
 def test_seating_bounds():
     rng = np.random.default_rng(0)
     customers = np.array([0, 1, 2, 40, 100_000])
