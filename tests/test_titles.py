@@ -7,9 +7,11 @@ import re
 from collections import Counter
 
 import small
+import pytest
 from conftest import at
 from feedlake.functions.text import DEFAULT_STOP_WORDS
 from feedlake.operators import titles, topics
+from pyspark.sql import functions as F
 
 
 def index(spark, *texts, **kw):
@@ -112,3 +114,17 @@ def test_words_sliding(spark):
     assert got[(0, 1, "alpha")] == 2
     assert got[(22, 31, "alpha")] == 1 and got[(2, 1, "alpha")] == 1
     assert {k for k in got if k[2] == "beta"} == {(0, 1, "beta"), (1, 1, "beta"), (2, 1, "beta")}
+
+
+@pytest.mark.parametrize("length, slide, kind", [("24 hours", "6 hours", "timestamp_ntz"), ("3 hours", "1 hour", "timestamp"), ("90 seconds", "90 seconds", "timestamp_ntz")])
+def test_words_sliding_across_blocks(spark, length, slide, kind):
+    """One shuffle of texts' words, and the windows that Spark's own function deals out."""
+    times = [None, *(f"{d} {h}:00:01.5" for d in ("1969-12-31", "1970-01-01", "2024-02-28", "2024-02-29", "2024-03-01", "2024-03-04") for h in ("00", "05", "06", "23"))]
+    rows = [(i, t, f"river river stone{i % 3} x") for i, t in enumerate(times)] + [(99, "2024-03-01 01:00:00", None)]
+    items = spark.createDataFrame(rows, "id long, inserted_at string, title string").withColumn("inserted_at", F.col("inserted_at").cast(kind))
+    got = titles.words_sliding(items, length, slide)
+    plain = items.filter("title is not null").select(F.explode(F.array(F.lit("river"), F.lit("river"))).alias("word"), "inserted_at")
+    want = plain.groupBy(F.window("inserted_at", length, slide).alias("w")).count().select("w.start", "w.end", F.lit("river"), "count")
+    assert sorted(map(tuple, got.filter("word = 'river'").collect())) == sorted(map(tuple, want.collect()))
+    assert [f.dataType.typeName() for f in got.schema][:2] == [kind] * 2
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
