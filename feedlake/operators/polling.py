@@ -285,6 +285,7 @@ def complete_batch(
     keys: KeyStore | None = None,
     state: CadenceState | None = None,
     batch_id: int | None = None,
+    once: bool = False,
 ) -> Completion:
     """Validate leases, number new entries, refresh cadence, reschedule.
 
@@ -296,13 +297,20 @@ def complete_batch(
     With ``keys`` and ``state`` (as they were before ``batch_id``) stored items
     and details are not read: known entries come from the keys' filters, the
     cadence of the polled feeds from their days.
+
+    ``once`` settles new items, new details and the feeds too, for callers that
+    write them all: each is computed a single time, whatever builds on it.
     """
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        return settled(rows, name) if once else rows
+
     accepted = settled(accepted_outcomes(outcomes, queue, now), "accepted")
     bodies = accepted.filter(F.col("outcome") == FETCHED).select("feed_id", F.col("seq").alias("outcome_seq"))
-    body_entries = entries.join(bodies, ["feed_id", "outcome_seq"], "left_semi")
+    body_entries = kept(entries.join(bodies, ["feed_id", "outcome_seq"], "left_semi"), "body-entries")
     numbers = settled(ingest.number_new(body_entries, items if keys is None else keys, batch_id), "numbers")
-    fresh_items = ingest.new_items(body_entries, numbers, now)
-    fresh_details = ingest.new_details(body_entries, numbers, now)
+    fresh_items = kept(ingest.new_items(body_entries, numbers, now), "new-items")
+    fresh_details = kept(ingest.new_details(body_entries, numbers, now), "new-details")
     polled = accepted.filter(F.col("outcome") == FETCHED).select(F.col("feed_id").alias("id"))
     if state is None:
         # gaps of unpolled feeds are asked for by nobody
@@ -310,7 +318,7 @@ def complete_batch(
         cadences = cadence(theirs.unionByName(fresh_items), details.unionByName(fresh_details), polled)
     else:
         cadences = state.cadence(polled, fresh_items, fresh_details, batch_id)
-    feeds_after = apply_to_feeds(feeds, accepted, ingest.ingest_summary(fresh_items), cadences)
+    feeds_after = kept(apply_to_feeds(feeds, accepted, ingest.ingest_summary(fresh_items), cadences), "feeds-after")
     return Completion(
         items=fresh_items,
         details=fresh_details,
@@ -354,6 +362,7 @@ def complete_stored_batch(outcomes: DataFrame, entries: DataFrame, store: TableS
         store.keys(batch_id),
         store.cadence_state(batch_id),
         batch_id,
+        once=True,
     )
     store_completion(done, store, batch_id)
     return done

@@ -175,7 +175,10 @@ class Given:
 
     @cached_property
     def stored_details(self) -> DataFrame:
-        ids = self.stored_items.select(F.col("id").alias("feed_item_id"))
+        return self._details_of(self.stored_items)
+
+    def _details_of(self, items: DataFrame) -> DataFrame:
+        ids = items.select(F.col("id").alias("feed_item_id"))
         return self.details.join(ids, "feed_item_id", "left_semi").select("id", "feed_item_id", *DETAIL_COLUMNS)
 
     @cached_property
@@ -467,10 +470,12 @@ class Given:
             return rows.select(*[F.col(c).cast("timestamp").alias(c) if c.endswith("_at") or c == "lease_expires_at" else c for c in rows.columns])
 
         store = TableStore(self.spark, self.new_folder("store"))
+        stored = settled(instants(self.stored_items), "stored-items")
+        details = self._details_of(stored)
         for batch in (0, 1):
             mine = F.col("id") % 2 == batch
-            items = settled(instants(self.stored_items).filter(mine), "stored-items")
-            store.append("feed_item_details", instants(self.stored_details).filter(mine), batch)
+            items = stored.filter(mine)
+            store.append("feed_item_details", instants(details).filter(mine), batch)
             store.append("feed_items", items, batch)
             store.keys(batch).append(items, batch)
         store.write_snapshot("feeds", instants(self.feeds), 1)
