@@ -110,3 +110,24 @@ def test_a_batch_from_and_to_the_store(spark, tmp_path):
     # the next batch knows what this one stored
     feed_one = feeds.filter("id = 1")
     assert plain(store.cadence_state(3).cadence(feed_one)) == plain(cadence.cadence(store.read("feed_items"), store.read("feed_item_details"), feed_one))
+
+
+def test_a_stored_batch_computes_its_rows_once(spark, tmp_path):
+    """Four tables are written from the entries; a column that counts them says once."""
+    now = at("2024-03-09T00:00:00")
+    when = now.isoformat()
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(title):
+        seen.add(1)
+        return title
+
+    store = TableStore(spark, str(tmp_path / "store"))
+    store.write_snapshot("feeds", small.feeds(spark, (1, {})), 1)
+    store.write_snapshot("feed_update_queue", small.queue(spark, (1, when, "2024-03-10T00:00:00", "t1", 1)), 1)
+    new = small.entries(spark, *[(1, 10 + i, f"e{i}", {}) for i in range(5)]).withColumn("outcome_seq", F.lit(1).cast("long"))
+    polls = small.outcomes(spark, (1, 1, "t1", when, "fetched", {}))
+    polling.complete_stored_batch(polls, new.withColumn("title", counted.asNondeterministic()("title")), store, F.lit(now), 2)
+    assert store.read("feed_items").count() == 5
+    assert seen.value == 5
