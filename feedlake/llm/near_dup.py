@@ -197,15 +197,18 @@ def _confirmed(percent: int):
 def _sets_of(
     reps: DataFrame, classes: DataFrame, docs: DataFrame, size: int, columns: tuple[str, str]
 ) -> tuple[DataFrame, str]:
-    """(rep, digest, shingles) of the given classes, and their folder: their texts
-    are shingled again; the sets of all documents are never stored."""
+    """(rep, digest, shingles) of the given classes, each once, and their folder: their
+    texts are shingled again; the sets of all documents are never stored."""
+    spark = docs.sparkSession
     id_col, text_col = columns
     wanted = settled(reps.distinct().join(classes.select("rep", "digest"), "rep"), "near-wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     texts = texts.join(checked(wanted.select("rep").distinct(), WANTED_ROWS), "rep", "left_semi")
     sets = shingled(texts, size, "rep", "text", full=True).withColumnRenamed("id", "rep")
-    found, path = settled_at(sets.join(wanted, ["rep", "digest"], "left_semi"), "near-sets")
-    return found.dropDuplicates(["rep", "digest"]), path
+    asked = sets.join(checked(wanted, WANTED_ROWS), ["rep", "digest"], "left_semi")
+    found, path = settled_at(asked.dropDuplicates(["rep", "digest"]), "near-sets")
+    forget_shuffles(spark)
+    return found, path
 
 
 def _shared_bands(classes: DataFrame) -> DataFrame:
@@ -301,9 +304,11 @@ def near_duplicates(
     mixed = mixed.filter("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     unsettled = settled(placed.join(mixed, "key"), "near-mixed")
     bundles = partitions_for(spark, unsettled.count(), BUNDLE)
-    sets, _ = _sets_of(unsettled.select("rep"), classes, docs, size, (id_col, text_col))
+    # sets are large: only those travel that some other's registers leave hope for
+    members = settled(_hopeful_members(_dealt(unsettled, bundles), classes, least), "near-members")
     forget_shuffles(spark)
-    again = settled(_across(unsettled, classes, sets, least, percent, bundles), "near-candidates")
+    sets, _ = _sets_of(members.select("rep"), classes, docs, size, (id_col, text_col))
+    again = settled(_across(members, classes, sets, least, percent), "near-candidates")
     sure = again.filter("sure").select("a", "b")
     forget_shuffles(spark)
     # those tried before cannot link two components: they would be in one
@@ -335,18 +340,16 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     )
 
 
-def _across(placed: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int, bundles: int) -> DataFrame:
-    """Pairs (a, b, sure) of different components within a band, a < b: links by
-    their full sets (sure), and candidates with a set of over ``HELD`` shingles.
+def _dealt(placed: DataFrame, bundles: int) -> DataFrame:
+    """Members of bands dealt to groups (bundle, x, y).
 
     A band of many members is split into blocks of about ``BLOCK``; each pair of
     blocks is one group, so that no task holds more than two of them.  Bands of
-    one block are dealt to ``bundles`` groups.  A pair is examined in the first
-    band that it shares, and nowhere else.
+    one block are dealt to ``bundles`` groups.
     """
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     spread = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select(
+    return spread.select(
         "key",
         F.when(F.col("blocks") == 1, F.pmod("key", F.lit(bundles))).otherwise(F.col("key")).alias("bundle"),
         "band",
@@ -356,41 +359,77 @@ def _across(placed: DataFrame, classes: DataFrame, sets: DataFrame, least: float
         F.least("own", "other").alias("x"),
         F.greatest("own", "other").alias("y"),
     )
+
+
+def _classes_of(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, digest, sig) of the classes that the members stand for."""
+    reps = settled(members.select("rep").distinct(), "near-asked")
+    return classes.join(checked(reps, WANTED_ROWS), "rep", "left_semi").select("rep", "digest", "sig")
+
+
+def _candidates(rows: pd.DataFrame, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Within the bands of a group (rows in order of key): the place of a member and the
+    places of those of larger rep and another component that the registers leave hope for.
+    A pair is met in the first band that it shares, and nowhere else."""
+    sigs = np.frombuffer(b"".join(rows["sig"]), dtype="<u2").reshape(len(rows), -1)
+    keys, reps, cs, owns, bands = (rows[x].to_numpy() for x in ("key", "rep", "c", "own", "band"))
+    mixed = len(rows) and rows["x"].iloc[0] != rows["y"].iloc[0]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist()
+    for low, high in zip(starts, [*starts[1:], len(rows)], strict=True):
+        rep, c, own, sig = reps[low:high], cs[low:high], owns[low:high], sigs[low:high]
+        number = int(bands[low])
+        before = sig[:, : BAND * number].reshape(len(sig), number, BAND)
+        for i in range(len(rep)):
+            rest = np.flatnonzero((c != c[i]) & (rep > rep[i]) & ((own != own[i]) if mixed else True))
+            if len(rest):
+                rest = rest[estimate(sig[rest], sig[i]) >= least]
+            if len(rest) and number:
+                rest = rest[~(before[rest] == before[i]).all(axis=2).any(axis=1)]
+            if len(rest):
+                yield low + i, low + rest
+
+
+def _hopeful_members(dealt: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The dealt members, with the digests of their classes, that are in any candidate pair."""
+    signed = dealt.join(_classes_of(dealt, classes), "rep")
+    kept = ["key", "bundle", "band", "rep", "c", "own", "x", "y", "digest"]
+
+    def hopeful(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("key", kind="stable")
+        found = np.zeros(len(rows), bool)
+        for i, rest in _candidates(rows, least):
+            found[i] = True
+            found[rest] = True
+        return rows.loc[found, kept]
+
+    shape = "key long, bundle long, band int, rep long, c long, own int, x int, y int, digest binary"
+    return signed.groupBy("bundle", "x", "y").applyInPandas(hopeful, shape)
+
+
+def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Pairs (a, b, sure) of different components within a band, a < b: links by
+    their full sets (sure), and candidates with a set of over ``HELD`` shingles."""
     held = F.when(F.octet_length("shingles") <= 8 * HELD, F.col("shingles")).alias("held")
-    asked = classes.join(checked(settled(placed.select("rep").distinct(), "near-asked"), WANTED_ROWS), "rep", "left_semi")
-    known = asked.select("rep", "digest", "sig").join(sets.select("rep", "digest", held), ["rep", "digest"])
-    signed = spread.join(known.drop("digest"), "rep")
+    known = _classes_of(members, classes).join(sets.select("rep", "digest", held), ["rep", "digest"])
+    signed = members.join(known, ["rep", "digest"])
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key", kind="stable")
-        sigs = np.frombuffer(b"".join(rows["sig"]), dtype="<u2").reshape(len(rows), -1)
-        keys, reps, cs, owns, bands = (rows[x].to_numpy() for x in ("key", "rep", "c", "own", "band"))
-        mixed = len(rows) and rows["x"].iloc[0] != rows["y"].iloc[0]
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist()
+        reps = rows["rep"].to_numpy()
         full = [None if x is None else np.frombuffer(x, dtype="<u8") for x in rows["held"]]
         large = np.array([x is None for x in full], dtype=bool)
         a, b, sure = [], [], []
-        for low, high in zip(starts, [*starts[1:], len(rows)], strict=True):
-            rep, c, own, sig = reps[low:high], cs[low:high], owns[low:high], sigs[low:high]
-            number = int(bands[low])
-            before = sig[:, : BAND * number].reshape(len(sig), number, BAND)
-            for i in range(len(rep)):
-                rest = np.flatnonzero((c != c[i]) & (rep > rep[i]) & ((own != own[i]) if mixed else True))
-                if len(rest):
-                    rest = rest[estimate(sig[rest], sig[i]) >= least]
-                if len(rest) and number:
-                    rest = rest[~(before[rest] == before[i]).all(axis=2).any(axis=1)]
-                if len(rest):
-                    known = np.zeros(len(rest), bool) if large[low + i] else ~large[low + rest]
-                    linked = ~known
-                    if known.any():
-                        own_set, others = full[low + i], [full[low + j] for j in rest[known]]
-                        both = _shared_shingles(own_set, others)
-                        union = len(own_set) + np.array([len(x) for x in others]) - both
-                        linked[known] = 100 * both >= percent * union
-                    a.append(np.full(int(linked.sum()), rep[i]))
-                    b.append(rep[rest[linked]])
-                    sure.append(known[linked])
+        for i, rest in _candidates(rows, least):
+            known = np.zeros(len(rest), bool) if large[i] else ~large[rest]
+            linked = ~known
+            if known.any():
+                own_set, others = full[i], [full[j] for j in rest[known]]
+                both = _shared_shingles(own_set, others)
+                union = len(own_set) + np.array([len(x) for x in others]) - both
+                linked[known] = 100 * both >= percent * union
+            a.append(np.full(int(linked.sum()), reps[i]))
+            b.append(reps[rest[linked]])
+            sure.append(known[linked])
         none = np.zeros(0, dtype="int64")
         certain = np.concatenate([none.astype(bool), *sure])
         return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b]), "sure": certain})

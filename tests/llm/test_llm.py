@@ -164,6 +164,25 @@ def test_near_duplicates_bands_in_rounds(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == linked(rows)
 
 
+def test_near_duplicates_sets_only_where_registers_leave_hope(spark, monkeypatch):
+    """Alike documents share bands, but those that no other comes near need no sets there."""
+    common = " ".join(f"c{x}" for x in range(30))
+    rows = [(i, f"{common} {' '.join(f'o{i}w{x}' for x in range(12))}") for i in range(40)]
+    rows += [(100 + i, f"{rows[7][1]} end{i}") for i in range(5)]
+    asked, sets_of = [], near_dup._sets_of
+
+    def spied(reps, *rest):
+        asked.append({r.rep for r in reps.collect()})
+        found = sets_of(reps, *rest)
+        assert found[0].count() == len(asked[-1])
+        return found
+
+    monkeypatch.setattr(near_dup, "_sets_of", spied)
+    got = near_dup.near_duplicates(documents(spark, *rows, *rows[:3])).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == linked(rows)
+    assert len(asked) == 2 and not asked[1] & (set(range(40)) - {7})
+
+
 def test_near_duplicates_odd_rows(spark):
     got = near_dup.near_duplicates(documents(spark, *ODD)).collect()
     assert len(got) == len(ODD)
