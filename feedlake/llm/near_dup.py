@@ -194,18 +194,16 @@ def _confirmed(percent: int):
     return similar
 
 
-def _sets_of(
-    reps: DataFrame, classes: DataFrame, docs: DataFrame, size: int, columns: tuple[str, str]
-) -> tuple[DataFrame, str]:
-    """(rep, digest, shingles) of the given classes, each once, and their folder: their
-    texts are shingled again; the sets of all documents are never stored."""
+def _sets_of(wanted: DataFrame, docs: DataFrame, size: int, columns: tuple[str, str]) -> tuple[DataFrame, str]:
+    """(rep, digest, shingles) of the given classes (rep, digest), each once, and their
+    folder: their texts are shingled again; the sets of all documents are never stored."""
     spark = docs.sparkSession
     id_col, text_col = columns
-    wanted = settled(reps.distinct().join(classes.select("rep", "digest"), "rep"), "near-wanted")
+    wanted = checked(wanted, WANTED_ROWS)
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    texts = texts.join(checked(wanted.select("rep").distinct(), WANTED_ROWS), "rep", "left_semi")
+    texts = texts.join(wanted.select("rep"), "rep", "left_semi")
     sets = shingled(texts, size, "rep", "text", full=True).withColumnRenamed("id", "rep")
-    asked = sets.join(checked(wanted, WANTED_ROWS), ["rep", "digest"], "left_semi")
+    asked = sets.join(wanted, ["rep", "digest"], "left_semi")
     found, path = settled_at(asked.dropDuplicates(["rep", "digest"]), "near-sets")
     forget_shuffles(spark)
     return found, path
@@ -290,7 +288,8 @@ def near_duplicates(
     pairs = shared.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     hopeful = _estimated(pairs, classes, least)
     ends = hopeful.select(F.explode(F.array("a", "b")).alias("rep"))
-    sets, sets_path = _sets_of(ends, classes, docs, size, (id_col, text_col))
+    wanted = settled(ends.distinct().join(classes.select("rep", "digest"), "rep"), "near-wanted")
+    sets, sets_path = _sets_of(wanted, docs, size, (id_col, text_col))
     links = settled(_verified(hopeful, sets, percent), "near-links")
     discard(spark, sets_path)
     forget_shuffles(spark)
@@ -307,8 +306,8 @@ def near_duplicates(
     # sets are large: only those travel that some other's registers leave hope for
     members = settled(_hopeful_members(_dealt(unsettled, bundles), classes, least), "near-members")
     forget_shuffles(spark)
-    sets, _ = _sets_of(members.select("rep"), classes, docs, size, (id_col, text_col))
-    again = settled(_across(members, classes, sets, least, percent), "near-candidates")
+    sets, _ = _sets_of(members.select("rep", "digest").distinct(), docs, size, (id_col, text_col))
+    again = settled(_across(members, sets, least, percent), "near-candidates")
     sure = again.filter("sure").select("a", "b")
     forget_shuffles(spark)
     # those tried before cannot link two components: they would be in one
@@ -361,12 +360,6 @@ def _dealt(placed: DataFrame, bundles: int) -> DataFrame:
     )
 
 
-def _classes_of(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rep, digest, sig) of the classes that the members stand for."""
-    reps = settled(members.select("rep").distinct(), "near-asked")
-    return classes.join(checked(reps, WANTED_ROWS), "rep", "left_semi").select("rep", "digest", "sig")
-
-
 def _candidates(rows: pd.DataFrame, least: float) -> Iterator[tuple[int, np.ndarray]]:
     """Within the bands of a group (rows in order of key): the place of a member and the
     places of those of larger rep and another component that the registers leave hope for.
@@ -390,9 +383,11 @@ def _candidates(rows: pd.DataFrame, least: float) -> Iterator[tuple[int, np.ndar
 
 
 def _hopeful_members(dealt: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """The dealt members, with the digests of their classes, that are in any candidate pair."""
-    signed = dealt.join(_classes_of(dealt, classes), "rep")
-    kept = ["key", "bundle", "band", "rep", "c", "own", "x", "y", "digest"]
+    """The dealt members, with digests and registers of their classes, that are in any
+    candidate pair."""
+    asked = classes.join(checked(dealt.select("rep").distinct(), WANTED_ROWS), "rep", "left_semi")
+    signed = dealt.join(asked.select("rep", "digest", "sig"), "rep")
+    kept = ["key", "bundle", "band", "rep", "c", "own", "x", "y", "digest", "sig"]
 
     def hopeful(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key", kind="stable")
@@ -402,16 +397,15 @@ def _hopeful_members(dealt: DataFrame, classes: DataFrame, least: float) -> Data
             found[rest] = True
         return rows.loc[found, kept]
 
-    shape = "key long, bundle long, band int, rep long, c long, own int, x int, y int, digest binary"
+    shape = "key long, bundle long, band int, rep long, c long, own int, x int, y int, digest binary, sig binary"
     return signed.groupBy("bundle", "x", "y").applyInPandas(hopeful, shape)
 
 
-def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+def _across(members: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
     """Pairs (a, b, sure) of different components within a band, a < b: links by
     their full sets (sure), and candidates with a set of over ``HELD`` shingles."""
     held = F.when(F.octet_length("shingles") <= 8 * HELD, F.col("shingles")).alias("held")
-    known = _classes_of(members, classes).join(sets.select("rep", "digest", held), ["rep", "digest"])
-    signed = members.join(known, ["rep", "digest"])
+    signed = members.join(sets.select("rep", "digest", held), ["rep", "digest"])
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key", kind="stable")

@@ -171,9 +171,9 @@ def test_near_duplicates_sets_only_where_registers_leave_hope(spark, monkeypatch
     rows += [(100 + i, f"{rows[7][1]} end{i}") for i in range(5)]
     asked, sets_of = [], near_dup._sets_of
 
-    def spied(reps, *rest):
-        asked.append({r.rep for r in reps.collect()})
-        found = sets_of(reps, *rest)
+    def spied(wanted, *rest):
+        asked.append({r.rep for r in wanted.collect()})
+        found = sets_of(wanted, *rest)
         assert found[0].count() == len(asked[-1])
         return found
 
