@@ -43,6 +43,9 @@ MANTISSA_BITS = 10
 MARGIN = 0.11
 #: Members of a band that one task compares at a time.
 BLOCK = 1024
+#: Blocks that either side of a band is split into at most: beyond, blocks grow, so that
+#: a member is sent to a bounded number of tasks, however many the band has.
+MOST_BLOCKS = 4
 #: Members of bands that are dealt out at a time, so that only a few of the bands lie
 #: on the disks; of many sets one band at a time.
 ROUND_MEMBERS = 2_000_000
@@ -264,8 +267,8 @@ def near_duplicates(
     shingle sets; component_id is the smallest id reachable over links.  Equal
     sets are one class, represented by their smallest id, so copies never meet in
     pairs.  Within a band every class is compared with the band's first; then,
-    only where a band still holds several components, classes of different
-    components are compared in blocks.  No band is cut or skipped.
+    only where a band still holds several components, the classes outside its largest
+    one are compared in blocks with all of other components.  No band is cut or skipped.
 
     Documents without words (null or empty text) have no shingle and are their own
     component.  Rows with a null id are linked with nothing: component_id is null
@@ -299,12 +302,13 @@ def near_duplicates(
     placed = shared.join(groups, shared["rep"] == groups["node"], "left").select(
         "key", "band", "rep", F.coalesce("component", "rep").alias("c")
     )
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.filter("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    unsettled = settled(placed.join(mixed, "key"), "near-mixed")
+    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    unsettled = settled(placed.join(mixed.filter("low <> high").select("key"), "key"), "near-mixed")
     bundles = partitions_for(spark, unsettled.count(), BUNDLE)
     # sets are large: only those travel that some other's registers leave hope for
-    members = settled(_hopeful_members(_dealt(unsettled, bundles), classes, least), "near-members")
+    asked = settled(unsettled.select("rep").distinct(), "near-mixed-reps")
+    signed = classes.join(checked(asked, WANTED_ROWS), "rep", "left_semi")
+    members = settled(_hopeful_members(_dealt(unsettled, bundles), signed, least), "near-members")
     forget_shuffles(spark)
     sets, _ = _sets_of(members.select("rep", "digest").distinct(), docs, size, (id_col, text_col))
     again = settled(_across(members, sets, least, percent), "near-candidates")
@@ -339,21 +343,46 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     )
 
 
-def _dealt(placed: DataFrame, bundles: int) -> DataFrame:
-    """Members of bands dealt to groups (bundle, x, y).
+def _dealt(unsettled: DataFrame, bundles: int) -> DataFrame:
+    """Members of mixed bands dealt to groups (bundle, x, y); ``main`` are those of the
+    band's largest component, which need not meet each other.
 
-    A band of many members is split into blocks of about ``BLOCK``; each pair of
-    blocks is one group, so that no task holds more than two of them.  Bands of
-    one block are dealt to ``bundles`` groups.
+    A band of more than ``BLOCK`` members is split into blocks of the others and blocks
+    of the main ones, of about ``BLOCK`` members and at most ``MOST_BLOCKS`` of either.
+    Each pair of blocks is one group, except pairs of main ones.  So a member goes to at
+    most 2 * ``MOST_BLOCKS`` groups, and a main one beside few others to one.  Smaller
+    bands are dealt to ``bundles`` groups.
     """
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    spread = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = unsettled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    bands = sizes.groupBy("key").agg(
+        F.max_by("c", F.struct("n", "c")).alias("largest"), F.max("n").alias("m"), F.sum("n").alias("n")
+    )
+    blocks = lambda n: F.least(F.ceil(n / BLOCK), F.lit(MOST_BLOCKS)).cast("int")
+    split = F.col("n") > BLOCK
+    bands = bands.select(
+        "key",
+        "largest",
+        F.when(split, blocks(F.col("n") - F.col("m"))).otherwise(1).alias("few"),
+        F.when(split, blocks(F.col("m"))).otherwise(0).alias("many"),
+    )
+    bands = checked(settled(bands, "near-mixed-bands"), WANTED_ROWS)
+    main, few, many, number = F.col("main"), F.col("few"), F.col("many"), F.xxhash64("rep")
+    in_main = few + F.pmod(number, F.greatest(many, F.lit(1)))
+    own = F.when(many == 0, 0).when(main, in_main).otherwise(F.pmod(number, few)).cast("int")
+    last = F.when(main, few).otherwise(few + many) - 1
+    spread = (
+        unsettled.join(bands, "key")
+        .withColumn("main", F.col("c") == F.col("largest"))
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    )
     return spread.select(
         "key",
-        F.when(F.col("blocks") == 1, F.pmod("key", F.lit(bundles))).otherwise(F.col("key")).alias("bundle"),
+        F.when(many == 0, F.pmod("key", F.lit(bundles))).otherwise(F.col("key")).alias("bundle"),
         "band",
         "rep",
         "c",
+        "main",
         "own",
         F.least("own", "other").alias("x"),
         F.greatest("own", "other").alias("y"),
@@ -361,33 +390,37 @@ def _dealt(placed: DataFrame, bundles: int) -> DataFrame:
 
 
 def _candidates(rows: pd.DataFrame, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """Within the bands of a group (rows in order of key): the place of a member and the
-    places of those of larger rep and another component that the registers leave hope for.
-    A pair is met in the first band that it shares, and nowhere else."""
+    """Within the bands of a group (rows in order of key): the place of a member outside
+    the main component and the places of those of another component that the registers
+    leave hope for.  A pair is met once, in the first band that it shares."""
     sigs = np.frombuffer(b"".join(rows["sig"]), dtype="<u2").reshape(len(rows), -1)
-    keys, reps, cs, owns, bands = (rows[x].to_numpy() for x in ("key", "rep", "c", "own", "band"))
+    keys, reps, cs, mains, owns, bands = (rows[x].to_numpy() for x in ("key", "rep", "c", "main", "own", "band"))
     mixed = len(rows) and rows["x"].iloc[0] != rows["y"].iloc[0]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist()
     for low, high in zip(starts, [*starts[1:], len(rows)], strict=True):
-        rep, c, own, sig = reps[low:high], cs[low:high], owns[low:high], sigs[low:high]
         number = int(bands[low])
-        before = sig[:, : BAND * number].reshape(len(sig), number, BAND)
-        for i in range(len(rep)):
-            rest = np.flatnonzero((c != c[i]) & (rep > rep[i]) & ((own != own[i]) if mixed else True))
-            if len(rest):
-                rest = rest[estimate(sig[rest], sig[i]) >= least]
-            if len(rest) and number:
-                rest = rest[~(before[rest] == before[i]).all(axis=2).any(axis=1)]
-            if len(rest):
-                yield low + i, low + rest
+        others = (low + np.flatnonzero(~mains[low:high])).tolist()
+        # large blocks a part at a time, whose registers fit a cache
+        for start in range(low, high, 2 * BLOCK):
+            end = min(start + 2 * BLOCK, high)
+            rep, c, main, own, sig = reps[start:end], cs[start:end], mains[start:end], owns[start:end], sigs[start:end]
+            before = sig[:, : BAND * number].reshape(len(sig), number, BAND)
+            for i in others:
+                rest = np.flatnonzero((c != cs[i]) & (main | (rep > reps[i])) & ((own != owns[i]) if mixed else True))
+                if len(rest):
+                    rest = rest[estimate(sig[rest], sigs[i]) >= least]
+                if len(rest) and number:
+                    own_before = sigs[i, : BAND * number].reshape(number, BAND)
+                    rest = rest[~(before[rest] == own_before).all(axis=2).any(axis=1)]
+                if len(rest):
+                    yield i, start + rest
 
 
 def _hopeful_members(dealt: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """The dealt members, with digests and registers of their classes, that are in any
     candidate pair."""
-    asked = classes.join(checked(dealt.select("rep").distinct(), WANTED_ROWS), "rep", "left_semi")
-    signed = dealt.join(asked.select("rep", "digest", "sig"), "rep")
-    kept = ["key", "bundle", "band", "rep", "c", "own", "x", "y", "digest", "sig"]
+    signed = dealt.join(classes.select("rep", "digest", "sig"), "rep")
+    kept = ["key", "bundle", "band", "rep", "c", "main", "own", "x", "y", "digest", "sig"]
 
     def hopeful(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key", kind="stable")
@@ -397,7 +430,7 @@ def _hopeful_members(dealt: DataFrame, classes: DataFrame, least: float) -> Data
             found[rest] = True
         return rows.loc[found, kept]
 
-    shape = "key long, bundle long, band int, rep long, c long, own int, x int, y int, digest binary, sig binary"
+    shape = "key long, bundle long, band int, rep long, c long, main boolean, own int, x int, y int, digest binary, sig binary"
     return signed.groupBy("bundle", "x", "y").applyInPandas(hopeful, shape)
 
 
@@ -421,8 +454,8 @@ def _across(members: DataFrame, sets: DataFrame, least: float, percent: int) ->
                 both = _shared_shingles(own_set, others)
                 union = len(own_set) + np.array([len(x) for x in others]) - both
                 linked[known] = 100 * both >= percent * union
-            a.append(np.full(int(linked.sum()), reps[i]))
-            b.append(reps[rest[linked]])
+            a.append(np.minimum(reps[rest[linked]], reps[i]))
+            b.append(np.maximum(reps[rest[linked]], reps[i]))
             sure.append(known[linked])
         none = np.zeros(0, dtype="int64")
         certain = np.concatenate([none.astype(bool), *sure])

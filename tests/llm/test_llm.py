@@ -183,6 +183,59 @@ def test_near_duplicates_sets_only_where_registers_leave_hope(spark, monkeypatch
     assert len(asked) == 2 and not asked[1] & (set(range(40)) - {7})
 
 
+def one_band(main, others):
+    """Members of one band: ``main`` of one component, each of the others its own."""
+    return [(5, 0, i, 0 if i < main else i) for i in range(main + others)]
+
+
+def cross_pairs(dealt):
+    """Pairs of different components that some group of the dealt members holds."""
+    groups = {}
+    for r in dealt:
+        groups.setdefault((r.bundle, r.x, r.y), []).append((r.rep, r.c))
+    return {(a, b) for g in groups.values() for a, ca in g for b, cb in g if a < b and ca != cb}
+
+
+@pytest.mark.parametrize("others", [lambda n: 5, lambda n: n // 4, lambda n: 3 * n])
+def test_members_of_a_band_are_dealt_in_proportion(spark, monkeypatch, others):
+    """Every pair of components meets, and the rows dealt grow no faster than the band."""
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    made = []
+    for main in (128, 512):
+        rows = one_band(main, others(main))
+        dealt = near_dup._dealt(spark.createDataFrame(rows + [(7, 1, 1, 1), (7, 1, 2, 2)], "key long, band int, rep long, c long"), 3).collect()
+        assert cross_pairs(dealt) == {(a, b) for _, _, a, ca in rows for _, _, b, cb in rows if a < b and ca != cb} | {(1, 2)}
+        made.append(len(dealt) / len(rows))
+    assert made[1] <= 1.1 * made[0]
+
+
+def test_near_duplicates_in_many_blocks(spark, monkeypatch):
+    """A large group of near copies, some linked with no other: all are compared, in few rows."""
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    made, dealt = [], near_dup._dealt
+
+    def spied(members, *rest):
+        found = dealt(members, *rest)
+        made.append(found.count() / members.count())
+        return found
+
+    monkeypatch.setattr(near_dup, "_dealt", spied)
+    base = [f"w{x}" for x in range(100)]
+    for n in (60, 240):
+        rng = np.random.default_rng(n)
+        rows = []
+        for i in range(n):
+            words = list(base)
+            for at in rng.integers(0, 100, 13 if i % 30 == 29 else 8 if i % 30 == 28 else 2):
+                words[at] = f"x{i}y{at}"
+            rows.append((i, " ".join(words)))
+        got = near_dup.near_duplicates(documents(spark, *rows)).collect()
+        want = linked(rows)
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+        assert 1 < sum(kept for _, _, kept in want.values()) < n // 10
+    assert made[1] < 4 and made[1] < 2 * made[0]
+
+
 def test_near_duplicates_odd_rows(spark):
     got = near_dup.near_duplicates(documents(spark, *ODD)).collect()
     assert len(got) == len(ODD)
